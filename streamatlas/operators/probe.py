@@ -116,21 +116,21 @@ def search_windows(hits: DataFrame, max_ids: int = fc.SEARCH_MAX_IDS) -> DataFra
     given to its first window first, so the running totals only see one row per window; there can be no more windows in play
     than ids.
     """
+    # Every window in play adds at least one id, so only the first max_ids + 1 windows can take part.
+    numbers = hits.select("window_no").distinct().orderBy("window_no").limit(max_ids + 1)
+    taking = hits.join(F.broadcast(numbers), "window_no")
     rest = [c for c in hits.columns if c not in ("video_id", "window_no", "pos")]
     row = F.struct("window_no", "pos", *rest)
-    firsts = hits.groupBy("video_id").agg(F.min(row).alias("_r")).select("video_id", "_r.*")
+    firsts = taking.groupBy("video_id").agg(F.min(row).alias("_r")).select("video_id", "_r.*")
     fresh = firsts.groupBy("window_no").agg(F.count(F.lit(1)).alias("_new"))
-    # Only windows up to max_ids + 1 can take part, because each of them adds at least one id.
-    numbers = hits.select("window_no").distinct().join(fresh, "window_no", "left").fillna(0, ["_new"])
-    w = W.orderBy("window_no").rowsBetween(W.unboundedPreceding, -1)
-    order = W.orderBy("window_no")
+    numbers = numbers.join(fresh, "window_no", "left").fillna(0, ["_new"])
+    before = W.orderBy("window_no").rowsBetween(W.unboundedPreceding, -1)
     numbers = numbers.select(
         "window_no",
-        F.coalesce(F.sum("_new").over(w), F.lit(0)).alias("seen_before"),
-        F.coalesce(F.min("_new").over(w), F.lit(1)).alias("_least"),
-        F.row_number().over(order).alias("_no"),
+        F.coalesce(F.sum("_new").over(before), F.lit(0)).alias("seen_before"),
+        F.coalesce(F.min("_new").over(before), F.lit(1)).alias("_least"),
     )
-    ok = numbers.where((F.col("seen_before") < max_ids) & (F.col("_least") > 0) & (F.col("_no") <= max_ids + 1))
+    ok = numbers.where((F.col("seen_before") < max_ids) & (F.col("_least") > 0))
     return firsts.join(F.broadcast(ok.select("window_no", "seen_before")), "window_no")
 
 
