@@ -26,16 +26,17 @@ def asof_last(
 
     `log_order` breaks ties between log rows of one time; it must make the order total.
     """
-    block = lambda c: F.floor(F.unix_timestamp(c) / block_seconds)
-    hit = F.struct(F.col(log_time).alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(log_order)],
+    stamp = lambda c: F.col(c).cast("timestamp")
+    block = lambda c: F.floor(F.unix_timestamp(stamp(c)) / block_seconds)
+    hit = F.struct(stamp(log_time).alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(log_order)],
                    *[F.col(c).alias(f"_v_{c}") for c in cols])
     req_cols = [c for c in requests.columns]
     left = requests.select(
-        F.col(on).alias("_on"), block(request_time).alias("_block"), F.col(request_time).alias("_time"),
+        F.col(on).alias("_on"), block(request_time).alias("_block"), stamp(request_time).alias("_time"),
         F.lit(2).alias("_kind"), F.struct(*req_cols).alias("_req"),
     )
     right = log.select(
-        F.col(on).alias("_on"), block(log_time).alias("_block"), F.col(log_time).alias("_time"),
+        F.col(on).alias("_on"), block(log_time).alias("_block"), stamp(log_time).alias("_time"),
         F.lit(1).alias("_kind"), hit.alias("_hit"),
     )
     per_block = right.groupBy("_on", "_block").agg(F.max("_hit").alias("_hit")).unionByName(
@@ -71,7 +72,7 @@ def episodes(
     of the time line and key, however many events there are.
     """
     gap = int(gap_seconds * 1_000_000)
-    rows = events.withColumn("_t", F.unix_micros(time))
+    rows = events.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
     rows = rows.withColumn("_block", F.floor(F.col("_t") / (block_seconds * 1_000_000)))
     in_block = W.partitionBy(key, "_block").orderBy("_t")
     rows = rows.withColumn("_s", F.when(F.col("_t") - F.lag("_t").over(in_block) <= gap, 0).otherwise(1))

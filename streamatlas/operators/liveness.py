@@ -73,7 +73,7 @@ def resolve_lookup(requests: DataFrame, resolve_log: DataFrame) -> DataFrame:
         .otherwise(F.lit(0.0))
     )
     micros = F.unix_micros("found_at") + F.round(lifetime * 1_000_000).cast("long")
-    fresh = (F.col("found_target") == F.col("target_url")) & (F.unix_micros("at") < micros)
+    fresh = (F.col("found_target") == F.col("target_url")) & (F.unix_micros(F.col("at").cast("timestamp")) < micros)
     answer = F.when(F.coalesce(fresh, F.lit(False)), F.when(F.col("found_url").isNull(), "failed").otherwise("hit"))
     return df.withColumn("answer", answer.otherwise("miss")).withColumn(
         "resolved_url", F.when(F.col("answer") == "hit", F.col("found_url"))
