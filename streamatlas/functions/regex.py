@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -15,10 +17,25 @@ def has(col: Column, pattern: str, **flags) -> Column:
     return col.rlike(rx(pattern, **flags))
 
 
-def first(col: Column, pattern: str, group: int = 1, **flags) -> Column:
-    """The group of the first match, or null when nothing matches."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Give a value a name inside an expression, so that it is computed once however often `body` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def first(col: Column, pattern: str, group: int = 1, maybe_empty: bool = False, **flags) -> Column:
+    """The group of the first match, or null when nothing matches.
+
+    An empty group also gives null unless `maybe_empty` is set; telling the two apart costs a second search.
+    """
     p = rx(pattern, **flags)
-    return F.when(col.rlike(p), F.regexp_extract(col, p, group))
+    if maybe_empty:
+        return F.when(col.rlike(p), F.regexp_extract(col, p, group))
+    return F.nullif(F.regexp_extract(col, p, group), F.lit(""))
+
+
+def first_once(col: Column, pattern: str, group: int = 1, **flags) -> Column:
+    """`first` for places where a shared value cannot be pulled out by the optimizer: inside lambdas and branches."""
+    return let(F.regexp_extract(col, rx(pattern, **flags), group), lambda m: F.when(m != "", m))
 
 
 def first_or_empty(col: Column, pattern: str, group: int = 1, **flags) -> Column:

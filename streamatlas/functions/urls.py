@@ -6,43 +6,44 @@ from pyspark.sql import Column, functions as F
 
 from ..fixed import catalogue as fc
 from ..fixed import embeds as fe
-from .regex import first, has, sub
+from .regex import first, first_once, has, let, sub
 
-_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-_HOST = r"^(?:.*@)?(?:\[([^\]]*)\]|([^:\[\]]*)).*$"
+_SCHEME = r"^[\x00-\x20]*([A-Za-z][A-Za-z0-9+.\-]*):"
+_LEAD = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
+_NETLOC = _LEAD + r"//([^/?#]*)"
+_HOST = _LEAD + r"//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)"
+_PATH = r"(?s)" + _LEAD + r"(?://[^/?#]*)?([^?#]*)"
+_QUERY = r"(?s)^[^?#]*\?([^#]*)"
+_FRAGMENT = r"(?s)^[^#]*#(.*)$"
 
 
-def _tidy(url: Column) -> Column:
-    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
-
-
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(_tidy(url), _PARTS, group)
+def _part(url: Column, pattern: str) -> Column:
+    return F.regexp_extract(F.translate(url, "\t\r\n", ""), pattern, 1)
 
 
 def scheme(url: Column) -> Column:
-    return F.lower(_part(url, 1))
+    return F.lower(_part(url, _SCHEME))
 
 
 def netloc(url: Column) -> Column:
-    return _part(url, 2)
+    return _part(url, _NETLOC)
 
 
 def path(url: Column) -> Column:
-    return _part(url, 3)
+    return _part(url, _PATH)
 
 
 def query(url: Column) -> Column:
-    return _part(url, 4)
+    return _part(url, _QUERY)
 
 
 def fragment(url: Column) -> Column:
-    return _part(url, 5)
+    return _part(url, _FRAGMENT)
 
 
 def host(url: Column) -> Column:
     """Lower-case host without user info and port; the empty string when there is none."""
-    return F.lower(F.regexp_replace(netloc(url), _HOST, "$1$2"))
+    return F.lower(F.translate(_part(url, _HOST), "[]", ""))
 
 
 def origin(url: Column) -> Column:
@@ -92,20 +93,24 @@ def percent_encode(text: Column, safe: str = "") -> Column:
 def canonical_url(url: Column) -> Column:
     """One spelling per page: https, lower-case host, no port, no fragment, no trailing slashes, no tracking parameters,
     no blank parameters, the others decoded and re-encoded in their order."""
-    pairs = F.filter(
-        F.split(query(url), "&"),
-        lambda p: (_value(p) != "") & ~F.lower(_decode_plus(_name(p))).isin(*fc.TRACKING_PARAMS),
-    )
-    encoded = F.transform(
-        pairs, lambda p: F.concat(_encode_plus(_decode_plus(_name(p))), F.lit("="), _encode_plus(_decode_plus(_value(p))))
+    trimmed = F.regexp_replace(path(url), "/+$", "")
+    parts = F.struct(host(url).alias("host"), trimmed.alias("path"), query(url).alias("query"))
+    return let(parts, lambda u: F.concat(_canonical_head(u["host"], u["path"]), _canonical_query(u["query"])))
+
+
+def _canonical_head(h: Column, p: Column) -> Column:
+    rooted = F.when(p == "", F.lit("/")).when((h != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
+    return F.when((h == "") & (p != "") & ~p.startswith("/"), F.concat(F.lit("https:"), p)).otherwise(
+        F.concat(F.lit("https://"), h, rooted)
     )
-    q = F.when(query(url) == "", F.lit("")).otherwise(F.array_join(encoded, "&"))
-    h = host(url)
-    p = F.regexp_replace(path(url), "/+$", "")
-    p = F.when(p == "", F.lit("/")).otherwise(p)
-    head = F.when((h == "") & ~p.startswith("/"), F.lit("https:")).otherwise(F.concat(F.lit("https://"), h))
-    head = F.when((h != "") & ~p.startswith("/"), F.concat(head, F.lit("/"))).otherwise(head)
-    return F.concat(head, p, F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+
+
+def _canonical_query(q: Column) -> Column:
+    pairs = F.transform(F.split(q, "&"), lambda p: F.struct(_decode_plus(_name(p)).alias("k"), _decode_plus(_value(p)).alias("v")))
+    kept = F.filter(pairs, lambda p: (p["v"] != "") & ~F.lower(p["k"]).isin(*fc.TRACKING_PARAMS))
+    encoded = F.transform(kept, lambda p: F.concat(_encode_plus(p["k"]), F.lit("="), _encode_plus(p["v"])))
+    text = let(F.array_join(encoded, "&"), lambda t: F.when(t == "", t).otherwise(F.concat(F.lit("?"), t)))
+    return F.when(q == "", F.lit("")).otherwise(text)
 
 
 def _name(pair: Column) -> Column:
@@ -125,13 +130,17 @@ def stable_id(source: Column, page_url: Column, angle_key: Column) -> Column:
 def merge_key(target: Column) -> Column:
     """Identity under which copies of one stream merge over sources, or null when there is none."""
     wrapped = F.contains(target, F.lit("player?url="))
-    t = F.when(wrapped, percent_decode(sub(target, r"^https?:.*?url=", ""))).otherwise(target)
-    bare = F.regexp_replace(sub(t, fe.TOKEN_PARAMS, ""), r"[?&]+$", "")
-    return (
-        F.when(has(t, fe.YT_VIDEO), F.concat(F.lit("yt:"), F.regexp_extract(t, fe.YT_VIDEO, 1)))
-        .when(has(t, fe.FERATEL_CAM), F.concat(F.lit("feratel:"), first(t, fe.FERATEL_CAM)))
-        .when(F.contains(t, F.lit(".m3u8")), F.concat(F.lit("hls:"), bare))
-    )
+    opened = F.when(wrapped, percent_decode(sub(target, r"^https?:.*?url=", ""))).otherwise(target)
+
+    def key(t: Column) -> Column:
+        bare = F.regexp_replace(sub(t, fe.TOKEN_PARAMS, ""), r"[?&]+$", "")
+        return F.coalesce(
+            F.when(F.contains(t, F.lit("youtube")), F.concat(F.lit("yt:"), first_once(t, fe.YT_VIDEO))),
+            F.when(F.contains(t, F.lit("feratel.com/webtv/")), F.concat(F.lit("feratel:"), first_once(t, fe.FERATEL_CAM))),
+            F.when(F.contains(t, F.lit(".m3u8")), F.concat(F.lit("hls:"), bare)),
+        )
+
+    return let(opened, key)
 
 
 def unwrap(target: Column) -> Column:
@@ -177,35 +186,69 @@ def _resolve_dots(segments: Column) -> Column:
     return F.array_join(kept, "/")
 
 
+def join_base(base: Column) -> Column:
+    """What `url_join` needs of a base URL. Compute it once per row where many references are joined with one base."""
+    parts = F.struct(scheme(base).alias("scheme"), netloc(base).alias("net"), path(base).alias("path"), query(base).alias("query"))
+    return let(
+        parts,
+        lambda p: F.struct(
+            base.alias("url"), p["scheme"].alias("scheme"), p["net"].alias("net"), p["path"].alias("path"), p["query"].alias("query"),
+            F.concat(p["scheme"], F.lit("://"), p["net"]).alias("origin"),
+            F.when(p["path"] == "", F.lit("/")).otherwise(F.regexp_replace(p["path"], r"[^/]*$", "")).alias("dir"),
+            ((p["scheme"] != "") & (p["net"] != "") & ~p["path"].rlike(r"(?:^|/)\.{1,2}(?:/|$)") & ~F.contains(p["path"], F.lit("//"))).alias("plain"),
+        ),
+    )
+
+
+_ABSOLUTE = r"^https?://[^/?#\s]+[^#?\s]*(?:\?[^#\s]+)?(?:#\S+)?$"
+# References that need no more than a prefix: no scheme, no dot segments, no empty segments, no fragment, no blank query.
+_SIMPLE_REL = r"^(?![^?]*/\.{0,2}(?:/|$|\?))(?!\.{1,2}(?:/|$|\?))[^/?#:\s][^?#:\s]*(?:\?[^#\s]+)?$"
+_SIMPLE_ABS = r"^(?=/[^/])(?![^?]*/\.{1,2}(?:/|$|\?))[^?#\s]*(?:\?[^#\s]+)?$"
+
+
 def url_join(base: Column, ref: Column) -> Column:
     """The absolute form of a reference found on a page."""
-    bscheme, bnet, bpath = scheme(base), netloc(base), path(base)
-    rscheme, rnet, rpath, rquery, rfrag = scheme(ref), netloc(ref), path(ref), query(ref), fragment(ref)
-    base_dir = F.when(bpath == "", F.lit("/")).otherwise(F.regexp_replace(bpath, r"[^/]*$", ""))
-    joined = F.when(rpath.startswith("/"), F.split(rpath, "/")).otherwise(_inner_non_empty(F.concat(base_dir, rpath)))
-    has_dots = rpath.rlike(r"(?:^|/)\.{1,2}(?:/|$)") | (~rpath.startswith("/") & bpath.rlike(r"(?:^|/)\.{1,2}(?:/|$)"))
-    merged = F.when(has_dots, _resolve_dots(joined)).otherwise(F.array_join(joined, "/"))
+    return let(join_base(base), lambda b: join_with(b, ref))
+
+
+def join_with(base: Column, ref: Column) -> Column:
+    """The absolute form of a reference, for a base prepared with `join_base`."""
+    return (
+        F.when((base["url"] == "") | ref.rlike(_ABSOLUTE), ref)
+        .when(ref == "", base["url"])
+        .when(base["plain"] & ref.rlike(_SIMPLE_REL), F.concat(base["origin"], base["dir"], ref))
+        .when(base["plain"] & ref.rlike(_SIMPLE_ABS), F.concat(base["origin"], ref))
+        .otherwise(let(_reference(ref), lambda r: _join_parts(base, r)))
+    )
+
+
+def _reference(ref: Column) -> Column:
+    return F.struct(
+        ref.alias("url"), scheme(ref).alias("scheme"), netloc(ref).alias("net"), path(ref).alias("path"), query(ref).alias("query"),
+        fragment(ref).alias("fragment"),
+    )
+
+
+def _join_parts(b: Column, r: Column) -> Column:
+    rooted = r["path"].startswith("/")
+    segments = F.when(rooted, F.split(r["path"], "/")).otherwise(_inner_non_empty(F.concat(b["dir"], r["path"])))
+    merged = let(segments, _resolve_dots)
     merged = F.when(merged == "", F.lit("/")).otherwise(merged)
-    new_path = F.when(rnet != "", rpath).when(rpath == "", bpath).otherwise(merged)
-    new_query = F.when((rnet == "") & (rpath == "") & (rquery == ""), query(base)).otherwise(rquery)
-    net = F.when(rnet != "", rnet).otherwise(bnet)
-    new_path = F.when((net != "") & (new_path != "") & ~new_path.startswith("/"), F.concat(F.lit("/"), new_path)).otherwise(new_path)
+    new_path = F.when(r["net"] != "", r["path"]).when(r["path"] == "", b["path"]).otherwise(merged)
+    new_query = F.when((r["net"] == "") & (r["path"] == "") & (r["query"] == ""), b["query"]).otherwise(r["query"])
+    net = F.when(r["net"] != "", r["net"]).otherwise(b["net"])
+    slash = lambda p: F.when((net != "") & (p != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
     built = F.concat(
-        F.when(bscheme != "", F.concat(bscheme, F.lit("://"))).otherwise(F.lit("")),
+        F.when(b["scheme"] != "", F.concat(b["scheme"], F.lit("://"))).otherwise(F.lit("")),
         net,
-        new_path,
+        let(new_path, slash),
         F.when(new_query != "", F.concat(F.lit("?"), new_query)).otherwise(F.lit("")),
-        F.when(rfrag != "", F.concat(F.lit("#"), rfrag)).otherwise(F.lit("")),
-    )
-    plain_absolute = ref.rlike(r"^https?://[^/?#\s]+[^#?\s]*(?:\?[^#\s]+)?(?:#\S+)?$")
-    return (
-        F.when((base == "") | plain_absolute, ref)
-        .when(ref == "", base)
-        .when((rscheme != "") & (rscheme != bscheme), ref)
-        .otherwise(built)
+        F.when(r["fragment"] != "", F.concat(F.lit("#"), r["fragment"])).otherwise(F.lit("")),
     )
+    return F.when((r["scheme"] != "") & (r["scheme"] != b["scheme"]), r["url"]).otherwise(built)
 
 
 def _inner_non_empty(path_col: Column) -> Column:
-    parts = F.split(path_col, "/")
-    return F.filter(parts, lambda s, i: (s != "") | (i == 0) | (i == F.size(parts) - 1))
+    return let(
+        F.split(path_col, "/"), lambda parts: F.filter(parts, lambda s, i: (s != "") | (i == 0) | (i == F.size(parts) - 1))
+    )

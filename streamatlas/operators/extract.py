@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed import embeds as fe
 from ..functions import urls
-from ..functions.regex import find_all, first, sub
+from ..functions.regex import find_all, first, first_once, sub
 from .keyed import first_by
 
 _PAIR = "array<struct<angle:string,raw:string>>"
@@ -69,7 +69,7 @@ def stream_array_pairs(body: Column) -> Column:
     zipped = F.arrays_zip(
         find_all(body, fe.STREAM_ARRAY, 1).alias("sid"), find_all(body, fe.STREAM_ARRAY, 3).alias("frame")
     )
-    pairs = F.transform(zipped, lambda z: F.struct(z["sid"].alias("angle"), first(z["frame"], fe.IFRAME_SRC).alias("raw")))
+    pairs = F.transform(zipped, lambda z: F.struct(z["sid"].alias("angle"), first_once(z["frame"], fe.IFRAME_SRC).alias("raw")))
     return F.when(
         F.contains(body, F.lit("streams[")), F.filter(pairs, lambda p: p["raw"].isNotNull())
     ).otherwise(F.array().cast(_PAIR))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..fixed import catalogue as fc
 from ..functions import urls
-from ..functions.regex import sub
+from ..functions.regex import let, sub
 from ..functions.text import strip
 from .liveness import is_playable
 
@@ -159,26 +159,35 @@ def _tidy(text: Column) -> Column:
     return sub(text, r"^(?!#)(\S+)\s*$", "$1", multiline=True)
 
 
-def reference_kind(absolute: Column, upstream: Column) -> Column:
+def reference_kind(absolute: Column, site: Column, up_site: Column, relay: Column) -> Column:
     """offsite (left to the player), child (a further playlist), relay (bytes must be relayed) or direct."""
-    up_host = urls.host(upstream)
     return (
-        F.when(~urls.same_site(urls.host(absolute), up_host), "offsite")
+        F.when((site != up_site) | (site == "") | (up_site == ""), "offsite")
         .when(F.substring_index(absolute, "?", 1).endswith(".m3u8"), "child")
-        .when(urls.host_in(up_host, fc.RELAY_SEGMENT_HOSTS), "relay")
+        .when(relay, "relay")
         .otherwise("direct")
     )
 
 
+def _with_upstream(manifests: DataFrame) -> DataFrame:
+    """What all references of a manifest share, once per manifest."""
+    up = F.col("upstream_url")
+    df = manifests.select("entry_id", F.split(_tidy(F.col("text")), "\n").alias("_lines"), urls.join_base(up).alias("_base"),
+                          urls.host(up).alias("_host"))
+    return df.withColumn("_site", urls.registrable_domain(F.col("_host"))).withColumn(
+        "_relay", urls.host_in(F.col("_host"), fc.RELAY_SEGMENT_HOSTS)
+    )
+
+
 def classify_references(manifests: DataFrame) -> DataFrame:
     """(entry_id, pos, ref, absolute_url, kind) of every reference line. manifests: (entry_id, upstream_url, text)."""
-    refs = manifests.select(
-        "entry_id", "upstream_url", F.posexplode(F.split(_tidy(F.col("text")), "\n")).alias("pos", "ref")
+    refs = _with_upstream(manifests).select(
+        "entry_id", "_base", "_site", "_relay", F.posexplode("_lines").alias("pos", "ref")
     ).where(_is_reference(F.col("ref")))
-    refs = refs.withColumn("absolute_url", urls.url_join(F.col("upstream_url"), F.col("ref")))
-    return refs.select(
-        "entry_id", "pos", "ref", "absolute_url", reference_kind(F.col("absolute_url"), F.col("upstream_url")).alias("kind")
-    )
+    refs = refs.withColumn("absolute_url", urls.join_with(F.col("_base"), F.col("ref")))
+    refs = refs.withColumn("_of", urls.registrable_domain(urls.host(F.col("absolute_url"))))
+    kind = reference_kind(F.col("absolute_url"), F.col("_of"), F.col("_site"), F.col("_relay"))
+    return refs.select("entry_id", "pos", "ref", "absolute_url", kind.alias("kind"))
 
 
 def rewrite_manifests(manifests: DataFrame, base_url: str) -> DataFrame:
@@ -186,21 +195,26 @@ def rewrite_manifests(manifests: DataFrame, base_url: str) -> DataFrame:
 
     The links carry no signature; whoever serves them adds one.
     """
-    up = F.col("upstream_url")
-
-    def link(marker: str, absolute: Column) -> Column:
-        return F.concat(
-            F.lit(f"{base_url}/stream/"), F.col("entry_id"), F.lit(f"/{marker}?u="), urls.percent_encode(absolute)
-        )
+    base, site, relay = F.col("_base"), F.col("_site"), F.col("_relay")
+    link = lambda marker: F.concat(F.lit(f"{base_url}/stream/"), F.col("entry_id"), F.lit(f"/{marker}?u="))
 
     def one(line: Column) -> Column:
-        absolute = urls.url_join(up, line)
-        kind = reference_kind(absolute, up)
-        served = F.when(kind == "child", link("m", absolute)).when(kind == "relay", link("s", absolute)).otherwise(absolute)
-        return F.when(_is_reference(line), served).otherwise(line)
+        joined = let(
+            urls.join_with(base, line),
+            lambda a: let(
+                F.struct(a.alias("a"), urls.registrable_domain(urls.host(a)).alias("of")),
+                lambda x: let(
+                    F.struct(x["a"].alias("a"), reference_kind(x["a"], x["of"], site, relay).alias("kind")),
+                    lambda k: F.when(k["kind"] == "child", F.concat(F.col("_child"), urls.percent_encode(k["a"])))
+                    .when(k["kind"] == "relay", F.concat(F.col("_segment"), urls.percent_encode(k["a"])))
+                    .otherwise(k["a"]),
+                ),
+            ),
+        )
+        return F.when(_is_reference(line), joined).otherwise(line)
 
-    body = F.array_join(F.transform(F.split(_tidy(F.col("text")), "\n"), one), "\n")
-    return manifests.select("entry_id", body.alias("body"))
+    df = _with_upstream(manifests).withColumn("_child", link("m")).withColumn("_segment", link("s"))
+    return df.select("entry_id", F.array_join(F.transform("_lines", one), "\n").alias("body"))
 
 
 def is_direct_playback(url: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..fixed import catalogue as fc
 from ..fixed import embeds as fe
 from ..functions import urls
-from ..functions.regex import first
+from ..functions.regex import first, first_once, let, rx
 from .routing import is_alias_page, route
 
 
@@ -31,9 +31,9 @@ def json_string(doc: Column, path: str) -> Column:
 
 def embedded_stream(body: Column) -> Column:
     """The stream URL of a player-data script, or null."""
-    doc = F.try_parse_json(first(body, fe.PLAYER_DATA, ignore_case=True, dot_all=True))
-    src = F.when(_is_object(doc), json_string(doc, "$.streamSrc"))
-    return F.when(F.contains(src, F.lit(".m3u8")), src)
+    blob = F.regexp_extract(body, rx(fe.PLAYER_DATA, ignore_case=True, dot_all=True), 1)
+    src = let(F.try_parse_json(blob), lambda doc: F.when(_is_object(doc), json_string(doc, "$.streamSrc")))
+    return let(src, lambda s: F.when(F.contains(s, F.lit(".m3u8")), s))
 
 
 def ajax_url(cam_id: Column) -> Column:
@@ -54,7 +54,6 @@ def _ozolio_open(sid: Column) -> Column:
 def document_facts(bodies: DataFrame) -> DataFrame:
     """(url, a, b): what the resolver of this document reads from it."""
     url, body = F.col("url"), F.col("body")
-    doc = F.try_parse_json(body)
     relay = url.startswith(fe.OZOLIO_RELAY + "/ses.api?cmd=")
     manifest_api = F.contains(url, F.lit(".joada.net/api/videos/manifest/"))
     kind = (
@@ -64,32 +63,29 @@ def document_facts(bodies: DataFrame) -> DataFrame:
         .when(manifest_api, "viewsurf-api")
         .otherwise(route(url))
     )
-    k = F.col("_kind")
-    a = (
-        F.when(k == "metatag", first(body, fe.META_VIDEO, ignore_case=True))
-        .when(k == "baltic", first(body, fe.BALTIC_ID, dot_all=True))
-        .when(k == "baltic-post", first(body, fe.BALTIC_HLS, 0))
-        .when(k == "ipcamlive", first(body, fe.IPCAM_ADDRESS))
-        .when(k == "skyline", first(body, fe.SKYLINE_TOKEN))
-        .when(k == "earthcam", F.replace(first(body, fe.EARTHCAM_HLS, 0), F.lit("\\/"), F.lit("/")))
-        .when(k == "wetmet", first(body, fe.WETMET_HLS, 0))
-        .when(k == "hdontap", embedded_stream(body))
-        .when(k == "ozolio-init", json_string(doc, "$.session.id"))
-        .when(k == "ozolio-open", json_string(doc, "$.output.source"))
-        .when(k == "viewsurf-api", json_string(doc, "$.m3u8"))
-    )
-    b = (
-        F.when(k == "ipcamlive", first(body, fe.IPCAM_STREAM))
-        .when(k == "ozolio-open", F.coalesce(F.when(doc.isNull(), F.lit("\0")), json_string(doc, "$.output.media")))
-        .when(k == "ozolio-init", F.when(doc.isNull(), F.lit("\0")))
-        .when(k == "viewsurf-api", F.when(_is_object(doc), F.lit("object")))
-    )
-    return (
-        bodies.where(body.isNotNull())
-        .withColumn("_kind", kind)
-        .where(k.isNotNull() & ~k.isin("direct", "ytdlp"))
-        .select("url", a.alias("a"), b.alias("b"), F.lit(True).alias("got"))
-    )
+    none = F.lit(None).cast("string")
+    pair = lambda a, b=none: F.struct(a.alias("a"), b.alias("b"))
+    parsed = lambda fn: let(F.try_parse_json(body), fn)
+    bad = lambda doc: F.when(doc.isNull(), F.lit("\0"))
+
+    def read(k: Column) -> Column:
+        return (
+            F.when(k == "metatag", pair(first_once(body, fe.META_VIDEO, ignore_case=True)))
+            .when(k == "baltic", pair(first_once(body, fe.BALTIC_ID, dot_all=True)))
+            .when(k == "baltic-post", pair(first_once(body, fe.BALTIC_HLS, 0)))
+            .when(k == "ipcamlive", pair(first_once(body, fe.IPCAM_ADDRESS), first_once(body, fe.IPCAM_STREAM)))
+            .when(k == "skyline", pair(first_once(body, fe.SKYLINE_TOKEN)))
+            .when(k == "earthcam", pair(F.replace(first_once(body, fe.EARTHCAM_HLS, 0), F.lit("\\/"), F.lit("/"))))
+            .when(k == "wetmet", pair(first_once(body, fe.WETMET_HLS, 0)))
+            .when(k == "hdontap", pair(embedded_stream(body)))
+            .when(k == "ozolio-init", parsed(lambda d: pair(json_string(d, "$.session.id"), bad(d))))
+            .when(k == "ozolio-open", parsed(lambda d: pair(json_string(d, "$.output.source"), F.coalesce(bad(d), json_string(d, "$.output.media")))))
+            .when(k == "viewsurf-api", parsed(lambda d: pair(json_string(d, "$.m3u8"), F.when(_is_object(d), F.lit("object")))))
+        )
+
+    # A generator, so that documents of no resolver are left out without evaluating anything twice.
+    found = F.array_compact(F.array(let(kind, read)))
+    return bodies.where(body.isNotNull()).select("url", F.inline(found)).withColumn("got", F.lit(True))
 
 
 def first_hop(name: Column, target: Column) -> Column:

@@ -3,32 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from ..fixed import embeds as fe
 from ..functions import urls
-from ..functions.regex import has
+from ..functions.regex import has, let
 
-Rule = tuple[str, Callable[[Column], Column]]
+# A rule is a resolver name and a test of (url, host, path).
+Rule = tuple[str, Callable[[Column, Column, Column], Column]]
 
 RESOLVERS = (
     "ytdlp", "direct", "metatag", "baltic", "ipcamlive", "skyline", "earthcam", "wetmet", "hdontap", "ozolio", "viewsurf",
 )
 
 
-def _contains(*needles: str) -> Callable[[Column], Column]:
-    def test(u: Column) -> Column:
-        out = F.lit(False)
-        for n in needles:
-            out = out | F.contains(u, F.lit(n))
-        return out
+def _contains(*needles: str):
+    def test(u: Column, _host: Column, _path: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(u, F.lit(n)) for n in needles])
 
     return test
 
 
-def _on_host(domain: str, path_test: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda u: urls.host_in(urls.host(u), (domain,)) & path_test(urls.path(u))
+def _on_host(domain: str, path_test: Callable[[Column], Column]):
+    return lambda _u, host, path: urls.host_in(host, (domain,)) & path_test(path)
 
 
 def is_alias_page(u: Column) -> Column:
@@ -39,7 +38,7 @@ def is_alias_page(u: Column) -> Column:
 # address in its query does not reach that provider's resolver.
 RULES: tuple[Rule, ...] = (
     ("baltic", _contains("balticlivecam.com")),
-    ("ipcamlive", lambda u: F.contains(u, F.lit("ipcamlive.com/player/player.php")) | is_alias_page(u)),
+    ("ipcamlive", lambda u, _h, _p: F.contains(u, F.lit("ipcamlive.com/player/player.php")) | is_alias_page(u)),
     ("metatag", _on_host("feratel.com", lambda p: F.contains(p, F.lit("/webtv")))),
     ("wetmet", _contains("api.wetmet.net/widgets/stream/frame.php")),
     ("skyline", _contains("skylinewebcams.com/en/webcam/")),
@@ -58,8 +57,12 @@ def route(target: Column, rules: Sequence[Rule] = RULES, known: Sequence[str] =
     unknown = sorted({name for name, _ in rules} - set(known))
     if unknown:
         raise ValueError(f"rules name unknown resolvers: {unknown}")
-    out = None
-    for name, test in rules:
-        cond = test(target)
-        out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
-    return F.lit(None).cast("string") if out is None else out
+
+    def pick(p: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, test in reversed(rules):
+            out = F.when(test(p["url"], p["host"], p["path"]), F.lit(name)).otherwise(out)
+        return out
+
+    parts = F.struct(target.alias("url"), urls.host(target).alias("host"), urls.path(target).alias("path"))
+    return let(parts, pick)

@@ -237,11 +237,11 @@ WITH log AS (SELECT event_id AS seq, user_id, ts, 't' || event_id % 2 AS target,
     CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(floor(value * 40) AS BIGINT) - 200 END AS ttl
   FROM events WHERE event_type IN ('error', 'signup', 'view')),
 req AS (SELECT event_id, user_id, ts, 't' || event_id % 2 AS target FROM events WHERE event_type IN ('click', 'purchase')),
-j AS (SELECT req.event_id, req.ts AS at, req.target AS asked, arg_max(struct_pack(ts := log.ts, target := log.target, url := log.url, ttl := log.ttl),
+j AS (SELECT req.event_id, req.ts AS asked_at, req.target AS asked, arg_max(struct_pack(ts := log.ts, target := log.target, url := log.url, ttl := log.ttl),
         struct_pack(ts := log.ts, seq := log.seq)) AS f
   FROM req LEFT JOIN log ON req.user_id = log.user_id AND log.ts <= req.ts GROUP BY ALL),
-a AS (SELECT event_id, at, asked, f, CASE WHEN f.url IS NULL THEN 60.0 WHEN f.ttl IS NULL THEN 480.0 WHEN f.ttl > 0 THEN f.ttl * 0.8 ELSE 0.0 END AS life FROM j),
-b AS (SELECT event_id, f, f.target = asked AND epoch_us(at) < epoch_us(f.ts) + CAST(round(life * 1000000) AS BIGINT) AS fresh FROM a)
+a AS (SELECT event_id, asked_at, asked, f, CASE WHEN f.url IS NULL THEN 60.0 WHEN f.ttl IS NULL THEN 480.0 WHEN f.ttl > 0 THEN f.ttl * 0.8 ELSE 0.0 END AS life FROM j),
+b AS (SELECT event_id, f, f.target = asked AND epoch_us(asked_at) < epoch_us(f.ts) + CAST(round(life * 1000000) AS BIGINT) AS fresh FROM a)
 SELECT event_id, CASE WHEN coalesce(fresh, false) THEN CASE WHEN f.url IS NULL THEN 'failed' ELSE 'hit' END ELSE 'miss' END AS answer,
   CASE WHEN coalesce(fresh, false) THEN f.url END AS resolved_url FROM b"""
 

@@ -18,7 +18,7 @@ from ..fixed import embeds as fe
 from ..fixed import sites as fs
 from ..fixed import taxonomy as ft
 from ..functions import urls
-from ..functions.regex import find_all, first, first_or_empty, has, sub
+from ..functions.regex import find_all, first, first_or_empty, has, let, sub
 from ..functions.text import (
     html_unescape, last_segment, location_parts, rot13, slug_title, split_camel, squeeze, strip, strip_tags, title_case,
     with_location,
@@ -248,20 +248,25 @@ def cxtvlive(pages: DataFrame) -> DataFrame:
 
 def earthcam_route(url: Column) -> Column:
     """struct(target, key) of a map link that some resolver can open, or null."""
-    video = first(url, fs.EARTHCAM_VIDEO)
-    host = urls.host(url)
-    own = host.isin(*fs.EARTHCAM_HOSTS)
-    section_of = F.substring_index(F.regexp_replace(urls.path(url), "^/+", ""), "/", 1)
 
     def to(target: Column, key: Column) -> Column:
         return F.struct(target.alias("target"), key.alias("key"))
 
-    return (
-        F.when(video.isNotNull(), to(F.concat(F.lit(fe.WATCH_URL), video), F.concat(F.lit("yt:"), video)))
-        .when(own, F.when(section_of.isin(*fs.EARTHCAM_SECTIONS), to(url, _null())))
-        .when(urls.host_in(host, fs.EARTHCAM_PARTNER), to(url, _null()))
-        .when(F.contains(url, F.lit(".m3u8")), to(url, urls.merge_key(url)))
+    def pick(p: Column) -> Column:
+        u, h = p["url"], p["host"]
+        return (
+            F.when(p["video"] != "", to(F.concat(F.lit(fe.WATCH_URL), p["video"]), F.concat(F.lit("yt:"), p["video"])))
+            .when(h.isin(*fs.EARTHCAM_HOSTS), F.when(p["section"].isin(*fs.EARTHCAM_SECTIONS), to(u, _null())))
+            .when(urls.host_in(h, fs.EARTHCAM_PARTNER), to(u, _null()))
+            .when(F.contains(u, F.lit(".m3u8")), to(u, urls.merge_key(u)))
+        )
+
+    section_of = F.substring_index(F.regexp_replace(urls.path(url), "^/+", ""), "/", 1)
+    parts = F.struct(
+        url.alias("url"), urls.host(url).alias("host"), section_of.alias("section"),
+        first_or_empty(url, fs.EARTHCAM_VIDEO).alias("video"),
     )
+    return let(parts, pick)
 
 
 @source("earthcam")
@@ -573,7 +578,7 @@ def webcamerapl(pages: DataFrame) -> DataFrame:
     body, url = F.col("body"), F.col("url")
     src = rot13(F.replace(first(body, fs.WEBCAMERA_VIDEO), F.lit("\\/"), F.lit("/")))
     df = usable(pages).where(F.contains("url", F.lit(".webcamera.pl/"))).select(
-        "url", src.alias("target_url"), first(body, fs.WEBCAMERA_H1, ignore_case=True).alias("h1")
+        "url", src.alias("target_url"), first(body, fs.WEBCAMERA_H1, maybe_empty=True, ignore_case=True).alias("h1")
     )
     df = df.where(F.contains("target_url", F.lit(".m3u8"))).join(listed, "url")
     raw = F.when(F.col("h1").isNotNull(), strip(html_unescape("h1"))).otherwise(F.coalesce("name", F.lit("")))
