@@ -445,18 +445,24 @@ def drop_report(spark, sf):
 
 # --- guard ---------------------------------------------------------------------------------------------------------------
 
-_ROLL = """roll AS (SELECT u.source, d.cycle, coalesce(e.kept, 0) + 1 AS discovered, CASE WHEN coalesce(e.crashed, false) THEN 0 ELSE coalesce(e.kept, 0) END AS kept,
+_USER = "'u' || user_id"
+_TEAM = "'s' || user_id % 23"
+
+
+def _roll_sql(src: str) -> str:
+    return f"""roll AS (SELECT u.source, d.cycle, coalesce(e.kept, 0) + 1 AS discovered, CASE WHEN coalesce(e.crashed, false) THEN 0 ELSE coalesce(e.kept, 0) END AS kept,
     coalesce(e.crashed, false) AS crashed
-  FROM (SELECT DISTINCT 'u' || user_id AS source FROM events) u
+  FROM (SELECT DISTINCT {src} AS source FROM events) u
   JOIN (SELECT DISTINCT CAST(epoch(date_trunc('day', ts)) / 86400 AS BIGINT) AS cycle FROM events) d ON true
-  LEFT JOIN (SELECT 'u' || user_id AS source, CAST(epoch(date_trunc('day', ts)) / 86400 AS BIGINT) AS cycle, count(*) AS kept,
+  LEFT JOIN (SELECT {src} AS source, CAST(epoch(date_trunc('day', ts)) / 86400 AS BIGINT) AS cycle, count(*) AS kept,
       bool_or(event_type = 'error' AND value > 120) AS crashed FROM events GROUP BY ALL) e ON u.source = e.source AND d.cycle = e.cycle)"""
 
 
-def rollups(spark, sf):
-    """(source, cycle, discovered, kept, crashed): one row per user and day, also for days without events."""
+def rollups(spark, sf, team: bool = False):
+    """(source, cycle, discovered, kept, crashed): one row per user (or per one of 23 teams) and day, also for days without events."""
+    source = F.concat(F.lit("s"), F.col("user_id") % 23) if team else F.concat(F.lit("u"), F.col("user_id"))
     ev = table(spark, sf, "events").select(
-        F.concat(F.lit("u"), F.col("user_id")).alias("source"), F.floor(F.unix_timestamp("ts") / 86400).alias("cycle"),
+        source.alias("source"), F.floor(F.unix_timestamp("ts") / 86400).alias("cycle"),
         ((F.col("event_type") == "error") & (F.col("value") > 120)).alias("crash"),
     )
     counted = ev.groupBy("source", "cycle").agg(F.count(F.lit(1)).alias("kept"), F.bool_or("crash").alias("crashed"))
@@ -469,7 +475,8 @@ def rollups(spark, sf):
     )
 
 
-_GUARD = f"""WITH RECURSIVE {_ROLL},
+def _guard_sql(src: str) -> str:
+    return f"""WITH RECURSIVE {_roll_sql(src)},
 n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cycle) AS i FROM roll),
 s AS (SELECT source, cycle, discovered, kept, crashed, i, CASE WHEN crashed OR kept = 0 THEN 'dead' ELSE 'ok' END AS status, 'accept' AS decision,
         cycle AS served_cycle, kept AS last_count, 0 AS streak, CAST(NULL AS BIGINT) AS previous_count FROM n WHERE i = 1
@@ -483,6 +490,7 @@ s AS (SELECT source, cycle, discovered, kept, crashed, i, CASE WHEN crashed OR k
     s.last_count FROM s JOIN n ON n.source = s.source AND n.i = s.i + 1)"""
 
 
+_GUARD = _guard_sql(_USER)
 GUARD_RESULT = _GUARD + " SELECT source, cycle, discovered, kept, crashed, status, decision, served_cycle, last_count, streak AS shrink_streak FROM s"
 
 
@@ -499,20 +507,19 @@ def status_transitions(spark, sf):
 
 
 def _latest(spark, sf):
-    guarded = guard.guard_cycles(rollups(spark, sf))
+    guarded = guard.guard_cycles(rollups(spark, sf, team=True))
     return keyed.last_by(guarded, ["source"], ["cycle"], ["kept", "discovered", "crashed", "status"])
 
 
 def expected_sources(spark, sf):
-    """The users that have events, and one source that was never tried."""
-    known = table(spark, sf, "events").select("user_id").distinct().select(
-        F.concat(F.lit("u"), F.col("user_id")).alias("source"), F.col("user_id").alias("rank")
-    )
+    """The 23 teams that have events, and one source that was never tried."""
+    team = F.col("user_id") % 23
+    known = table(spark, sf, "events").select(team.alias("rank")).distinct().select(F.concat(F.lit("s"), F.col("rank")).alias("source"), "rank")
     return known.unionByName(spark.range(1).select(F.lit("never").alias("source"), F.lit(-1).cast("long").alias("rank")))
 
 
-_HEALTH = _GUARD + """, l AS (SELECT * FROM s WHERE cycle = (SELECT max(cycle) FROM roll)),
-e AS (SELECT DISTINCT 'u' || user_id AS source, user_id AS rank FROM events UNION ALL SELECT 'never', -1),
+_HEALTH = _guard_sql(_TEAM) + """, l AS (SELECT * FROM s WHERE cycle = (SELECT max(cycle) FROM roll)),
+e AS (SELECT DISTINCT 's' || user_id % 23 AS source, user_id % 23 AS rank FROM events UNION ALL SELECT 'never', -1),
 h AS (SELECT e.source, e.rank, coalesce(l.kept, 0) AS kept, coalesce(l.discovered, 0) AS discovered, coalesce(l.crashed, false) AS crashed,
   coalesce(l.status, 'unknown') AS status, l.source IS NOT NULL AND (l.crashed OR l.kept = 0) AS unhealthy FROM e LEFT JOIN l ON e.source = l.source)"""
 

@@ -431,18 +431,21 @@ def worldcams(spark, sf):
 
 
 @query("source_youtube_api_s13", """
-WITH h AS (SELECT CAST(epoch(date_trunc('day', ts)) / 86400 AS BIGINT) AS w, 'v' || user_id AS v, event_id FROM events),
-f AS (SELECT v, arg_min('T' || event_id, w * 100000000 + event_id) AS title FROM h GROUP BY v)
+WITH h AS (SELECT CAST(epoch(date_trunc('day', ts)) / 86400 AS BIGINT) * 100000000 + event_id // 50 AS w, 'v' || user_id AS v, event_id FROM events),
+f AS (SELECT v, min(w) AS w, arg_min('T' || event_id, w * 1000 + event_id % 50) AS title FROM h GROUP BY v),
+n AS (SELECT x.w, count(f.v) AS new FROM (SELECT DISTINCT w FROM h) x LEFT JOIN f USING (w) GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(new) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen,
+  coalesce(min(new) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS least FROM n)
 SELECT title, NULL AS angle_key, NULL AS category, 'https://www.youtube.com/watch?v=' || v AS source_page_url, 'https://www.youtube.com/watch?v=' || v AS target_url, 'yt:' || v AS predisc_key
-FROM f""")
+FROM f JOIN r USING (w) WHERE seen < 1000 AND least > 0""")
 def youtube_api(spark, sf):
     ev = table(spark, sf, "events")
-    day = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).cast("int")
-    item = F.struct(F.struct(F.concat(F.lit("v"), F.col("user_id")).alias("videoId")).alias("id"), F.struct(F.concat(F.lit("T"), F.col("event_id")).alias("title")).alias("snippet"))
-    # One landed window per day, in the order of the events.
-    items = F.array_sort(F.collect_list(F.struct("event_id", "id", "snippet")))
-    docs = ev.select(day.alias("part"), "event_id", item["id"].alias("id"), item["snippet"].alias("snippet"))
-    docs = docs.groupBy("part").agg(F.to_json(F.struct(items.alias("items"))).alias("body"))
+    day = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400)
+    window_no = day * 100_000_000 + F.floor(F.col("event_id") / 50)
+    # A landed window holds at most fifty hits, as the search answers them.
+    hit = F.struct("event_id", F.struct(F.concat(F.lit("v"), F.col("user_id")).alias("videoId")).alias("id"),
+                   F.struct(F.concat(F.lit("T"), F.col("event_id")).alias("title")).alias("snippet"))
+    docs = ev.groupBy(window_no.alias("part")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(hit)).alias("items"))).alias("body"))
     return run("youtube-api", docs.select(F.lit(fs.YT_SEARCH).alias("url"), "part", "body"))
 
 
