@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..fixed import catalogue as fc
 from ..fixed import taxonomy as ft
 from ..functions import urls
-from ..functions.regex import rx
+from ..functions.regex import let, rx
 from .keyed import lookup_by_key
 
 
@@ -25,17 +25,21 @@ def map_category(raw: Column) -> Column:
 
 def category_from_title(title: Column) -> Column:
     """Category of a title by the ordered rules, or by a place hint, or null."""
-    head = F.substring_index(title, " — ", 1)
-    out = None
-    for category, pattern in ft.TITLE_RULES:
-        cond = head.rlike(rx(pattern, ignore_case=True))
-        out = F.when(cond, F.lit(category)) if out is None else out.when(cond, F.lit(category))
-    return out.when(title.rlike(rx(ft.GEO_HINT)), F.lit(ft.GEO_CATEGORY))
+
+    def pick(head: Column) -> Column:
+        out = F.when(title.rlike(rx(ft.GEO_HINT)), F.lit(ft.GEO_CATEGORY))
+        for category, pattern in reversed(ft.TITLE_RULES):
+            out = F.when(head.rlike(rx(pattern, ignore_case=True)), F.lit(category)).otherwise(out)
+        return out
+
+    return let(F.substring_index(title, " — ", 1), pick)
 
 
 def final_category(raw: Column, title: Column) -> Column:
-    mapped = map_category(raw)
-    return F.when(mapped == ft.OTHER, F.coalesce(category_from_title(title), F.lit(ft.OTHER))).otherwise(mapped)
+    return let(
+        map_category(raw),
+        lambda mapped: F.when(mapped == ft.OTHER, F.coalesce(category_from_title(title), F.lit(ft.OTHER))).otherwise(mapped),
+    )
 
 
 def to_entries(candidates: DataFrame) -> DataFrame:

@@ -110,12 +110,14 @@ def extract_candidates(pages: DataFrame, keep: Sequence[str] = (), page_url: str
     indexed = F.transform(
         F.col("_plain"), lambda t, i: F.struct(F.when(several, i.cast("string")).alias("angle"), t.alias("raw"))
     )
-    df = df.withColumn("_pairs", F.when(F.size("_pairs") > 0, F.col("_pairs")).otherwise(indexed)).drop("_body", "_plain")
-    df = df.select(page_url, *keep, F.posexplode("_pairs").alias("pos", "_p"))
-    df = df.select(
-        page_url, *keep, "pos", F.col("_p.angle").alias("angle_key"),
-        urls.url_join(F.col(page_url), F.col("_p.raw")).alias("target_url"),
+    pairs = F.when(F.size("_pairs") > 0, F.col("_pairs")).otherwise(indexed)
+    df = df.select(page_url, *keep, urls.join_base(F.col(page_url)).alias("_base"), pairs.alias("_pairs"))
+    # Targets are made absolute before the rows are exploded, so that the filters below do not compute them again.
+    made = F.transform(
+        F.col("_pairs"), lambda p: F.struct(p["angle"].alias("angle"), urls.join_with(F.col("_base"), p["raw"]).alias("target"))
     )
+    df = df.select(page_url, *keep, F.posexplode(made).alias("pos", "_p"))
+    df = df.select(page_url, *keep, "pos", F.col("_p.angle").alias("angle_key"), F.col("_p.target").alias("target_url"))
     df = df.where(~urls.is_still_image(F.col("target_url")) & ~urls.is_never_a_stream(F.col("target_url")))
     df = first_by(df, [page_url, "target_url"], ["pos"], [*keep, "pos", "angle_key"])
     return df.withColumn("predisc_key", urls.merge_key(F.col("target_url")))

@@ -8,6 +8,7 @@ from ..fixed import catalogue as fc
 from ..functions import urls
 from ..functions.regex import let, sub
 from ..functions.text import strip
+from .keyed import materialise
 from .liveness import is_playable
 
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -91,7 +92,8 @@ def trim_to_live_edge(manifests: DataFrame) -> DataFrame:
     """
     long = F.coalesce(_is_long(F.col("text")), F.lit(False))
     rest = manifests.where(~long).select("manifest_id", "text", F.lit(0).cast("long").alias("dropped"))
-    lines = manifest_lines(manifests.where(long))
+    # Only long playlists get here; their lines are numbered once and read by the steps below.
+    lines = materialise(manifest_lines(manifests.where(long)), "lines")
     marked = mark_live_edge(segments(lines), "manifest_id", ["seg_no"], F.floor(F.col("seg_no") / BLOCK))
     cut = marked.groupBy("manifest_id").agg(
         F.count_if(~F.col("keep")).alias("dropped"),
@@ -169,6 +171,12 @@ def reference_kind(absolute: Column, site: Column, up_site: Column, relay: Colum
     )
 
 
+def _site_of(ref: Column, absolute: Column, up_site: Column) -> Column:
+    # A reference without a host of its own stays on the upstream's site.
+    own_host = ref.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:|//)")
+    return F.when(own_host, urls.registrable_domain(urls.host(absolute))).otherwise(up_site)
+
+
 def _with_upstream(manifests: DataFrame) -> DataFrame:
     """What all references of a manifest share, once per manifest."""
     up = F.col("upstream_url")
@@ -185,7 +193,7 @@ def classify_references(manifests: DataFrame) -> DataFrame:
         "entry_id", "_base", "_site", "_relay", F.posexplode("_lines").alias("pos", "ref")
     ).where(_is_reference(F.col("ref")))
     refs = refs.withColumn("absolute_url", urls.join_with(F.col("_base"), F.col("ref")))
-    refs = refs.withColumn("_of", urls.registrable_domain(urls.host(F.col("absolute_url"))))
+    refs = refs.withColumn("_of", _site_of(F.col("ref"), F.col("absolute_url"), F.col("_site")))
     kind = reference_kind(F.col("absolute_url"), F.col("_of"), F.col("_site"), F.col("_relay"))
     return refs.select("entry_id", "pos", "ref", "absolute_url", kind.alias("kind"))
 
@@ -202,7 +210,7 @@ def rewrite_manifests(manifests: DataFrame, base_url: str) -> DataFrame:
         joined = let(
             urls.join_with(base, line),
             lambda a: let(
-                F.struct(a.alias("a"), urls.registrable_domain(urls.host(a)).alias("of")),
+                F.struct(a.alias("a"), _site_of(line, a, site).alias("of")),
                 lambda x: let(
                     F.struct(x["a"].alias("a"), reference_kind(x["a"], x["of"], site, relay).alias("kind")),
                     lambda k: F.when(k["kind"] == "child", F.concat(F.col("_child"), urls.percent_encode(k["a"])))

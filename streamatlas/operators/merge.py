@@ -108,15 +108,20 @@ def merge_candidates(candidates: DataFrame) -> DataFrame:
     def longer(a: Column, b: Column) -> Column:
         return F.when(F.length(b) > F.length(a), b).otherwise(a)
 
+    # Step by step, so that no step repeats the expression of the one before.
     none = F.lit("")
-    lead_title = F.coalesce(F.col("_lead_in"), none)
-    official_phase = F.coalesce(F.nullif("_at_q", none), F.nullif(lead_title, none), F.col("_mid"), none)
-    before_p = F.when(F.col("_q").isNull(), lead_title).otherwise(official_phase)
-    at_p = F.when(F.col("_q").isNotNull() & (before_p != ""), before_p).otherwise(longer(before_p, F.col("_at_p")))
+    has_q = F.col("_q").isNotNull()
+    official = F.coalesce(F.nullif("_at_q", none), F.nullif("_lead_in", none), F.col("_mid"), none)
+    picked = picked.withColumn("_lead_in", F.coalesce("_lead_in", none)).withColumn(
+        "_before", F.when(has_q, official).otherwise(F.col("_lead_in"))
+    )
+    picked = picked.withColumn(
+        "_upto_p", F.when(has_q & (F.col("_before") != ""), F.col("_before")).otherwise(longer(F.col("_before"), F.col("_at_p")))
+    )
     title = (
-        F.when(F.col("_p").isNull(), before_p)
+        F.when(F.col("_p").isNull(), F.col("_before"))
         .when(F.col("_y").isNotNull(), F.col("_from_y"))
-        .otherwise(longer(at_p, F.coalesce(F.col("_after_p"), none)))
+        .otherwise(longer(F.col("_upto_p"), F.coalesce(F.col("_after_p"), none)))
     )
     merged = picked.select(
         "ord",

@@ -15,6 +15,7 @@ from ..fixed import catalogue as fc
 from ..fixed import embeds as fe
 from ..functions import urls
 from ..functions.regex import first, first_once, let, rx
+from .keyed import materialise
 from .routing import is_alias_page, route
 
 
@@ -123,7 +124,8 @@ def tool_result(output: Column, now: Column) -> tuple[Column, Column, Column]:
 def resolve(targets: DataFrame, bodies: DataFrame, tool_output: DataFrame | None = None, now: int | Column = 0) -> DataFrame:
     """(target_url, resolver, url, stream_type, ttl_seconds, error) for distinct targets (column target_url)."""
     now_col = now if isinstance(now, Column) else F.lit(now).cast("long")
-    facts = document_facts(bodies)
+    # Bodies are read once; both hops join the short facts cut out of them.
+    facts = materialise(document_facts(bodies), "facts")
     t = F.col("target_url")
     df = targets.select("target_url").withColumn("resolver", route(t))
     name = F.col("resolver")

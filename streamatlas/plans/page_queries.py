@@ -330,7 +330,7 @@ def landed_manifests(spark, sf):
     from ..operators.resolve import resolve as run
 
     t, bodies, tool = resolution_inputs(spark, sf)
-    resolved = run(t.select("target_url"), bodies, tool, _NOW).where(F.col("url").isNotNull())
+    resolved = keyed.materialise(run(t.select("target_url"), bodies, tool, _NOW).where(F.col("url").isNotNull()), "resolved")
     h = F.length("url") % 3
     text = F.when(h == 1, "#EXTM3U\n#EXT-X-ENDLIST\n").otherwise(
         F.concat(F.lit("#EXTM3U\n#EXTINF:4.0,\nseg1.ts\n#EXTINF:4.0,\nhttps://other.example.org/x.ts\nsub/low.m3u8?x=1\n"))
@@ -370,7 +370,7 @@ SELECT CAST(k AS VARCHAR) AS id, status, CASE WHEN url IS NULL THEN 'resolve fai
 def serving_view(spark, sf):
     t, _, _, resolved, texts = landed_manifests(spark, sf)
     cat = t.select(F.col("k").cast("string").alias("id"), "target_url")
-    view = manifests.serving_view(cat, keyed.materialise(resolved, "resolved"), keyed.materialise(texts, "texts"), "http://b")
+    view = manifests.serving_view(cat, resolved, texts, "http://b")
     return view.select("id", "status", "action", "location", F.contains("body", F.lit("/s?u=")).alias("relayed"))
 
 
