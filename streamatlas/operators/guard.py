@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .keyed import lookup_by_key
+
 
 def source_rollup(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Discovered and kept counts of checked candidates (column `reason`, null = live) per key columns."""
@@ -75,11 +77,8 @@ def status_transitions(guarded: DataFrame) -> DataFrame:
     )
 
 
-def served_rows(kept_rows: DataFrame, guarded: DataFrame, cycle: int) -> DataFrame:
-    """The rows to publish in a cycle: per source the kept rows of the cycle its guard serves (one small join side)."""
+def served_rows(kept_rows: DataFrame, guarded: DataFrame, cycle: int, salt_on: str = "ord") -> DataFrame:
+    """The rows to publish in a cycle: per source the kept rows of the cycle its guard serves. Safe against one huge source."""
     serve = guarded.where(F.col("cycle") == cycle).select("source", F.col("served_cycle").alias("_served"))
-    return (
-        kept_rows.join(F.broadcast(serve), "source")
-        .where(F.col("cycle") == F.col("_served"))
-        .drop("_served")
-    )
+    rows = lookup_by_key(kept_rows, serve, "source", F.xxhash64(salt_on), ["_served"], how="inner")
+    return rows.where(F.col("cycle") == F.col("_served")).drop("_served")

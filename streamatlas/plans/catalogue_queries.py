@@ -555,7 +555,7 @@ def served_rows(spark, sf):
         "event_id", F.concat(F.lit("u"), F.col("user_id")).alias("source"), F.floor(F.unix_timestamp("ts") / 86400).alias("cycle")
     )
     last = rolls.agg(F.max("cycle")).first()[0]
-    return guard.served_rows(rows, guard.guard_cycles(rolls), last)
+    return guard.served_rows(rows, guard.guard_cycles(rolls), last, salt_on="event_id").select("event_id", "source", "cycle")
 
 
 # --- episodes and windows of a fetch log ---------------------------------------------------------------------------------

@@ -374,50 +374,53 @@ def serving_view(spark, sf):
     return view.select("id", "status", "action", "location", F.contains("body", F.lit("/s?u=")).alias("relayed"))
 
 
-# --- manifests ------------------------------------------------------------------------------------------------------------
+# --- manifests: every document becomes a playlist, every word of its whole text a segment ---------------------------------
 
 
-
-def order_manifests(spark, sf):
-    """A manifest per order out of its line items: an order has a handful of them."""
-    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
-    seg = F.concat(F.lit("#EXTINF:"), q, F.lit(".5,\nseg"), n, F.when(n == 3, ".m3u8?k=1").otherwise(".ts"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), seg.alias("s")))), lambda x: x["s"]), "\n")
-    per = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("manifest_id")).agg(body.alias("b"))
+def text_manifests(spark, sf):
+    word = lambda w: F.regexp_replace(w, "[^A-Za-z0-9]", "")
+    seg = lambda w: F.concat(
+        F.when(F.length(w) % 5 == 4, "#EXT-X-DISCONTINUITY\n").otherwise(""), F.lit("#EXTINF:"), F.length(w), F.lit(".5,\ns"), w,
+        F.when(F.length(w) % 5 == 0, ".m3u8?k=1").otherwise(".ts"),
+    )
+    lines = F.transform(F.transform(F.split("text", r"[ \n\t\r]+"), word), seg)
     head = "#EXTM3U\n#EXT-X-VERSION:3\n\n#EXT-X-MEDIA-SEQUENCE:7\n"
-    return per.select("manifest_id", F.concat(F.lit(head), F.col("b"), F.lit("\n#EXT-X-ENDLIST\n")).alias("text"))
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("manifest_id"), F.concat(F.lit(head), F.array_join(lines, "\n"), F.lit("\n#EXT-X-ENDLIST\n")).alias("text")
+    )
 
 
-@query("manifest_lines_w1_c24", """
-WITH c AS (SELECT l_orderkey AS manifest_id, l_linenumber - 1 AS seg_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, '#EXTINF:' || CAST(l_quantity AS INTEGER) || '.5') AS rn,
-   CAST(l_quantity AS INTEGER) + 0.5 AS duration, l_linenumber FROM lineitem)
-SELECT manifest_id, CAST(rn - 1 AS BIGINT) AS seg_no, 'seg' || l_linenumber || CASE WHEN l_linenumber = 3 THEN '.m3u8?k=1' ELSE '.ts' END AS url, CAST(duration AS DOUBLE) AS duration FROM c""")
-def manifest_segments(spark, sf):
-    return manifests.segments(manifests.manifest_lines(order_manifests(spark, sf))).drop("discontinuities")
+_WORDS = r"""d AS (SELECT doc_id, list_transform(string_split_regex(text, '[ \n\t\r]+'), lambda w: regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+s AS (SELECT doc_id, i, length(w) + 0.5 AS d, length(w) % 5 = 4 AS disc, 's' || w || CASE WHEN length(w) % 5 = 0 THEN '.m3u8?k=1' ELSE '.ts' END AS ref,
+  CASE WHEN length(w) % 5 = 4 THEN '#EXT-X-DISCONTINUITY' || chr(10) ELSE '' END || '#EXTINF:' || length(w) || '.5,' || chr(10) AS tags,
+  'https://' || CASE doc_id % 3 WHEN 0 THEN 'a.example.net' WHEN 1 THEN 'edge.wetmet.net' ELSE 'b.example.org' END || '/live/' AS base FROM w)"""
 
 
-@query("manifest_refs_m1", """
-WITH l AS (SELECT l_orderkey AS entry_id, l_linenumber, 'seg' || l_linenumber || CASE WHEN l_linenumber = 3 THEN '.m3u8?k=1' ELSE '.ts' END AS ref,
-   'https://' || CASE l_orderkey % 3 WHEN 0 THEN 'a.example.net' WHEN 1 THEN 'edge.wetmet.net' ELSE 'b.example.org' END || '/live/' AS base FROM lineitem)
-SELECT entry_id, ref, base || ref AS absolute_url, CASE WHEN l_linenumber = 3 THEN 'child' WHEN contains(base, 'wetmet') THEN 'relay' ELSE 'direct' END AS kind FROM l""")
-def manifest_refs(spark, sf):
-    return manifests.classify_references(_served(spark, sf)).drop("pos")
+@query("manifest_lines_w1_c24", f"WITH {_WORDS} SELECT doc_id AS manifest_id, i AS seg_no, ref AS url, CAST(d AS DOUBLE) AS duration, CAST(disc AS BIGINT) AS discontinuities FROM s")
+def manifest_segments(spark, sf):
+    return manifests.segments(manifests.manifest_lines(text_manifests(spark, sf)))
 
 
 def _served(spark, sf):
     k = F.col("manifest_id")
     host = F.when(k % 3 == 0, "a.example.net").when(k % 3 == 1, "edge.wetmet.net").otherwise("b.example.org")
     up = F.concat(F.lit("https://"), host, F.lit("/live/index.m3u8?q=1"))
-    return order_manifests(spark, sf).select(k.alias("entry_id"), up.alias("upstream_url"), "text")
+    return text_manifests(spark, sf).select(k.alias("entry_id"), up.alias("upstream_url"), "text")
 
 
-@query("manifest_rewrite_m2", """
-WITH l AS (SELECT l_orderkey AS entry_id, l_linenumber AS n, CAST(l_quantity AS INTEGER) AS q, 'seg' || l_linenumber || CASE WHEN l_linenumber = 3 THEN '.m3u8?k=1' ELSE '.ts' END AS ref,
-   'https://' || CASE l_orderkey % 3 WHEN 0 THEN 'a.example.net' WHEN 1 THEN 'edge.wetmet.net' ELSE 'b.example.org' END || '/live/' AS base FROM lineitem),
-o AS (SELECT *, CASE WHEN n = 3 THEN 'http://b/stream/' || entry_id || '/m?u=' || url_encode(base || ref) WHEN contains(base, 'wetmet')
-   THEN 'http://b/stream/' || entry_id || '/s?u=' || url_encode(base || ref) ELSE base || ref END AS served FROM l)
-SELECT entry_id, md5('#EXTM3U' || chr(10) || '#EXT-X-VERSION:3' || chr(10) || chr(10) || '#EXT-X-MEDIA-SEQUENCE:7' || chr(10) ||
-   string_agg('#EXTINF:' || q || '.5,' || chr(10) || served, chr(10) ORDER BY n, '#EXTINF:' || q || '.5') || chr(10) || '#EXT-X-ENDLIST' || chr(10)) AS body FROM o GROUP BY entry_id""")
+@query("manifest_refs_m1", f"""WITH {_WORDS}
+SELECT doc_id AS entry_id, ref, base || ref AS absolute_url, CASE WHEN contains(ref, '.m3u8') THEN 'child' WHEN contains(base, 'wetmet') THEN 'relay' ELSE 'direct' END AS kind, count(*) AS n FROM s GROUP BY ALL""")
+def manifest_refs(spark, sf):
+    refs = manifests.classify_references(_served(spark, sf))
+    return refs.groupBy("entry_id", "ref", "absolute_url", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("manifest_rewrite_m2", f"""WITH {_WORDS},
+o AS (SELECT *, CASE WHEN contains(ref, '.m3u8') THEN 'http://b/stream/' || doc_id || '/m?u=' || url_encode(base || ref) WHEN contains(base, 'wetmet')
+   THEN 'http://b/stream/' || doc_id || '/s?u=' || url_encode(base || ref) ELSE base || ref END AS served FROM s)
+SELECT doc_id AS entry_id, md5('#EXTM3U' || chr(10) || '#EXT-X-VERSION:3' || chr(10) || chr(10) || '#EXT-X-MEDIA-SEQUENCE:7' || chr(10) ||
+   string_agg(tags || served, chr(10) ORDER BY i) || chr(10) || '#EXT-X-ENDLIST' || chr(10)) AS body FROM o GROUP BY doc_id""")
 def manifest_rewrite(spark, sf):
     return manifests.rewrite_manifests(_served(spark, sf), "http://b").select("entry_id", F.md5("body").alias("body"))
 
@@ -435,35 +438,15 @@ def live_edge(spark, sf):
     return manifests.mark_live_edge(segs, "l_suppkey", order, month).where("keep").select("l_suppkey", "l_orderkey", "l_linenumber")
 
 
-def long_manifests(spark, sf):
-    """One long manifest per user and day out of the events (every event is a segment), short ones for other days."""
-    ev = table(spark, sf, "events").select(
-        (F.col("user_id") % 7).alias("manifest_id"), "event_id", F.floor(F.col("value") / 20).cast("int").alias("d"), "event_type",
-        F.floor(F.col("event_id") / 600).alias("blk"),
-    )
-    disc = F.when(F.col("event_type") == "error", "#EXT-X-DISCONTINUITY\n").otherwise("")
-    seg = F.concat(disc, F.lit("#EXTINF:"), F.col("d"), F.lit(",\ns"), F.col("event_id"), F.lit(".ts"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("event_id", seg.alias("s")))), lambda x: x["s"])
-    per = ev.groupBy("manifest_id", "blk").agg(F.array_join(lines, "\n").alias("b"), F.count(F.lit(1)).alias("n"))
-    copies = F.concat_ws("\n", *[F.col("b")] * 4)
-    return per.select(
-        (F.col("blk") * 7 + F.col("manifest_id")).alias("manifest_id"),
-        F.concat(F.lit("#EXTM3U\n#EXT-X-TARGETDURATION:9\n#EXT-X-MEDIA-SEQUENCE:1000\n"), copies, F.lit("\n")).alias("text"),
-    )
-
-
-@query("live_edge_text_w3", """
-WITH e AS (SELECT event_id // 600 * 7 + user_id % 7 AS manifest_id, event_id, CAST(floor(value / 20) AS INTEGER) AS d, event_type = 'error' AS disc FROM events),
-c AS (SELECT e.*, x.r AS r FROM e, (SELECT unnest([0, 1, 2, 3]) AS r) x),
-w AS (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY r DESC, event_id DESC) - 1 AS after_n, count(*) OVER (PARTITION BY manifest_id) AS total,
-   coalesce(sum(d) OVER (PARTITION BY manifest_id ORDER BY r DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after_d FROM c),
-k AS (SELECT *, total <= 200 OR after_d < 120 OR after_n < 6 AS keep FROM w),
-g AS (SELECT manifest_id, count(*) FILTER (NOT keep) AS dropped, count(*) FILTER (NOT keep AND disc) AS dd,
-   string_agg(CASE WHEN disc THEN '#EXT-X-DISCONTINUITY' || chr(10) ELSE '' END || '#EXTINF:' || d || ',' || chr(10) || 's' || event_id || '.ts', chr(10) ORDER BY r, event_id) FILTER (keep) AS b FROM k GROUP BY manifest_id)
-SELECT manifest_id, dropped, md5('#EXTM3U' || chr(10) || '#EXT-X-TARGETDURATION:9' || chr(10) || '#EXT-X-MEDIA-SEQUENCE:' || (1000 + dropped) || chr(10) ||
-  CASE WHEN dd > 0 THEN '#EXT-X-DISCONTINUITY-SEQUENCE:' || dd || chr(10) ELSE '' END || b || chr(10)) AS text FROM g""")
+@query("live_edge_text_w3", f"""WITH {_WORDS},
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) - 1 AS after_n, count(*) OVER (PARTITION BY doc_id) AS total,
+   coalesce(sum(d) OVER (PARTITION BY doc_id ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after_d FROM s),
+k AS (SELECT *, total <= 200 OR after_d < 120 OR after_n < 6 AS keep FROM x),
+g AS (SELECT doc_id, count(*) FILTER (NOT keep) AS dropped, count(*) FILTER (NOT keep AND disc) AS dd, string_agg(tags || ref, chr(10) ORDER BY i) FILTER (keep) AS b FROM k GROUP BY doc_id)
+SELECT doc_id AS manifest_id, dropped, md5('#EXTM3U' || chr(10) || '#EXT-X-VERSION:3' || chr(10) || CASE WHEN dropped = 0 THEN chr(10) ELSE '' END || '#EXT-X-MEDIA-SEQUENCE:' || (7 + dropped) || chr(10) ||
+  CASE WHEN dd > 0 THEN '#EXT-X-DISCONTINUITY-SEQUENCE:' || dd || chr(10) ELSE '' END || b || chr(10) || CASE WHEN dropped = 0 THEN '#EXT-X-ENDLIST' || chr(10) ELSE '' END) AS text FROM g""")
 def live_edge_text(spark, sf):
-    return manifests.trim_to_live_edge(long_manifests(spark, sf)).select("manifest_id", "dropped", F.md5("text").alias("text"))
+    return manifests.trim_to_live_edge(text_manifests(spark, sf)).select("manifest_id", "dropped", F.md5("text").alias("text"))
 
 
 # --- graph and probes -----------------------------------------------------------------------------------------------------

@@ -634,9 +634,9 @@ def wildlife_trusts(pages: DataFrame) -> DataFrame:
         has(F.col("url"), fs.WILDLIFE_IS_CAM, ignore_case=True) & ~has(F.col("url"), fs.WILDLIFE_NOT_CAM, ignore_case=True)
     )
     listed = first_by(links, ["url"], ["part", "pos"], ["text"])
-    # The pages lie on many sites, so the list decides which documents are read.
-    details = usable(pages).join(listed, "url").select("url", "body", _wildlife_title(F.col("text")).alias("title"))
-    df = extract_candidates(details, ["title"])
+    # The pages lie on many sites. They are read first and joined with the list afterwards, so that no body is shuffled.
+    details = usable(pages).where(F.col("url") != fs.WILDLIFE_INDEX).select("url", "body")
+    df = extract_candidates(details).join(listed.select("url", _wildlife_title(F.col("text")).alias("title")), "url")
     return _rows(df, k1=F.col("url"), k3=F.col("pos"), category=F.lit("Animals"), source_page_url=F.col("url"))
 
 
