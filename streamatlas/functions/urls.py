@@ -194,6 +194,8 @@ def join_base(base: Column) -> Column:
         lambda p: F.struct(
             base.alias("url"), p["scheme"].alias("scheme"), p["net"].alias("net"), p["path"].alias("path"), p["query"].alias("query"),
             F.concat(p["scheme"], F.lit("://"), p["net"]).alias("origin"),
+            F.concat(p["scheme"], F.lit("://"), p["net"], F.when(p["path"] == "", F.lit("/")).otherwise(
+                F.regexp_replace(p["path"], r"[^/]*$", ""))).alias("prefix"),
             F.when(p["path"] == "", F.lit("/")).otherwise(F.regexp_replace(p["path"], r"[^/]*$", "")).alias("dir"),
             ((p["scheme"] != "") & (p["net"] != "") & ~p["path"].rlike(r"(?:^|/)\.{1,2}(?:/|$)") & ~F.contains(p["path"], F.lit("//"))).alias("plain"),
         ),
@@ -206,6 +208,10 @@ _SIMPLE_REL = r"^(?![^?]*/\.{0,2}(?:/|$|\?))(?!\.{1,2}(?:/|$|\?))[^/?#:\s][^?#:\
 _SIMPLE_ABS = r"^(?=/[^/])(?![^?]*/\.{1,2}(?:/|$|\?))[^?#\s]*(?:\?[^#\s]+)?$"
 
 
+# A bare file name, perhaps with a query: by far the most common reference.
+FILE_NAME = r"^[A-Za-z0-9_~-][A-Za-z0-9_~.-]*(?:\?[^#\s]+)?$"
+
+
 def url_join(base: Column, ref: Column) -> Column:
     """The absolute form of a reference found on a page."""
     return let(join_base(base), lambda b: join_with(b, ref))
@@ -214,7 +220,8 @@ def url_join(base: Column, ref: Column) -> Column:
 def join_with(base: Column, ref: Column) -> Column:
     """The absolute form of a reference, for a base prepared with `join_base`."""
     return (
-        F.when((base["url"] == "") | ref.rlike(_ABSOLUTE), ref)
+        F.when(base["plain"] & ref.rlike(FILE_NAME), F.concat(base["prefix"], ref))
+        .when((base["url"] == "") | ref.rlike(_ABSOLUTE), ref)
         .when(ref == "", base["url"])
         .when(base["plain"] & ref.rlike(_SIMPLE_REL), F.concat(base["origin"], base["dir"], ref))
         .when(base["plain"] & ref.rlike(_SIMPLE_ABS), F.concat(base["origin"], ref))

@@ -6,17 +6,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..fixed import catalogue as fc
 from ..functions import urls
-from ..functions.regex import let, sub
-from ..functions.text import strip
-from .keyed import materialise
+from ..functions.regex import has, let, sub
 from .liveness import is_playable
 
-_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 DISCONTINUITY = "#EXT-X-DISCONTINUITY"
+_INK = r"[^\s\x1c-\x1f]"
 MEDIA_SEQUENCE = "#EXT-X-MEDIA-SEQUENCE"
 DISCONTINUITY_SEQUENCE = "#EXT-X-DISCONTINUITY-SEQUENCE"
-# Segments per block of the trim; the suffix sums of a longer list are built block by block.
-BLOCK = 50_000
 
 
 def manifest_lines(manifests: DataFrame) -> DataFrame:
@@ -27,7 +24,7 @@ def manifest_lines(manifests: DataFrame) -> DataFrame:
     """
     lines = manifests.select("manifest_id", F.posexplode(F.split("text", _LINE_ENDS)).alias("pos", "line"))
     line = F.col("line")
-    lines = lines.where(strip(line) != "")
+    lines = lines.where(has(line, _INK))
     is_url = ~line.startswith("#")
     leading = ~is_url & F.substring_index(line, ":", 1).isin(*fc.PLAYLIST_TAGS)
     w = W.partitionBy("manifest_id").orderBy("pos")
@@ -80,76 +77,93 @@ def mark_live_edge(
     return df.withColumn("keep", keep).drop("_block", "_later_d", "_later_c")
 
 
-def _is_long(text: Column) -> Column:
-    refs = F.filter(F.split(text, _LINE_ENDS), lambda ln: (strip(ln) != "") & ~ln.startswith("#"))
-    return ~F.contains(text, F.lit("#EXT-X-STREAM-INF")) & (F.size(refs) > fc.TRIM_ABOVE)
+def _clean_lines(text: Column) -> Column:
+    """The text with plain line ends and without blank lines."""
+    one_end = F.regexp_replace(text, _LINE_ENDS, "\n")
+    return F.regexp_replace(one_end, r"(?dUm)^[\s\x1c-\x1f&&[^\n]]*(?:\n|\z)", "")
 
 
-def trim_to_live_edge(manifests: DataFrame) -> DataFrame:
-    """(manifest_id, text, dropped): long media playlists cut to their live edge with fixed sequence tags, others verbatim.
+_HEADER = "^(?:(?:" + "|".join(fc.PLAYLIST_TAGS) + r")(?::[^\n]*)?(?:\n|\z))*+"
+_SEGMENT = r"(?dm)^((?:#[^\n]*\n)*+)([^#\n][^\n]*)"
 
-    Short and master playlists are told apart row by row and never shuffled.
-    """
-    long = F.coalesce(_is_long(F.col("text")), F.lit(False))
-    rest = manifests.where(~long).select("manifest_id", "text", F.lit(0).cast("long").alias("dropped"))
-    # Only long playlists get here; their lines are numbered once and read by the steps below.
-    lines = materialise(manifest_lines(manifests.where(long)), "lines")
-    marked = mark_live_edge(segments(lines), "manifest_id", ["seg_no"], F.floor(F.col("seg_no") / BLOCK))
-    cut = marked.groupBy("manifest_id").agg(
-        F.count_if(~F.col("keep")).alias("dropped"),
-        F.coalesce(F.sum(F.when(~F.col("keep"), F.col("discontinuities"))), F.lit(0)).alias("_disc"),
-        F.count(F.lit(1)).alias("_n"),
+
+def _trim(clean: Column) -> Column:
+    """struct(dropped, text) of a clean media playlist; `text` only where something is dropped."""
+    head = F.regexp_extract(clean, _HEADER, 0)
+    body = F.substr(clean, F.length(head) + 1)
+    parts = let(
+        F.struct(head.alias("head"), body.alias("body")),
+        lambda p: F.struct(
+            p["head"].alias("head"),
+            F.regexp_extract_all(p["body"], F.lit(_SEGMENT), F.lit(1)).alias("tags"),
+            F.regexp_extract_all(p["body"], F.lit(_SEGMENT), F.lit(2)).alias("urls"),
+        ),
     )
-    line = F.col("line")
 
-    def first_header(tag: str) -> Column:
-        return F.min(F.when((F.col("kind") == "header") & line.startswith(tag + ":"), F.struct("pos", "line")))["line"]
+    def seconds(tags: Column) -> Column:
+        return F.coalesce(F.regexp_extract(tags, r"(?dm)^#EXTINF:([^,\n]*)", 1).try_cast("double"), F.lit(0.0))
 
-    heads = lines.groupBy("manifest_id").agg(
-        first_header(MEDIA_SEQUENCE).alias("_m"), first_header(DISCONTINUITY_SEQUENCE).alias("_d")
-    )
-    number = lambda c: F.coalesce(F.trim(F.regexp_replace(c, "^[^:]*:", "")).try_cast("long"), F.lit(0))
-    cut = cut.join(heads, "manifest_id").select(
-        "manifest_id", "dropped", "_n",
-        (number("_m") + F.col("dropped")).cast("string").alias("_media"),
-        (number("_d") + F.col("_disc")).alias("_disc"),
-        F.col("_m").isNull().alias("_no_media"),
-        F.col("_d").isNull().alias("_no_disc"),
-    )
-    media = F.concat(F.lit(MEDIA_SEQUENCE + ":"), F.col("_media"))
-    disc = F.concat(F.lit(DISCONTINUITY_SEQUENCE + ":"), F.col("_disc").cast("string"))
-    new_line = (
-        F.when(F.col("kind") != "header", line)
-        .when(line.startswith(MEDIA_SEQUENCE + ":"), media)
-        .when(line.startswith(DISCONTINUITY_SEQUENCE + ":"), disc)
-        .otherwise(line)
-    )
-    body = (
-        lines.join(cut, "manifest_id")
-        .where((F.col("kind") == "header") | ((F.col("seg_no") >= F.col("dropped")) & (F.col("seg_no") < F.col("_n"))))
-        .select("manifest_id", F.when(F.col("kind") == "header", 0).otherwise(2).alias("part"), "pos", new_line.alias("line"))
-    )
-    added = F.array(
-        F.when(F.col("_no_media"), F.struct(F.lit(0).alias("pos"), media.alias("line"))),
-        F.when(F.col("_no_disc") & (F.col("_disc") != 0), F.struct(F.lit(1).alias("pos"), disc.alias("line"))),
-    )
-    extra = cut.where(F.col("dropped") > 0).select("manifest_id", F.explode(F.array_compact(added)).alias("x")).select(
-        "manifest_id", F.lit(1).alias("part"), F.col("x.pos").alias("pos"), F.col("x.line").alias("line")
-    )
-    # One manifest is one document of limited size, so its kept lines fit in one row again.
-    texts = body.unionByName(extra).groupBy("manifest_id").agg(
-        F.concat(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "pos", "line"))), lambda r: r["line"]), "\n"),
-            F.lit("\n"),
-        ).alias("_text")
+    def kept(p: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c"))
+        more = lambda a: (a["s"] < fc.LIVE_WINDOW_SECONDS) | (a["c"] < fc.MIN_KEEP)
+        step = lambda a, d: F.when(more(a), F.struct((a["s"] + d).alias("s"), (a["c"] + 1).alias("c"))).otherwise(a)
+        end = F.aggregate(F.reverse(F.transform(p["tags"], seconds)), start, step)
+        return F.when(F.size(p["urls"]) <= fc.TRIM_ABOVE, F.size(p["urls"])).otherwise(end["c"])
+
+    def rebuild(p: Column) -> Column:
+        return F.when(p["dropped"] > 0, F.concat(_fixed_header(p), _tail(p))).otherwise(F.lit(None).cast("string"))
+
+    counted = let(
+        parts,
+        lambda p: F.struct(
+            p["head"].alias("head"), p["tags"].alias("tags"), p["urls"].alias("urls"), (F.size(p["urls"]) - kept(p)).alias("dropped")
+        ),
     )
-    trimmed = (
-        manifests.where(long)
-        .join(cut.select("manifest_id", "dropped"), "manifest_id")
-        .join(texts, "manifest_id")
-        .select("manifest_id", F.when(F.col("dropped") > 0, F.col("_text")).otherwise(F.col("text")).alias("text"), "dropped")
+    return let(counted, lambda p: F.struct(p["dropped"].cast("long").alias("dropped"), rebuild(p).alias("text")))
+
+
+def _header_number(head: Column, tag: str) -> Column:
+    return F.coalesce(F.trim(F.regexp_extract(head, f"(?dm)^{tag}:(.*)$", 1)).try_cast("long"), F.lit(0))
+
+
+def _fixed_header(p: Column) -> Column:
+    """Header with the sequence numbers moved on by what was dropped; a missing number is added."""
+    gone = F.aggregate(
+        F.slice(p["tags"], F.lit(1), p["dropped"]), F.lit(0).cast("long"),
+        lambda n, t: n + F.regexp_count(t, F.lit(rf"(?dm)^{DISCONTINUITY}$")),
     )
-    return rest.unionByName(trimmed)
+
+    def fix(head: Column, tag: str, value: Column, needed: Column) -> Column:
+        line = F.concat(F.lit(tag + ":"), value.cast("string"))
+        present = head.rlike(f"(?dm)^{tag}:")
+        swapped = F.regexp_replace(head, F.lit(f"(?dm)^{tag}:.*$"), line)
+        return F.when(present, swapped).when(needed, F.concat(head, line, F.lit("\n"))).otherwise(head)
+
+    media = let(p["head"], lambda h: fix(h, MEDIA_SEQUENCE, _header_number(h, MEDIA_SEQUENCE) + p["dropped"], F.lit(True)))
+    numbers = let(gone, lambda g: g + _header_number(p["head"], DISCONTINUITY_SEQUENCE))
+    both = F.struct(media.alias("h"), numbers.alias("d"))
+    return let(both, lambda x: fix(x["h"], DISCONTINUITY_SEQUENCE, x["d"], x["d"] != 0))
+
+
+def _tail(p: Column) -> Column:
+    rest = F.size(p["urls"]) - p["dropped"]
+    zipped = F.arrays_zip(F.slice(p["tags"], p["dropped"] + 1, rest).alias("t"), F.slice(p["urls"], p["dropped"] + 1, rest).alias("u"))
+    return F.concat(F.array_join(F.transform(zipped, lambda z: F.concat(z["t"], z["u"])), "\n"), F.lit("\n"))
+
+
+def trim_to_live_edge(manifests: DataFrame) -> DataFrame:
+    """(manifest_id, text, dropped): long media playlists cut to their live edge with fixed sequence tags, others verbatim.
+
+    A playlist is one document of limited size, so the cut is worked out inside its row and nothing is shuffled. Short and master
+    playlists are recognised by a count of line starts and are not parsed.
+    """
+    text = F.col("text")
+    # Line starts that are no tag; an upper bound of the number of segments.
+    lines = F.regexp_count(text, F.lit(r"(?:^|\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])(?!#)"))
+    parse = F.coalesce((lines > fc.TRIM_ABOVE) & ~F.contains(text, F.lit("#EXT-X-STREAM-INF")), F.lit(False))
+    cut = F.when(parse, let(_clean_lines(text), _trim))
+    df = manifests.select("manifest_id", "text", cut.alias("_cut"))
+    return df.select("manifest_id", F.coalesce(F.col("_cut.text"), text).alias("text"), F.coalesce(F.col("_cut.dropped"), F.lit(0)).cast("long").alias("dropped"))
 
 
 def _is_reference(line: Column) -> Column:
@@ -205,23 +219,31 @@ def rewrite_manifests(manifests: DataFrame, base_url: str) -> DataFrame:
     """
     base, site, relay = F.col("_base"), F.col("_site"), F.col("_relay")
     link = lambda marker: F.concat(F.lit(f"{base_url}/stream/"), F.col("entry_id"), F.lit(f"/{marker}?u="))
+    is_child = lambda ref: F.substring_index(ref, "?", 1).endswith(".m3u8")
 
-    def one(line: Column) -> Column:
-        joined = let(
+    def general(line: Column) -> Column:
+        return let(
             urls.join_with(base, line),
             lambda a: let(
-                F.struct(a.alias("a"), _site_of(line, a, site).alias("of")),
-                lambda x: let(
-                    F.struct(x["a"].alias("a"), reference_kind(x["a"], x["of"], site, relay).alias("kind")),
-                    lambda k: F.when(k["kind"] == "child", F.concat(F.col("_child"), urls.percent_encode(k["a"])))
-                    .when(k["kind"] == "relay", F.concat(F.col("_segment"), urls.percent_encode(k["a"])))
-                    .otherwise(k["a"]),
-                ),
+                reference_kind(a, _site_of(line, a, site), site, relay),
+                lambda kind: F.when(kind == "child", F.concat(F.col("_child"), urls.percent_encode(a)))
+                .when(kind == "relay", F.concat(F.col("_segment"), urls.percent_encode(a)))
+                .otherwise(a),
             ),
         )
-        return F.when(_is_reference(line), joined).otherwise(line)
+
+    def one(line: Column) -> Column:
+        # A bare file name lies beside its playlist: same site, and its encoded form is the encoded folder and the encoded name.
+        beside = (
+            F.when(is_child(line), F.concat(F.col("_child"), F.col("_folder"), urls.percent_encode(line)))
+            .when(relay, F.concat(F.col("_segment"), F.col("_folder"), urls.percent_encode(line)))
+            .otherwise(F.concat(base["prefix"], line))
+        )
+        simple = base["plain"] & (site != "") & line.rlike(urls.FILE_NAME)
+        return F.when(line.startswith("#"), line).when(simple, beside).when(_is_reference(line), general(line)).otherwise(line)
 
     df = _with_upstream(manifests).withColumn("_child", link("m")).withColumn("_segment", link("s"))
+    df = df.withColumn("_folder", urls.percent_encode(base["prefix"]))
     return df.select("entry_id", F.array_join(F.transform("_lines", one), "\n").alias("body"))
 
 

@@ -84,10 +84,13 @@ def test_trim(spark):
     assert "#EXT-X-MEDIA-SEQUENCE:1180\n" in first and first.count("#EXTINF") == 120
 
 
-def test_trim_over_block_borders(spark, monkeypatch):
-    monkeypatch.setattr(manifests, "BLOCK", 37)
+def test_marking_over_block_borders_equals_the_text_trim(spark):
     text = playlist(500, 1, disc_every=9)
-    assert trimmed(spark, [text]) == [plain_trim(text)]
+    df = spark.createDataFrame([(1, text)], "manifest_id int, text string")
+    segs = manifests.segments(manifests.manifest_lines(df))
+    for block in (F.floor(F.col("seg_no") / 37), F.lit(0)):
+        kept = manifests.mark_live_edge(segs, "manifest_id", ["seg_no"], block).where("keep").orderBy("seg_no").collect()
+        assert [r.url for r in kept] == [x for x in plain_trim(text).splitlines() if not x.startswith("#")]
 
 
 def rewritten(spark, text, upstream):
