@@ -467,7 +467,7 @@ def rollups(spark, sf, team: bool = False):
     )
     counted = ev.groupBy("source", "cycle").agg(F.count(F.lit(1)).alias("kept"), F.bool_or("crash").alias("crashed"))
     days = counted.agg(F.min("cycle").alias("a"), F.max("cycle").alias("b")).first()
-    dense = counted.select("source").distinct().withColumn("cycle", F.explode(F.sequence(F.lit(days["a"]), F.lit(days["b"]))))
+    dense = counted.select("source").distinct().withColumn("cycle", F.explode(F.sequence(F.lit(days["a"]).cast("long"), F.lit(days["b"]).cast("long"))))
     crashed = F.coalesce("crashed", F.lit(False))
     return dense.join(counted, ["source", "cycle"], "left").select(
         "source", "cycle", (F.coalesce("kept", F.lit(0)) + 1).alias("discovered"),

@@ -18,7 +18,7 @@ def page_scan(spark, sf):
     docs = documents(spark, sf)
     n = F.col("page_id")
     body = F.when(n % 6 == 0, F.when(n % 4 == 0, "")).otherwise(F.col("body"))
-    return extract.usable(docs.withColumn("body", body)).select("page_id", F.length("body").alias("n"))
+    return extract.usable(docs.withColumn("body", body)).select("page_id", F.length("body").cast("long").alias("n"))
 
 
 @query("page_links_s2", r"""
@@ -48,7 +48,7 @@ WITH p AS (SELECT DISTINCT page_id % 90 AS page_no FROM pages WHERE page_id % 90
 SELECT page_no FROM p WHERE page_no <= 80 AND page_no < 41""")
 def paged_listing(spark, sf):
     n = F.col("page_id") % 90
-    return probe.contiguous_pages(documents(spark, sf).where(n != 41).select(n.cast("int").alias("page_no")))
+    return probe.contiguous_pages(documents(spark, sf).where(n != 41).select(n.alias("page_no")))
 
 
 @query("page_meta_e5", r"""
@@ -304,7 +304,7 @@ u AS (SELECT *, CASE
   CASE kind WHEN 0 THEN 'baltic' WHEN 1 THEN 'ipcamlive' WHEN 2 THEN 'metatag' WHEN 3 THEN 'wetmet' WHEN 4 THEN 'skyline' WHEN 5 THEN 'earthcam' WHEN 6 THEN 'hdontap'
     WHEN 7 THEN 'ozolio' WHEN 8 THEN 'viewsurf' WHEN 9 THEN 'ytdlp' WHEN 10 THEN 'direct' END AS resolver FROM t),
 r AS (SELECT *, CASE WHEN url IS NOT NULL THEN CASE WHEN kind = 2 THEN 'mp4' ELSE 'hls' END END AS stream_type,
-  CASE WHEN url IS NOT NULL THEN CASE kind WHEN 0 THEN 500 WHEN 3 THEN 300 WHEN 4 THEN 60 WHEN 5 THEN 120 WHEN 6 THEN 3600 WHEN 7 THEN 180 WHEN 8 THEN 1800 WHEN 9 THEN 900 END END AS ttl_seconds,
+  CASE WHEN url IS NOT NULL THEN CASE kind WHEN 0 THEN 500 WHEN 3 THEN 300 WHEN 4 THEN 60 WHEN 5 THEN 120 WHEN 6 THEN 3600 WHEN 7 THEN 180 WHEN 8 THEN 1800 WHEN 9 THEN 900 END END::BIGINT AS ttl_seconds,
   CASE WHEN url IS NOT NULL OR kind = 11 THEN NULL WHEN kind < 7 AND gone THEN 'resolver fetch failed'
     WHEN kind = 0 THEN 'baltic: no camera id in target' WHEN kind = 1 THEN 'ipcamlive: no address/streamid (offline?)' WHEN kind = 2 THEN 'no og:video'
     WHEN kind = 3 THEN 'wetmet: no m3u8 in widget frame' WHEN kind = 4 THEN 'skyline: no stream token (offline?)' WHEN kind = 5 THEN 'earthcam: no live HLS (offline?)'

@@ -73,7 +73,7 @@ _P = "WITH p AS (SELECT page_id AS n FROM pages), l AS (SELECT n FROM p WHERE n
 
 
 def rows(title: str, url: str, target: str, key: str | None, category: str | None = None, angle: str | None = None, where: str = "true") -> str:
-    value = lambda v: "NULL" if v is None else S(v)
+    value = lambda v: "CAST(NULL AS VARCHAR)" if v is None else S(v)
     return (
         f"SELECT {S(title)} AS title, {value(angle)} AS angle_key, {value(category)} AS category, {S(url)} AS source_page_url, "
         f"{S(target)} AS target_url, {value(key)} AS predisc_key FROM l WHERE {where}"
@@ -158,7 +158,7 @@ _CSU = "https://www.camsecure.co.uk/BrightPier{n}_webcam.html"
 
 @query("source_camsecure", f"""WITH p AS (SELECT page_id AS n FROM pages), l AS (SELECT n, {S(_CSU)} AS u FROM p WHERE n % 9 <> 8),
 d AS (SELECT n // 2 AS h, min(u) AS u, arg_min(n, u) AS n FROM l GROUP BY n // 2)
-SELECT CASE n % 3 WHEN 0 THEN 'Harbour ' || n WHEN 1 THEN 'Pier ' || n ELSE 'Bright Pier' || n END AS title, NULL AS angle_key, NULL AS category, u AS source_page_url,
+SELECT CASE n % 3 WHEN 0 THEN 'Harbour ' || n WHEN 1 THEN 'Pier ' || n ELSE 'Bright Pier' || n END AS title, CAST(NULL AS VARCHAR) AS angle_key, CAST(NULL AS VARCHAR) AS category, u AS source_page_url,
   'https://camsecure.uk/HLS/s' || h || '.m3u8' AS target_url, 'hls:https://camsecure.uk/HLS/s' || h || '.m3u8' AS predisc_key FROM d""")
 def camsecure(spark, sf):
     df = numbered(spark, sf)
@@ -436,7 +436,7 @@ f AS (SELECT v, min(w) AS w, arg_min('T' || event_id, w * 1000 + event_id % 50)
 n AS (SELECT x.w, count(f.v) AS new FROM (SELECT DISTINCT w FROM h) x LEFT JOIN f USING (w) GROUP BY ALL),
 r AS (SELECT *, coalesce(sum(new) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen,
   coalesce(min(new) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS least FROM n)
-SELECT title, NULL AS angle_key, NULL AS category, 'https://www.youtube.com/watch?v=' || v AS source_page_url, 'https://www.youtube.com/watch?v=' || v AS target_url, 'yt:' || v AS predisc_key
+SELECT title, CAST(NULL AS VARCHAR) AS angle_key, CAST(NULL AS VARCHAR) AS category, 'https://www.youtube.com/watch?v=' || v AS source_page_url, 'https://www.youtube.com/watch?v=' || v AS target_url, 'yt:' || v AS predisc_key
 FROM f JOIN r USING (w) WHERE seen < 1000 AND least > 0""")
 def youtube_api(spark, sf):
     ev = table(spark, sf, "events")
