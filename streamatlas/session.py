@@ -26,6 +26,16 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers of this machine import the package wherever the driver found it. On a cluster the package is installed on the executors or
+    shipped with `--py-files`; the path added here is then of no effect."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *known])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that `checkpoint()` writes to.
 
@@ -37,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="streamatlas-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
