@@ -25,17 +25,24 @@ SINGLE, MULTIPLE, INDEXED = 0, 1, 2  # kinds of a hash within one part; MULTIPLE
 U64 = np.uint64
 
 
-def write_parts(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The documents as a table (doc_id, text, part), parts in ascending order of ids (null first; rows of one id share a part), and their bytes."""
+def write_parts(docs: DataFrame, by_id: bool = True) -> tuple[DataFrame, int]:
+    """The documents as a table (doc_id, text, part), and their bytes. With `by_id` parts are in ascending order of ids (null first; rows of one id
+    share a part); otherwise what a task reads is a part, and no text is shuffled unless tasks read too much."""
     spark = docs.sparkSession
     rows = id_and_text(docs)
     size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     # at least as many parts as shuffles have, or else the join with them would deal the texts again
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    if by_id:
+        rows = rows.repartitionByRange(n, "doc_id")
+    else:
+        tasks = rows.rdd.getNumPartitions()
+        if size > 4 * PART_BYTES * max(tasks, 1):
+            rows = rows.repartition(n)
+        n = max(n, tasks)
     name = f"parts_{uuid.uuid4().hex}"
     (
-        rows.repartitionByRange(n, "doc_id")
-        .withColumn("part", F.spark_partition_id())
+        rows.withColumn("part", F.spark_partition_id())
         .write.bucketBy(n, "part")
         .option("compression", "zstd")
         .option("path", f"{ensure_checkpoint_dir(spark)}/{name}")
@@ -144,7 +151,7 @@ def buckets_for(spark, keys: int) -> int:
 def answer(sent: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Decides each bucket on its own and sends every part those of its own hashes that count.
 
-    `judge(keys, kinds, parts)` sees a bucket's messages sorted by key and returns two masks: entries to send back, and which of these carry kind MULTIPLE.
+    `judge(keys, kinds, parts)` sees a bucket's entries sorted by key and returns two masks: entries to send back, and which of these carry kind MULTIPLE.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -153,7 +160,7 @@ def answer(sent: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarray]
         keys = np.concatenate(lists)
         kinds = np.repeat(frame["kind"].to_numpy(np.int8), lengths)
         parts = np.repeat(frame["part"].to_numpy(np.int32), lengths)
-        order = np.lexsort((parts, keys))
+        order = np.argsort(keys)
         keys, kinds, parts = keys[order], kinds[order], parts[order]
         back, marked = judge(keys, kinds, parts)
         keys, parts, marked = keys[back], parts[back], marked[back]
@@ -171,6 +178,24 @@ def answer(sent: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarray]
     return sent.groupBy("bucket").applyInPandas(run, "part int, kind int, keys binary")
 
 
+def answer_bits(sent: DataFrame) -> DataFrame:
+    """Tells for each key of each message whether it occurs more than once in all: one bit per key, in the message's order."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        lists = [decode_keys(b) for b in frame["keys"]]
+        lengths = np.array([len(x) for x in lists])
+        keys = np.concatenate(lists)
+        order = np.argsort(keys)
+        run = runs_of(keys[order])
+        many = np.empty(len(keys), bool)
+        many[order] = (np.bincount(run, 1 + np.repeat(frame["kind"].to_numpy(np.int8) & 1, lengths)[order]) > 1)[run]
+        cuts = np.cumsum(lengths)
+        bits = [np.packbits(many[b - n : b]).tobytes() for n, b in zip(lengths, cuts)]
+        return pd.DataFrame({"bucket": frame["bucket"], "part": frame["part"], "kind": frame["kind"], "keys": bits})
+
+    return sent.groupBy("bucket").applyInPandas(run, MESSAGES)
+
+
 def runs_of(keys: np.ndarray) -> np.ndarray:
     """Index of the run of equal keys that each of the sorted keys belongs to."""
     return np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)

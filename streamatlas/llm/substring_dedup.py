@@ -75,9 +75,11 @@ def _hit(keys: np.ndarray, kinds: np.ndarray, parts: np.ndarray) -> tuple[np.nda
 
 def _earlier(keys: np.ndarray, kinds: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of whole windows: SINGLE to parts after the first that has it; MULTIPLE to the first part if it has it more than once."""
+    if not len(keys):
+        return np.zeros(0, bool), np.zeros(0, bool)
     run = runs_of(keys)
-    first = parts[np.flatnonzero(np.diff(run, prepend=-1))][run] if len(keys) else parts
-    own = (parts == first) & (np.bincount(run, (parts == first) * (1 + (kinds & 1)))[run] > 1 if len(keys) else parts == first)
+    first = np.minimum.reduceat(parts, np.flatnonzero(np.diff(run, prepend=-1)))[run]
+    own = (parts == first) & (np.bincount(run, (parts == first) * (1 + (kinds & 1)))[run] > 1)
     return (parts > first) | own, own
 
 

@@ -19,16 +19,17 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from .frames import batches_of, text_buffers
+from .frames import batches_of, materialise, text_buffers
 from .hashing import byte_prefix
-from .parts import MESSAGES, SINGLE, Members, Sender, answer, buckets_for, message_batch, per_part, received, runs_of, write_parts
+from .parts import MESSAGES, Members, Sender, answer, answer_bits, buckets_for, decode_keys, message_batch, messages, per_part, received, runs_of, write_parts
 
 LENGTH = 400
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 ORDER = 11  # of the projective plane behind the difference set: 133 = 11^2 + 11 + 1
-SAMPLE_BITS = 48
+RANK = 10  # the kind of ranks among what a part is sent
+SAMPLE_BITS = 40
 SAMPLE_BITS_LARGE = 60
 LARGE = 10**12
 
@@ -86,6 +87,12 @@ def _repeated(keys: np.ndarray, kinds: np.ndarray, parts: np.ndarray) -> tuple[n
     return (np.bincount(run, 1 + (kinds & 1)) > 1)[run] if len(keys) else np.zeros(0, bool), np.zeros(len(keys), bool)
 
 
+def spread(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Mask of the positions that lie in any of the ranges."""
+    edge = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    return np.cumsum(edge)[:n] > 0
+
+
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and with `keep_bytes` what is left as `kept`."""
     spark = docs.sparkSession
@@ -93,49 +100,48 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_bytes: boo
     if length < 2 * period:
         raise ValueError(f"strings must have at least {2 * period} bytes")
     size = length - period + 1
-    parts, total = write_parts(docs)
+    parts, total = write_parts(docs, by_id=False)
     bits = SAMPLE_BITS if total < LARGE else SAMPLE_BITS_LARGE
     drop = np.uint64(64 - bits)
-    ranked = answer(parts.mapInArrow(_sample(buckets_for(spark, total // 11), bits, size), MESSAGES), _repeated)
+    ranked = materialise(answer(parts.mapInArrow(_sample(buckets_for(spark, total // 11), bits, size), MESSAGES), _repeated), "ranks")
+    ranked = ranked.select(F.lit(-1).alias("bucket"), "part", F.lit(RANK).alias("kind"), "keys")
     buckets = buckets_for(spark, total // 4)
 
+    def suffixes_of(texts: pa.Table, sent: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of each slice of a part: its bytes and offsets, the starts of the suffixes to be sorted, and the hashes of their first bytes."""
+        live = Members(received(sent, RANK) << drop)
+        for batch in batches_of(iter(texts.select(["text"]).combine_chunks().to_batches())):
+            text = _Bytes(batch.column("text"))
+            hashes, at = text.sample(period, members, size)
+            at = at[live((hashes >> drop) << drop)]
+            # a suffix is sorted if a ranked sample lies less than a period after its start
+            first = text.offsets[np.searchsorted(text.offsets, at, "right") - 1]
+            start = np.flatnonzero(spread(len(text.data), np.maximum(at - period + 1, first), at + 1))
+            start = start[start + length <= text.ends[start]]
+            yield text.data, text.offsets, start, text.prefix.ranges(start, start + length)
+
     def suffixes(texts: pa.Table, sent: pa.Table) -> pa.Table:
-        live = Members(received(sent, SINGLE) << drop)
-        held: list[pa.RecordBatch] = []
-        if len(live.keys) and texts.num_rows:
-            part = texts.column("part")[0].as_py()
-            sender = Sender(buckets, 64)
-            for batch in batches_of(iter(texts.select(["text"]).combine_chunks().to_batches())):
-                text = _Bytes(batch.column("text"))
-                hashes, at = text.sample(period, members, size)
-                at = at[live((hashes >> drop) << drop)]
-                # a suffix is sorted if a ranked sample lies less than a period after its start
-                near = np.zeros(len(text.data) + 1, np.int64)
-                np.add.at(near, np.maximum(at - period + 1, text.offsets[np.searchsorted(text.offsets, at, "right") - 1]), 1)
-                np.add.at(near, at + 1, -1)
-                start = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-                start = start[start + length <= text.ends[start]]
-                held += sender.add(part, text.prefix.ranges(start, start + length))
-            held += sender.flush()
-        return pa.Table.from_batches(held or [message_batch([])])
-
-    repeats = answer(per_part(parts, ranked, suffixes, MESSAGES), _repeated)
+        held = [h for *_, h in suffixes_of(texts, sent)] if texts.num_rows and sent.num_rows else []
+        rows = messages(texts.column("part")[0].as_py(), np.concatenate(held), None, buckets) if held else []
+        return pa.Table.from_batches([message_batch(rows)])
+
+    told = answer_bits(per_part(parts, ranked, suffixes, MESSAGES))
 
     def remove(texts: pa.Table, sent: pa.Table) -> pa.Table:
-        repeated = Members(received(sent, SINGLE))
+        slices = list(suffixes_of(texts, sent))
+        # the answers' bits belong to the keys that were sent, which are made again from the same suffixes
+        bits = {(b, k): m for b, k, m in zip(*(sent.column(c).to_pylist() for c in ("bucket", "kind", "keys"))) if k != RANK}
+        sorted_keys = [(b, k, decode_keys(m)) for b, _, k, m in messages(0, np.concatenate([h for *_, h in slices]), None, buckets)] if bits else []
+        many = [keys[np.unpackbits(np.frombuffer(bits[b, k], np.uint8), count=len(keys)).astype(bool)] for b, k, keys in sorted_keys]
+        repeated = Members(np.concatenate(many) if many else np.zeros(0, np.uint64))
         rows: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-        for batch in batches_of(iter(texts.select(["text"]).combine_chunks().to_batches())):
-            text = _Bytes(batch.column("text"))
-            gone = np.flatnonzero(repeated(text.prefix.windows(length))) if len(repeated.keys) else np.zeros(0, np.int64)
-            gone = gone[gone + length <= text.ends[gone]]
-            edge = np.zeros(len(text.data) + 1, np.int64)
-            np.add.at(edge, gone, 1)
-            np.add.at(edge, gone + length, -1)
-            covered = np.cumsum(edge)[:-1] > 0
-            for lo, hi in zip(text.offsets[:-1].tolist(), text.offsets[1:].tolist()):
+        for data, offsets, start, hashes in slices:
+            gone = start[repeated(hashes)]
+            covered = spread(len(data), gone, gone + length)
+            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 mask = covered[lo:hi]
                 removed = int(mask.sum())
-                kept = (text.data[lo:hi][~mask] if removed else text.data[lo:hi]).tobytes()
+                kept = (data[lo:hi][~mask] if removed else data[lo:hi]).tobytes()
                 rows["n_bytes"].append(hi - lo)
                 rows["n_removed"].append(removed)
                 rows["n_spans"].append(int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if removed else 0)
@@ -146,4 +152,4 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, keep_bytes: boo
         own = [texts.column("doc_id").combine_chunks(), *[pa.array(rows[n], t) for n, t in kinds.items()]]
         return pa.table(own, names=["doc_id", *kinds])
 
-    return per_part(parts, repeats, remove, SCHEMA + ", kept binary" * keep_bytes)
+    return per_part(parts, ranked.unionByName(told), remove, SCHEMA + ", kept binary" * keep_bytes)
