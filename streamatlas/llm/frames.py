@@ -17,6 +17,7 @@ __all__ = ["materialise", "ensure_checkpoint_dir", "id_and_text", "batches_of",
 # Texts are handled in slices of about this many bytes: numpy holds a few 8-byte arrays per byte of a slice, so this bounds a task's memory
 # whatever the batch size. A single longer text is one slice.
 SLICE_BYTES = 2_000_000
+SLICE_ROWS = 4096  # the index of a text in its slice has 12 bits
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,13 +27,13 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches into slices whose texts have about `limit` bytes."""
+    """Cuts Arrow batches into slices whose texts have about `limit` bytes, at most SLICE_ROWS of them."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         block = np.cumsum(sizes) // limit
-        cuts = np.flatnonzero(np.diff(block)) + 1
+        cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(np.arange(batch.num_rows) // SLICE_ROWS) != 0)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
             yield batch.slice(lo, hi - lo)
 

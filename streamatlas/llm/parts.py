@@ -33,16 +33,19 @@ def write_parts(docs: DataFrame, by_id: bool = True) -> tuple[DataFrame, int]:
     size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     # at least as many parts as shuffles have, or else the join with them would deal the texts again
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    part = F.spark_partition_id()
     if by_id:
         rows = rows.repartitionByRange(n, "doc_id")
     else:
-        tasks = rows.rdd.getNumPartitions()
-        if size > 4 * PART_BYTES * max(tasks, 1):
-            rows = rows.repartition(n)
-        n = max(n, tasks)
+        tasks = max(1, rows.rdd.getNumPartitions())
+        if size > 4 * PART_BYTES * tasks:
+            rows, tasks = rows.repartition(n), n
+        split = -(-2 * size // (tasks * PART_BYTES)) or 1
+        part = F.spark_partition_id() * split + F.pmod(F.xxhash64("doc_id"), F.lit(split)).cast("int")
+        n = max(n, tasks * split)
     name = f"parts_{uuid.uuid4().hex}"
     (
-        rows.withColumn("part", F.spark_partition_id())
+        rows.withColumn("part", part)
         .write.bucketBy(n, "part")
         .option("compression", "zstd")
         .option("path", f"{ensure_checkpoint_dir(spark)}/{name}")
