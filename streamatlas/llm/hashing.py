@@ -58,11 +58,11 @@ def byte_prefix(data: np.ndarray) -> Prefix:
     return Prefix(BYTE_VALUE[data])
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document index of every word (`[^\\x20\\x09-\\x0D]+`) of the concatenated texts. Separators are single bytes, so UTF-8
-    characters are never cut; words never cross a document's end."""
+    characters are never cut; words never cross a document's end. `letters`: a table of 256 for another alphabet."""
     n = len(data)
-    letter = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    letter = letters[data] if letters is not None else ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], letter[:-1])) if n else letter

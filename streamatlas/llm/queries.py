@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup, packing, quality, substring_dedup, suffix_dedup, token_files
+from . import chat, minhash_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,13 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_minhash_dedup")
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_chat_snapshots", chat.ORACLE)
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op9_personal_data")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
