@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_files
+from . import chat, decontaminate, minhash_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,13 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_personal_data")
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@query("op4_toxicity")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_decontamination")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
