@@ -26,7 +26,8 @@ from .hashing import Prefix
 RATIO = 0.08  # edits per byte of an item
 Q = 8
 SHORTEST = 48
-WALKS, KEYS, BITS = 6, 8, 8  # walks, keys of each, places sampled for a key
+WALKS, KEYS, BITS = 8, 10, 7  # walks, keys of each, places sampled for a key
+TABLE_BITS = 21
 STEP = 16  # windows of items are cut to a multiple of this length
 BLOCK_BYTES = 4 << 20  # of item texts at once on the driver and in tasks
 PAIRS = "doc_id long, item_id long, start long, end long, distance int"
@@ -48,12 +49,17 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return Prefix(_GRAM[data], 2).windows(Q)
 
 
+def _slots(data: np.ndarray) -> np.ndarray:
+    """Place of each Q-gram in a table of Q-grams."""
+    return (_grams(data) >> U64(64 - TABLE_BITS)).astype(np.int32) if len(data) >= Q else np.zeros(0, np.int32)
+
+
 class _Walk:
     """One random walk for windows of one length, and the keys sampled from its output."""
 
     def __init__(self, seed: int, length: int) -> None:
         rng = np.random.Generator(np.random.PCG64(1000 * length + seed))
-        self.steps = 2 * length
+        self.steps = length  # about half the window is walked over, so edits behind that leave the keys as they are
         self.moves = rng.integers(0, 2, (self.steps, 256), dtype=np.int8)
         self.places = np.sort(rng.choice(self.steps, KEYS * BITS, replace=False))
         self.owner = rng.permutation(KEYS * BITS) // BITS
@@ -106,10 +112,12 @@ class _Items:
         for k, (_, t) in enumerate(self.items):
             if len(t) >= SHORTEST:
                 self.by_length.setdefault(len(t) // STEP * STEP, []).append(k)
-        grams = [_grams(np.frombuffer(self.items[k][1], np.uint8)) for own in self.by_length.values() for k in own]
-        self.grams = np.zeros(1 << 22, bool)
-        if grams:
-            self.grams[(np.concatenate(grams) >> U64(42)).astype(np.int64)] = True
+        self.grams = np.zeros(1 << TABLE_BITS, bool)
+        self.own_grams = {n: np.zeros(1 << TABLE_BITS, bool) for n in self.by_length}
+        for n, own in self.by_length.items():
+            for k in own:
+                self.own_grams[n][_slots(np.frombuffer(self.items[k][1], np.uint8))] = True
+            self.grams |= self.own_grams[n]
         self.walks = {n: [_Walk(w, n) for w in range(WALKS)] for n in self.by_length}
         self.keys: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
         for n, own in self.by_length.items():
@@ -129,13 +137,21 @@ class _Items:
     def candidates(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         """(start, item) for windows of which a key equals an item's; `ends`: of the texts that the starts lie in."""
         found: set[tuple[int, int]] = set()
-        hits = np.concatenate(([0], np.cumsum(self.grams[(_grams(data) >> U64(42)).astype(np.int64)]))) if len(data) >= Q else np.zeros(1, np.int64)
+        slots = _slots(data)
+        if not len(slots):
+            return found
+        hits = np.concatenate(([0], np.cumsum(self.grams[slots])))
         for n, walks in self.walks.items():
+            # each of the most edits that an item of this length may have changes Q Q-grams at most
+            least = max(1, n - Q + 1 - Q * int(RATIO * (n + STEP - 1)))
+            width = n - Q + 1
             inside = starts[starts + n <= ends]
-            if not len(inside):
-                continue
-            least = n - Q + 1 - Q * int(RATIO * (n + STEP)) - STEP // 2
-            inside = inside[hits[np.minimum(inside + n - Q + 1, len(hits) - 1)] - hits[np.minimum(inside, len(hits) - 1)] >= max(1, least)]
+            inside = inside[hits[inside + width] - hits[inside] >= least]
+            if len(inside) * width > len(data):  # the same with the Q-grams of items of this length alone
+                own_hits = np.concatenate(([0], np.cumsum(self.own_grams[n][slots])))
+                inside = inside[own_hits[inside + width] - own_hits[inside] >= least]
+            elif len(inside):
+                inside = inside[self.own_grams[n][slots[inside[:, None] + np.arange(width)]].sum(axis=1) >= least]
             for lo in range(0, len(inside), 20_000):
                 own = inside[lo : lo + 20_000]
                 windows = np.full((len(own), n + 1), 32, np.uint8)

@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -97,7 +98,7 @@ def _term_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _FOUND = (
-    "doc_id long, row long, spans array<struct<start:int,kind:int,end:int>>, base_sha256 string, "
+    "doc_id long, row long, digest long, spans array<struct<start:int,kind:int,end:int>>, base_sha256 string, "
     "near array<struct<value:long,term:long,start:int,end:int>>"
 )
 _RUN = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -133,8 +134,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in own).encode()).hexdigest())
             near.append(_near(text, own) if own else [])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row"), pa.array(spans, types[0]), pa.array(digests), pa.array(near, types[1])],
-            ["doc_id", "row", "spans", "base_sha256", "near"],
+            [batch.column("doc_id"), batch.column("row"), batch.column("digest"), pa.array(spans, types[0]), pa.array(digests), pa.array(near, types[1])],
+            ["doc_id", "row", "digest", "spans", "base_sha256", "near"],
         )
 
 
@@ -148,9 +149,9 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """One row per row of the input: doc_id, row (a number of its own), base_sha256, `found` (all spans in order: start, kind's place in KINDS, end)."""
+    """One row per row of the input: doc_id, row (a number of its own), digest (hash of the text), base_sha256, `found` (all spans in order: start, kind's place in KINDS, end)."""
     rows = id_and_text(docs)
-    found = materialise(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_find, _FOUND), "base-spans")
+    found = materialise(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.xxhash64("text")).mapInArrow(_find, _FOUND), "base-spans")
     total = F.lit(float(max(2, found.count())))
     near = found.select("row", F.explode("near").alias("c")).select("row", "c.*")
     both = near.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= LEAST_DOCUMENTS)
@@ -165,7 +166,7 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataF
     extra = near.join(telling, ["value", "term"], "left_semi").groupBy("row").agg(F.collect_set(span).alias("extra"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     all_spans = F.array_sort(F.concat("spans", F.coalesce("extra", none)))
-    return found.join(extra, "row", "left").select("doc_id", "row", "base_sha256", all_spans.alias("found"))
+    return found.join(extra, "row", "left").select("doc_id", "row", "digest", "base_sha256", all_spans.alias("found"))
 
 
 def span_digest(found: DataFrame) -> DataFrame:
@@ -184,3 +185,21 @@ def replace_spans(text: str, spans: list) -> str:
             out += [text[done : span["start"]], f"[{KINDS[span['kind']].upper()}]"]
         done = max(done, span["end"])
     return "".join([*out, text[done:]])
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """The documents with all spans replaced in `text`, and `n_chars` (where there is such a column) counted anew; other columns as they are."""
+    found = find_personal_data(docs).where(F.size("found") > 0).groupBy("doc_id", "digest").agg(F.first("found").alias("found"))
+
+    @F.pandas_udf("string")
+    def replaced(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else replace_spans(t, s) for t, s in zip(text, spans)], dtype=object)
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce("r.text", F.lit(""))) == F.col("digest"))
+    joined = rows.join(found, same, "left")
+    touched = joined.where("found is not null").withColumn("new", replaced("r.text", "found"))
+    row = F.col("r").withField("text", F.col("new"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("new").cast(docs.schema["n_chars"].dataType))
+    return joined.where("found is null").select("r.*").unionByName(touched.select(row.alias("r")).select("r.*"))
