@@ -23,6 +23,7 @@ from .hashing import byte_prefix, word_spans
 
 FEATURE_BITS = 20
 BEGINNINGS = (3, 4, 5, 6, 7)  # bytes
+TRAIN_ROWS = 40_000  # bound of the sample of labelled rows that weights are fitted on; it is taken by a hash of the id
 LEAST_TOXIC = 5  # labelled toxic documents behind a feature
 TOP_WEIGHT, LEVELS = 8.0, 16
 THRESHOLD = 0.3
@@ -165,10 +166,11 @@ def held_out() -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> Scorer:
-    """Weights and calibration from the labelled documents that aren't held out. What comes back is bounded by the number of features."""
+    """Weights and calibration from labelled documents that aren't held out, TRAIN_ROWS at most. What comes back is bounded by the number of features."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = id_and_text(docs).join(known, "doc_id")
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    train = id_and_text(docs).join(F.broadcast(sample), "doc_id")  # at most TRAIN_ROWS pairs of numbers
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << FEATURE_BITS
