@@ -19,7 +19,6 @@ from ..sources import adapters, sinks
 
 log = logging.getLogger(__name__)
 
-MAX_BODY_CHARS = 8 * 1024 * 1024
 KEPT_COLUMNS = (*merge.CANDIDATE_COLUMNS, "cycle")
 
 
@@ -46,11 +45,10 @@ def discover(
     """
     table = dict(table or adapters.ADAPTERS)
     names = [n for n in (names or fc.SOURCE_ORDER) if n in table]
-    small = pages.where(F.length("body") <= MAX_BODY_CHARS)
 
     def one(name: str) -> DataFrame | None:
         try:
-            return materialise(table[name](small.where(F.col("source") == name).drop("source")), f"rows-{name}")
+            return materialise(table[name](pages.where(F.col("source") == name).drop("source")), f"rows-{name}")
         except Exception:
             log.exception("source %s failed", name)
             return None

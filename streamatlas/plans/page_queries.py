@@ -471,11 +471,11 @@ def reachable(spark, sf):
 
 @query("reachable_leaves_g1_u4", """
 WITH RECURSIVE e AS (SELECT page_id AS src, unnest([page_id * 3 % (SELECT max(page_id) + 1 FROM pages), (page_id * 7 + 2) % (SELECT max(page_id) + 1 FROM pages)]) AS dst FROM pages),
-w AS (SELECT 5 AS node, 0 AS lvl UNION SELECT dst, lvl + 1 FROM w JOIN e ON w.node = e.src WHERE lvl < 3)
+w AS (SELECT 5 AS node UNION SELECT dst FROM w JOIN e ON w.node = e.src)
 SELECT DISTINCT link AS leaf FROM (SELECT unnest(regexp_extract_all(html, '<a href="(/[^"]+)"', 1)) AS link FROM pages WHERE page_id IN (SELECT node FROM w))""")
 def reachable_leaves(spark, sf):
     seeds = table(spark, sf, "pages").where(F.col("page_id") == 5).select(F.col("page_id").alias("node"))
-    nodes = graph.reachable(seeds, _link_graph(spark, sf), max_levels=3)
+    nodes = graph.reachable(seeds, _link_graph(spark, sf))
     links = extract.matches(documents(spark, sf), F.col("body"), r'<a href="(/[^"]+)"', name="leaf", keep=["page_id"])
     return graph.leaves(nodes, links.select(F.col("page_id").alias("src"), "leaf"))
 

@@ -677,9 +677,9 @@ def windy_streams(pages: DataFrame, corpus: DataFrame, batch: DataFrame) -> Data
 
 @source("windy")
 def windy(pages: DataFrame) -> DataFrame:
-    """The first build: nothing is known to be live, so the batch is the corpus in id order (within the budget of one build)."""
+    """Every landed page of the corpus counts: the pages are fetched already, so the budget of one build (`probe_batch`) has no part here."""
     corpus = windy_corpus(pages)
-    ids = corpus.select("id").orderBy("id").limit(fc.PROBE_BUDGET)
+    ids = corpus.select("id")
     return windy_streams(pages, corpus, ids.select("id", F.lit("rotation").alias("kind"), F.col("id").alias("seq")))
 
 
