@@ -53,7 +53,8 @@ def _ozolio_open(sid: Column) -> Column:
 
 
 def document_facts(bodies: DataFrame) -> DataFrame:
-    """(url, a, b): what the resolver of this document reads from it."""
+    """(url, a, b): what the resolver of this document reads from it, one row per URL. Of a URL that was fetched several times the last fetch counts
+    (column fetched_at, where there is one; ties and logs without times: the greatest pair, so that the result is always the same)."""
     url, body = F.col("url"), F.col("body")
     relay = url.startswith(fe.OZOLIO_RELAY + "/ses.api?cmd=")
     manifest_api = F.contains(url, F.lit(".joada.net/api/videos/manifest/"))
@@ -86,7 +87,10 @@ def document_facts(bodies: DataFrame) -> DataFrame:
 
     # A generator, so that documents of no resolver are left out without evaluating anything twice.
     found = F.array_compact(F.array(let(kind, read)))
-    return bodies.where(body.isNotNull()).select("url", F.inline(found)).withColumn("got", F.lit(True))
+    times = ["fetched_at"] if "fetched_at" in bodies.columns else []
+    facts = bodies.where(body.isNotNull()).select("url", *times, F.inline(found))
+    last = facts.groupBy("url").agg(F.max(F.struct(*times, "a", "b")).alias("_last"))
+    return last.select("url", "_last.a", "_last.b", F.lit(True).alias("got"))
 
 
 def first_hop(name: Column, target: Column) -> Column:
@@ -129,12 +133,14 @@ def resolve(targets: DataFrame, bodies: DataFrame, tool_output: DataFrame | None
     t = F.col("target_url")
     df = targets.select("target_url").withColumn("resolver", route(t))
     name = F.col("resolver")
-    df = df.withColumn("_hop1", first_hop(name, t))
-    df = df.join(facts.select(F.col("url").alias("_hop1"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("got").alias("g1")),
-                 "_hop1", "left")
-    df = df.withColumn("_hop2", second_hop(name, t, F.col("a1")))
-    df = df.join(facts.select(F.col("url").alias("_hop2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("got").alias("g2")),
-                 "_hop2", "left")
+    # Most targets read no document, or no second one. Their null keys would all meet in one partition; a key of their own, which no URL equals, spreads them.
+    spread = lambda hop: F.coalesce(F.col(hop), F.concat(F.lit("\0"), t))
+    df = df.withColumn("_hop1", first_hop(name, t)).withColumn("_key1", spread("_hop1"))
+    df = df.join(facts.select(F.col("url").alias("_key1"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("got").alias("g1")),
+                 "_key1", "left")
+    df = df.withColumn("_hop2", second_hop(name, t, F.col("a1"))).withColumn("_key2", spread("_hop2"))
+    df = df.join(facts.select(F.col("url").alias("_key2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("got").alias("g2")),
+                 "_key2", "left")
     if tool_output is None:
         df = df.withColumn("output", F.lit(None).cast("string"))
     else:

@@ -36,8 +36,9 @@ def _guard_group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     cycles = pd.concat(list(batches)).sort_values("cycle")
     out = []
     for row in cycles.itertuples():
-        if row.cycle <= current[0]:
-            continue  # a cycle that comes late changes nothing
+        if row.cycle <= current[0]:  # a cycle that comes late changes nothing, and is told as such
+            out.append((key[0], row.cycle, row.discovered, row.kept, row.crashed, "late", "late", current[2], current[1], current[3]))
+            continue
         kept = 0 if row.crashed else int(row.kept)
         current, status, decision, served = _guard_step(current, int(row.cycle), kept, bool(row.crashed))
         out.append((key[0], row.cycle, row.discovered, row.kept, row.crashed, status, decision, served, current[1], current[3]))
@@ -77,27 +78,28 @@ def outcome_windows_stream(fetch_log: DataFrame, width: str = "1 hour", lateness
     )
 
 
-def first_seen_stream(candidates: DataFrame, time: str = "seen_at", lateness: str = "1 hour") -> DataFrame:
-    """Newly discovered rows, one per merge key within the watermark; rows without a key always pass."""
-    marked = candidates.withWatermark(time, lateness)
-    # Rows without a key get one of their own, so that they are not taken for copies of each other.
-    own = F.concat(F.lit("row:"), F.col("ord").cast("string"))
-    keyed = marked.withColumn("_key", F.when(F.coalesce("predisc_key", F.lit("")) == "", own).otherwise(F.col("predisc_key")))
-    return keyed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+def first_seen_stream(candidates: DataFrame) -> DataFrame:
+    """Newly discovered rows, one per merge key for as long as the stream lives; rows without a key always pass and leave no state.
+
+    The state is one entry per key ever seen, like the catalogue itself; with an expiry, a key that comes back later would count as new.
+    """
+    has_key = F.coalesce("predisc_key", F.lit("")) != ""
+    return candidates.where(has_key).dropDuplicates(["predisc_key"]).unionByName(candidates.where(~has_key))
 
 
 def live_set_stream(verdicts: DataFrame) -> DataFrame:
-    """(id, live, seq) changes of the live set from a stream of verdicts (id, seq, live); null verdicts change nothing."""
+    """(id, live, seq) changes of the live set from a stream of verdicts (id, seq, live), each at the verdict that made it, however the stream is
+    cut into batches; null verdicts, and verdicts older than one already taken up, change nothing."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         was, last = state.get if state.exists else (False, -1)
         rows = pd.concat(list(batches))
         rows = rows[rows["live"].notna() & (rows["seq"] > last)].sort_values("seq")
         if len(rows):
-            now, last = bool(rows["live"].iloc[-1]), int(rows["seq"].iloc[-1])
-            state.update((now, last))
-            if now != was:
-                yield pd.DataFrame([(key[0], now, last)], columns=["id", "live", "seq"])
+            live = rows["live"].astype(bool)
+            state.update((bool(live.iloc[-1]), int(rows["seq"].iloc[-1])))
+            changed = live != live.shift(fill_value=bool(was))
+            yield pd.DataFrame({"id": key[0], "live": live[changed], "seq": rows["seq"][changed]})
 
     return verdicts.groupBy("id").applyInPandasWithState(
         step, "id long, live boolean, seq long", "live boolean, seq long", "append", GroupStateTimeout.NoTimeout

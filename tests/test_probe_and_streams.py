@@ -74,6 +74,18 @@ def test_streamed_guard_equals_the_batch_guard_over_several_batches(spark, tmp_p
 
 def test_rows_without_a_key_pass_the_streamed_dedup(spark):
     df = spark.createDataFrame([(1, "k"), (2, "k"), (3, None), (4, None), (5, "")], "ord long, predisc_key string")
-    out = replay(df.withColumn("seen_at", F.lit("2024-01-01").cast("timestamp")), streams.first_seen_stream)
-    got = [r.predisc_key for r in out.collect()]
-    assert len(got) == 4 and got.count("k") == 1
+    for slices in (1, 3):
+        got = [r.predisc_key for r in replay(df, streams.first_seen_stream, F.col("ord"), slices).collect()]
+        assert len(got) == 4 and got.count("k") == 1
+
+
+def test_live_changes_do_not_depend_on_the_batches(spark):
+    df = spark.createDataFrame([(k % 3, k, None if k % 5 == 0 else k % 7 < 4) for k in range(60)], "id long, seq long, live boolean")
+    one, many = (sorted(map(tuple, replay(df, streams.live_set_stream, F.col("seq"), slices).collect())) for slices in (1, 4))
+    assert one == many and len(one) > 6
+
+
+def test_late_cycles_are_told(spark):
+    df = spark.createDataFrame([("a", c, 5, 4, False, at) for at, c in enumerate((0, 1, 3, 2, 4))], "source string, cycle long, discovered long, kept long, crashed boolean, at int")
+    got = replay(df, streams.guard_stream, F.col("at"), slices=5).collect()
+    assert {r.cycle: r.decision for r in got} == {0: "accept", 1: "accept", 3: "accept", 2: "late", 4: "accept"}
