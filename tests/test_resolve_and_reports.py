@@ -34,6 +34,16 @@ def test_resolution_errors_and_fallbacks(spark):
     }
 
 
+def test_the_last_fetch_of_a_document_counts_once(spark):
+    url = "https://balticlivecam.com/gone"
+    name = fe.IPCAM_PLAYER + "me"
+    page = lambda host: f'var address = "https://{host}/"; var streamid = "q";'
+    fetched = spark.createDataFrame([(name, page("old"), 1), (name, page("new"), 3), (name, page("mid"), 2)], "url string, body string, fetched_at long")
+    targets = spark.createDataFrame([("https://www.ipcamlive.com/me/",), (url,)], "target_url string")
+    got = sorted((r.target_url, r.url) for r in resolve.resolve(targets, fetched).collect())
+    assert got == [(url, None), ("https://www.ipcamlive.com/me/", "https://new/streams/q/stream.m3u8")]
+
+
 def test_verdicts(spark):
     rows = [(None, None, None, None), ("direct", None, "hls", True), ("direct", None, "hls", False), ("direct", None, "hls", None), ("metatag", None, "mp4", None),
             ("x", "failed https://h/p?token=1 " + "y" * 99, None, None)]
