@@ -119,11 +119,14 @@ def _least(hashes: int) -> float:
 
 
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in (two blocks of) a band that may be similar enough, by the first hashes and then by all of them."""
+    """Pairs of different components in (two blocks of) a band that may be similar enough, by the first hashes and then by all of them. A pair that shares
+    several bands is told by the first of these alone."""
     low = np.frombuffer(b"".join(frame["low"]), np.uint8).reshape(-1, HASHES)
     fine = np.frombuffer(b"".join(frame["fine"]), np.uint8).reshape(-1, FINE)
     ids, component, block = (frame[c].to_numpy() for c in ("doc_id", "component", "block"))
     one = frame["lo"].iloc[0] == frame["hi"].iloc[0]
+    bands = np.stack(frame["bands"].to_numpy())
+    earlier = bands[:, : int(np.argmax(bands[0] == frame["key"].iloc[0]))]
     found: list[np.ndarray] = []
     step = max(1, 8_000_000 // (len(ids) * HASHES))
     for at in range(0, len(ids), step):
@@ -135,6 +138,8 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
         a += at
         for lo in range(0, len(a), 20_000):
             x, y = a[lo : lo + 20_000], b[lo : lo + 20_000]
+            first = ~(earlier[x] == earlier[y]).any(axis=1)
+            x, y = x[first], y[first]
             total = (fine[x] == fine[y]).sum(axis=1) + (low[x] == low[y]).sum(axis=1)
             near = total >= _least(HASHES + FINE)
             found.append(np.stack((ids[x[near]], ids[y[near]])))
@@ -173,7 +178,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     members = materialise(banded.join(shared, "key", "left_semi").distinct(), "band-members")
     active = members.select("doc_id").distinct()
-    lows = materialise(leaders.select("doc_id", "low").join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "band-signatures")
+    lows = materialise(leaders.select("doc_id", "low", "bands").join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "band-signatures")
     texts = materialise(rows.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "band-texts")
     base = members.select("doc_id").distinct()
     whole = lows.join(texts.mapInArrow(_fine, "doc_id long, fine binary"), "doc_id")
@@ -194,7 +199,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = state.join(central, "doc_id").groupBy("key").agg(F.min(F.struct("order", "doc_id")).alias("f")).select("key", F.col("f.doc_id").alias("leader"))
     led = state.join(first, "key").where("doc_id <> leader")
     led = materialise(led.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), "pairs")
-    signed_pairs = led.join(lows.toDF("a", "low_a"), "a").join(lows.toDF("b", "low_b"), "b").select("a", "b", "low_a", "low_b")
+    signed_pairs = led.join(lows.select(F.col("doc_id").alias("a"), F.col("low").alias("low_a")), "a")
+    signed_pairs = signed_pairs.join(lows.select(F.col("doc_id").alias("b"), F.col("low").alias("low_b")), "b").select("a", "b", "low_a", "low_b")
     links = verified(signed_pairs.mapInArrow(_alike, "a long, b long"))
     # What is still apart in a band is compared pair by pair, inside tasks and in blocks, so that no link is lost and no pair but a likely one is a row.
     state = open_bands(base.join(connected_components(links), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
