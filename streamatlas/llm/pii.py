@@ -1,11 +1,12 @@
-"""Operator 9: personal data, and the terms around it that give it away.
+"""Operator 9: personal data, and the terms of its documents that give it away.
 
-Base spans are found by patterns. A term near a base span reveals it if, over the whole corpus, seeing the term leaves little doubt about the value: the information
-that the term gives about the value, divided by what the value itself holds, is its disclosure,
+Base spans are found by patterns. A term of a document that holds a value reveals it if, over the whole corpus, seeing the term leaves little doubt about the value: the
+information that the term gives about the value, divided by what the value itself holds, is its disclosure,
 
-    log2(N * n(term, value) / (n(term) * n(value))) / log2(N / n(value)),
+    log2(p(value | term) / p(value)) / log2(1 / p(value)),    p(value) = n(value) / N,    p(value | term) = (n(term, value) + p(value)) / (n(term) + 1),
 
-with numbers of documents. Terms above the threshold beside that value are generalised like it. Documents without personal data are never touched.
+with numbers of documents: to those that hold the term one more is added, in which the value is as likely as anywhere, so that one document proves less than many. Terms
+from the threshold on are generalised like the value, wherever they stand in its documents. Documents without personal data are never touched.
 
 Defined results: a null text is empty and has no spans; each row is a document of its own, repeated or not; a null id stays null; other columns are ignored; an empty
 table gives no rows. Of overlapping spans of different kinds all are reported; in sanitised texts they are replaced as one.
@@ -22,14 +23,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.keyed import attach_by_key
 from .frames import batches_of, id_and_text, materialise, text_buffers
 from .hashing import BYTE_VALUE, Prefix, word_spans
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE = 0.9
-LEAST_DOCUMENTS = 3  # in which term and value must stand together
-NEAR_WORDS = 5
-TERM_LETTERS = 4
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -37,7 +36,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+_WORD = re.compile(r"[^\W_]")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -88,64 +88,78 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_TERM_BITS = 52
 
 
 def _term_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every term of a slice (ASCII letters lowered), and the text it stands in. A term is a run of letters, digits and non-ASCII characters."""
+    """Hash (52 bits) of every term of a slice (ASCII letters lowered), and the text it stands in. A term is a run of letters, digits and non-ASCII characters."""
     data, offsets = text_buffers(texts)
     starts, ends, doc = word_spans(data, offsets, _LETTERS)
-    return (Prefix(BYTE_VALUE[_LOWER[data]]).ranges(starts, ends) if len(starts) else np.zeros(0, np.uint64)), doc
+    keys = Prefix(BYTE_VALUE[_LOWER[data]]).ranges(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    return keys >> np.uint64(64 - _TERM_BITS), doc
 
 
-_FOUND = (
-    "doc_id long, row long, digest long, spans array<struct<start:int,kind:int,end:int>>, base_sha256 string, "
-    "near array<struct<value:long,term:long,start:int,end:int>>"
-)
-_RUN = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+def _distinct_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of each text of a slice, and the text they stand in."""
+    keys, doc = _term_keys(texts)
+    pairs = np.unique((doc.astype(np.uint64) << np.uint64(_TERM_BITS)) | keys)
+    return (pairs & np.uint64((1 << _TERM_BITS) - 1)).view(np.int64), (pairs >> np.uint64(_TERM_BITS)).astype(np.int64)
+
+
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+_FOUND = f"doc_id long, row long, digest long, spans {_SPANS}, base_sha256 string, values array<long>, terms array<long>, text string"
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
 
-def _near(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Terms within NEAR_WORDS of a span and outside all spans."""
-    out = []
-    for start, kind, end in spans:
-        value = text[start:end].lower() if kind == 0 else "".join(c for c in text[start:end] if c.isdigit())
-        reach = 40 * NEAR_WORDS
-        left = [m for m in _RUN.finditer(text, max(0, start - reach), start)][-NEAR_WORDS:]
-        right = []
-        for m in _RUN.finditer(text, end, min(len(text), end + reach)):
-            right.append(m)
-            if len(right) == NEAR_WORDS:
-                break
-        for m in [*left, *right]:
-            if m.end() - m.start() >= TERM_LETTERS and _TERM.fullmatch(m[0]) and not any(m.start() < e and s < m.end() for s, _, e in spans):
-                term = pa.array([m[0]])
-                out.append({"value": _key(f"{KINDS[kind]}:{value}"), "term": int(_term_keys(term)[0].view(np.int64)[0]), "start": m.start(), "end": m.end()})
-    return out
+def _value(text: str, span: tuple[int, int, int]) -> int:
+    """Hash of what a base span says, however it is written."""
+    start, kind, end = span
+    said = text[start:end].lower() if kind == 0 else "".join(c for c in text[start:end] if c.isdigit())
+    return _key(f"{KINDS[kind]}:{said}")
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [f.type for f in (pa.field("s", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))),
-                              pa.field("n", pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))))]
+    """Base spans; of texts with any also the distinct values and terms, and the text."""
     for batch in batches_of(batches):
-        spans, digests, near = [], [], []
-        for text in batch.column("text").to_pylist():
-            own = base_spans(text)
-            spans.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
-            digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in own).encode()).hexdigest())
-            near.append(_near(text, own) if own else [])
+        texts = batch.column("text").to_pylist()
+        own = [base_spans(text) for text in texts]
+        digests = [hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest() for spans in own]
+        held = [i for i, spans in enumerate(own) if spans]
+        terms, doc = _distinct_terms(pa.array([texts[i] for i in held], pa.large_string()))
+        cuts = np.searchsorted(doc, np.arange(len(held) + 1))
+        of_text: list[np.ndarray | None] = [None] * len(texts)
+        for k, i in enumerate(held):
+            of_text[i] = terms[cuts[k] : cuts[k + 1]]
+        spans = [[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in own]
+        values = [sorted({_value(t, x) for x in found}) for t, found in zip(texts, own)]
+        kept = [t if found else None for t, found in zip(texts, own)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row"), batch.column("digest"), pa.array(spans, types[0]), pa.array(digests), pa.array(near, types[1])],
-            ["doc_id", "row", "digest", "spans", "base_sha256", "near"],
-        )
+            [batch.column("doc_id"), batch.column("row"), batch.column("digest"), pa.array(spans, _SPAN_TYPE), pa.array(digests),
+             pa.array(values, pa.list_(pa.int64())), pa.array(of_text, pa.list_(pa.int64())), pa.array(kept, pa.string())],
+            ["doc_id", "row", "digest", "spans", "base_sha256", "values", "terms", "text"],
+        )
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per term the number of a slice's texts that hold it."""
     for batch in batches_of(batches):
-        keys, doc = _term_keys(batch.column("text"))
-        pairs = np.unique((doc.astype(np.uint64) << np.uint64(52)) | (keys >> np.uint64(12)))
-        terms, n = np.unique(pairs & np.uint64((1 << 52) - 1), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["short", "n"])
+        terms, n = np.unique(_distinct_terms(batch.column("text"))[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], ["term", "n"])
+
+
+def _all_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans and the places of telling terms outside them, in order."""
+    for batch in batches_of(batches):
+        out = []
+        for text, spans, telling in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), batch.column("telling").to_pylist()):
+            if telling:
+                told, base = set(telling), list(spans)
+                for m, key in zip(_RUN.finditer(text), _term_keys(pa.array([text]))[0].tolist()):
+                    if key in told and _WORD.search(m[0]) and not any(m.start() < x["end"] and x["start"] < m.end() for x in base):
+                        spans.append({"start": m.start(), "kind": KINDS.index("term"), "end": m.end()})
+                spans.sort(key=lambda x: (x["start"], x["kind"], x["end"]))
+            out.append(spans)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "row", "digest", "base_sha256")], pa.array(out, _SPAN_TYPE)], ["doc_id", "row", "digest", "base_sha256", "found"])
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -153,20 +167,25 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataF
     rows = id_and_text(docs)
     found = materialise(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.xxhash64("text")).mapInArrow(_find, _FOUND), "base-spans")
     total = F.lit(float(max(2, found.count())))
-    near = found.select("row", F.explode("near").alias("c")).select("row", "c.*")
-    both = near.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= LEAST_DOCUMENTS)
-    values = near.select("row", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
-    # the counts of all terms of the corpus are summed by task before they are shuffled; hashes are cut to 52 bits there
-    terms = rows.select("text").mapInArrow(_document_counts, "short long, n long").groupBy("short").agg(F.sum("n").alias("n_term"))
-    both = both.withColumn("short", F.shiftrightunsigned("term", 12))
-    told = both.join(terms, "short").join(values, "value")
-    measure = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_value"))) / F.greatest(F.log2(total / F.col("n_value")), F.lit(1e-9))
-    telling = told.where(measure >= disclosure).select("value", "term")
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")
-    extra = near.join(telling, ["value", "term"], "left_semi").groupBy("row").agg(F.collect_set(span).alias("extra"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    all_spans = F.array_sort(F.concat("spans", F.coalesce("extra", none)))
-    return found.join(extra, "row", "left").select("doc_id", "row", "digest", "base_sha256", all_spans.alias("found"))
+    held = found.select("row", F.explode("values").alias("value"))
+    of_value = attach_by_key(held, held.groupBy("value").agg(F.count(F.lit(1)).alias("n_value")), ["value"], "n_value", F.col("row"))
+    values = materialise(of_value.groupBy("row").agg(F.collect_list(F.struct("value", "n_value")).alias("held"), F.max("n_value").alias("top")), "values")
+    # a term can tell a value of n documents only up to so many documents of its own: all of the value's would have to hold it
+    share = lambda n: F.col(n) / total
+    most = lambda n: (F.col(n) + share(n)) * F.pow(share(n), F.lit(disclosure - 1)) - 1 + 1e-6
+    # the counts of all terms of the corpus are summed by task before they are shuffled
+    counts = rows.select("text").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    own = found.where(F.size("values") > 0).select("row", F.explode("terms").alias("term")).join(values.select("row", "top"), "row")
+    rare = attach_by_key(own, counts, ["term"], "n_term", F.col("row")).where(F.col("n_term") <= most("top")).select("row", "term", "n_term")
+    beside = rare.join(values.select("row", "held"), "row").select("row", "term", "n_term", F.explode("held").alias("v")).select("row", "term", "n_term", "v.*")
+    beside = materialise(beside.where(F.col("n_term") <= most("n_value")), "candidates")
+    both = beside.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_value").alias("n_value"), F.first("n_term").alias("n_term"))
+    measure = F.log2((F.col("n_both") + share("n_value")) / (F.col("n_term") + 1) / share("n_value")) / F.greatest(-F.log2(share("n_value")), F.lit(1e-9))
+    telling = both.where(measure >= disclosure).select("value", "term", "n_both")
+    told = attach_by_key(beside.select("row", "value", "term"), telling, ["value", "term"], "n_both", F.col("row"))
+    told = told.groupBy("row").agg(F.collect_set("term").alias("telling"))
+    columns = ["doc_id", "row", "digest", "base_sha256", "spans", F.coalesce("text", F.lit("")).alias("text"), "telling"]
+    return found.join(told, "row", "left").select(*columns).mapInArrow(_all_spans, f"doc_id long, row long, digest long, base_sha256 string, found {_SPANS}")
 
 
 def span_digest(found: DataFrame) -> DataFrame:
