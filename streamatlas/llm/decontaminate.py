@@ -1,7 +1,7 @@
 """Operator 8: passages of benchmark items in documents, by CGK embedding and bit sampling.
 
 The CGK random walk writes a string out while repeating characters at random, so that strings of small edit distance get embeddings of small Hamming distance.
-Windows of a document as long as an item, one per word start, are embedded by several walks; places sampled from each embedding make a key, and a window whose
+Windows of a document as long as an item, one from each byte on, are embedded by several walks; places sampled from each embedding make a key, and a window whose
 key equals an item's is a candidate. Candidates are decided by their exact edit distance. Windows that can hold no item are left out beforehand: an edit
 changes at most Q of a string's Q-grams, so a window within the distance of an item holds at least a known share of Q-grams of items.
 
@@ -40,6 +40,16 @@ _RNG = np.random.Generator(np.random.PCG64(8))
 _GRAM = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
+def _most(length: int) -> int:
+    """Edits that an item of this length may have."""
+    return int(RATIO * length)
+
+
+def _least(n: int) -> int:
+    """Q-grams of an item that a window of n bytes has at least: each of the most edits that an item of such windows may have changes Q at most."""
+    return max(1, n - Q + 1 - Q * _most(n + STEP - 1))
+
+
 def _plain(text: bytes) -> np.ndarray:
     return _PLAIN[np.frombuffer(text, np.uint8)]
 
@@ -132,20 +142,22 @@ class _Items:
             self.keys[n] = held
 
     def most(self, k: int) -> int:
-        return int(RATIO * len(self.items[k][1]))
+        return _most(len(self.items[k][1]))
 
-    def candidates(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) for windows of which a key equals an item's; `ends`: of the texts that the starts lie in."""
+    def candidates(self, data: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
+        """(start, item) for windows of which a key equals an item's; `ends`: for each byte the end of the text that it lies in."""
         found: set[tuple[int, int]] = set()
         slots = _slots(data)
-        if not len(slots):
+        if not len(slots) or not self.walks:
             return found
         hits = np.concatenate(([0], np.cumsum(self.grams[slots])))
+        starts = np.arange(len(slots))
+        # what no length can use is left out at once
+        widest, weakest = max(self.walks) - Q + 1, min(map(_least, self.walks))
+        starts = starts[hits[np.minimum(starts + widest, len(slots))] - hits[starts] >= weakest]
         for n, walks in self.walks.items():
-            # each of the most edits that an item of this length may have changes Q Q-grams at most
-            least = max(1, n - Q + 1 - Q * int(RATIO * (n + STEP - 1)))
-            width = n - Q + 1
-            inside = starts[starts + n <= ends]
+            least, width = _least(n), n - Q + 1
+            inside = starts[starts + n <= ends[starts]]
             inside = inside[hits[inside + width] - hits[inside] >= least]
             if len(inside) * width > len(data):  # the same with the Q-grams of items of this length alone
                 own_hits = np.concatenate(([0], np.cumsum(self.own_grams[n][slots])))
@@ -176,11 +188,6 @@ def _search(block: str, items: list[tuple[int, bytes]]):
         for batch in batches_of(batches):
             raw, offsets = text_buffers(batch.column("text"))
             data = _PLAIN[raw]
-            blank = data == 32
-            first = np.concatenate(([True], blank[:-1])) if len(data) else blank
-            first[offsets[:-1][offsets[:-1] < len(data)]] = True
-            starts = np.flatnonzero(first & ~blank)
-            owner = np.searchsorted(offsets, starts, "right") - 1
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             texts = data.tobytes()
 
@@ -188,7 +195,7 @@ def _search(block: str, items: list[tuple[int, bytes]]):
                 lo = int(offsets[doc])
                 best[doc, k] = min(best.get((doc, k), (1 << 30, 0, 0)), (distance, start - lo, end - lo))
 
-            for start, k in sorted(held.candidates(data, starts, offsets[owner + 1])):
+            for start, k in sorted(held.candidates(data, np.repeat(offsets[1:], np.diff(offsets)))):
                 doc, item, most = int(np.searchsorted(offsets, start, "right") - 1), held.items[k][1], held.most(k)
                 if best.get((doc, k), (1,))[0] == 0:
                     continue

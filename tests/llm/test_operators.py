@@ -179,6 +179,20 @@ def test_passages(spark):
     assert got <= want | {(500, 90)} and len(got) >= 0.9 * (len(want) + 1)
 
 
+def _passages(spark, docs, items):
+    found = decontaminate.benchmark_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, r.item_id): r.distance for r in found.collect()}
+
+
+def test_passages_glued_or_without_blanks(spark):
+    rng = random.Random(12)
+    write = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    han = [chr(c) for c in range(0x4E00, 0x5200)]
+    items = [(k, " ".join(write("abcdefghijklmnop", rng.randint(2, 8)) for _ in range(20))) for k in range(12)] + [(12 + k, write(han, 40)) for k in range(8)]
+    docs = [(k, ['{"id":7,"question":"', "<p>", "Q:", "see-also/"][k % 4] + t + '","answer"') for k, t in items[:12]] + [(k, write(han, 200) + t + write(han, 50)) for k, t in items[12:]]
+    assert _passages(spark, docs, items) == {(k, k): 0 for k, _ in items}
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 6)))
