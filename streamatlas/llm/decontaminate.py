@@ -8,13 +8,14 @@ changes at most Q of a string's Q-grams, so a window within the distance of an i
 Characters are bytes of the text with A-Z lowered and white space as blanks. The benchmark is worked through in blocks of a proven size; documents are
 never shuffled.
 
-Defined results: a null document or item text is empty; items shorter than SHORTEST bytes match only where equal text of their whole length stands; empty items match
-nothing; repeated rows are reported once per id; a null id is reported as null; other columns are ignored; an empty table on either side gives no rows.
+Defined results: a null document or item text is empty; items shorter than SHORTEST bytes have no windows and are found by their pieces, with the same edits per byte; empty
+items match nothing; repeated rows are reported once per id; a null id is reported as null; other columns are ignored; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +55,13 @@ def _plain(text: bytes) -> np.ndarray:
     return _PLAIN[np.frombuffer(text, np.uint8)]
 
 
+def _hashes(data: np.ndarray) -> Prefix:
+    return Prefix(_GRAM[data], 2)
+
+
 def _grams(data: np.ndarray) -> np.ndarray:
     """Hash of the Q bytes from each place on."""
-    return Prefix(_GRAM[data], 2).windows(Q)
+    return _hashes(data).windows(Q)
 
 
 def _slots(data: np.ndarray) -> np.ndarray:
@@ -117,7 +122,15 @@ class _Items:
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.items = [(i, _plain(t).tobytes()) for i, t in items if t]
-        self.exact = [k for k, (_, t) in enumerate(self.items) if len(t) < SHORTEST]
+        pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for k, (_, t) in enumerate(self.items):
+            if len(t) < SHORTEST:
+                cuts = [len(t) * i // (self.most(k) + 1) for i in range(self.most(k) + 2)]
+                for a, b in zip(cuts, cuts[1:]):
+                    key = int(_hashes(np.frombuffer(t, np.uint8)[a:b]).windows(b - a)[0])
+                    pieces.setdefault(b - a, {}).setdefault(key, []).append((k, a))
+        # of a short item with e edits one of e + 1 pieces is left as it was: by length of the piece the sorted hashes, and the items and offsets behind each
+        self.pieces = {n: (np.array(sorted(own), U64), [own[key] for key in sorted(own)]) for n, own in pieces.items()}
         self.by_length: dict[int, list[int]] = {}
         for k, (_, t) in enumerate(self.items):
             if len(t) >= SHORTEST:
@@ -144,30 +157,44 @@ class _Items:
     def most(self, k: int) -> int:
         return _most(len(self.items[k][1]))
 
+    def short(self, data: np.ndarray) -> list[tuple[int, int, int]]:
+        """(place, start, item) where a piece of a short item stands; the item's start, counted back from the piece, may lie before the text."""
+        found: set[tuple[int, int, int]] = set()
+        hashes = _hashes(data) if self.pieces else None
+        for n, (keys, owners) in self.pieces.items():
+            own = hashes.windows(n)
+            slot = np.zeros(1 << 16, bool)
+            slot[(keys >> U64(48)).astype(np.int64)] = True
+            places = np.flatnonzero(slot[(own >> U64(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(keys, own[places]), len(keys) - 1)
+            same = keys[at] == own[places]
+            for place, which in zip(places[same].tolist(), at[same].tolist()):
+                found.update((place, place - offset, k) for k, offset in owners[which])
+        return sorted(found)
+
     def candidates(self, data: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         """(start, item) for windows of which a key equals an item's; `ends`: for each byte the end of the text that it lies in."""
         found: set[tuple[int, int]] = set()
         slots = _slots(data)
         if not len(slots) or not self.walks:
             return found
-        hits = np.concatenate(([0], np.cumsum(self.grams[slots])))
-        starts = np.arange(len(slots))
-        # what no length can use is left out at once
-        widest, weakest = max(self.walks) - Q + 1, min(map(_least, self.walks))
-        starts = starts[hits[np.minimum(starts + widest, len(slots))] - hits[starts] >= weakest]
+        is_hit = self.grams[slots]
+        places = np.flatnonzero(is_hit)
+        # Q-grams of items before each place; as many places more as the longest window may stand out
+        hits = np.concatenate(([0], np.cumsum(is_hit), np.full(max(self.walks), len(places)))).astype(np.int32)
         for n, walks in self.walks.items():
             least, width = _least(n), n - Q + 1
-            inside = starts[starts + n <= ends[starts]]
-            inside = inside[hits[inside + width] - hits[inside] >= least]
-            if len(inside) * width > len(data):  # the same with the Q-grams of items of this length alone
-                own_hits = np.concatenate(([0], np.cumsum(self.own_grams[n][slots])))
-                inside = inside[own_hits[inside + width] - own_hits[inside] >= least]
-            elif len(inside):
-                inside = inside[self.own_grams[n][slots[inside[:, None] + np.arange(width)]].sum(axis=1) >= least]
+            # a passage at the end of its text lacks what was deleted; each deletion also takes Q Q-grams of the bound, so that stays as it is
+            inside = np.flatnonzero(hits[width : width + len(slots)] - hits[: len(slots)] >= least)
+            inside = inside[inside + n - _most(n + STEP - 1) <= ends[inside]]
+            # the same with the Q-grams of items of this length alone, counted by their places
+            own = places[self.own_grams[n][slots[places]]]
+            inside = inside[np.searchsorted(own, inside + width) - np.searchsorted(own, inside) >= least]
             for lo in range(0, len(inside), 20_000):
                 own = inside[lo : lo + 20_000]
                 windows = np.full((len(own), n + 1), 32, np.uint8)
-                windows[:, :n] = data[own[:, None] + np.arange(n)]
+                at = own[:, None] + np.arange(n)
+                windows[:, :n] = np.where(at < ends[own][:, None], data[np.minimum(at, len(data) - 1)], 32)
                 for walk, tables in zip(walks, self.keys[n]):
                     for keys, (table, items) in zip(walk.keys(windows), tables):
                         a, b = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
@@ -195,8 +222,9 @@ def _search(block: str, items: list[tuple[int, bytes]]):
                 lo = int(offsets[doc])
                 best[doc, k] = min(best.get((doc, k), (1 << 30, 0, 0)), (distance, start - lo, end - lo))
 
-            for start, k in sorted(held.candidates(data, np.repeat(offsets[1:], np.diff(offsets)))):
-                doc, item, most = int(np.searchsorted(offsets, start, "right") - 1), held.items[k][1], held.most(k)
+            windows = ((start, start, k) for start, k in sorted(held.candidates(data, np.repeat(offsets[1:], np.diff(offsets)))))
+            for place, start, k in chain(windows, held.short(data)):
+                doc, item, most = int(np.searchsorted(offsets, place, "right") - 1), held.items[k][1], held.most(k)
                 if best.get((doc, k), (1,))[0] == 0:
                     continue
                 lo = max(int(offsets[doc]), start - most)
@@ -205,14 +233,6 @@ def _search(block: str, items: list[tuple[int, bytes]]):
                 distance, end = (0, at + len(item) - lo) if at >= 0 else _distance(item, texts[lo:hi], most)
                 if distance <= most:
                     note(doc, k, max(lo, lo + end - len(item)), lo + end, distance)
-            for k in held.exact:
-                item = held.items[k][1]
-                at = texts.find(item)
-                while at >= 0:
-                    doc = int(np.searchsorted(offsets, at, "right") - 1)
-                    if at + len(item) <= offsets[doc + 1]:
-                        note(doc, k, at, at + len(item), 0)
-                    at = texts.find(item, at + 1)
             ids = batch.column("doc_id").to_pylist()
             rows = [(ids[doc], held.items[k][0], a, b, d) for (doc, k), (d, a, b) in best.items()]
             columns = list(zip(*rows)) or [[]] * 5

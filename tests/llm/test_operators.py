@@ -193,6 +193,22 @@ def test_passages_glued_or_without_blanks(spark):
     assert _passages(spark, docs, items) == {(k, k): 0 for k, _ in items}
 
 
+def test_passages_cut_by_the_end_or_short(spark):
+    rng = random.Random(13)
+    write = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    items = [(k, write(n).replace("  ", "ab").strip().ljust(n, "q")) for k, n in enumerate([96, 96, 128, 160, 208, 13, 24, 25, 37, 38, 47, 47, 12])]
+    text = dict(items)
+    docs = [(k, text[k][: -1 - k]) for k in range(5)] + [(10 + k, write(100) + text[k][: -1 - k]) for k in range(5)]
+    want = {(k + a, k): k + 1 for k in range(5) for a in (0, 10)}
+    for k in range(5, 13):
+        most, own = int(0.08 * len(text[k])), list(text[k])
+        for e in range(most):
+            own[len(own) * (2 * e + 1) // (2 * most)] = "#"
+        docs += [(20 + k, f"{write(60)}{''.join(own)}{write(40)}"), (40 + k, "".join(own[1:]) if most == 0 else "".join(own))]
+        want |= {(20 + k, k): most} | ({(40 + k, k): most} if most else {})
+    assert _passages(spark, docs, items) == want
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 6)))
