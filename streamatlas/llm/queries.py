@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, minhash_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_files, toxicity
+from . import chat, decontaminate, filter_audit, minhash_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_decontamination")
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_filter_audit", filter_audit.ORACLE)
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
