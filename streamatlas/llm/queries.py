@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, filter_audit, minhash_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_files, toxicity
+from . import chat, collocations, decontaminate, filter_audit, minhash_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,8 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_filter_audit", filter_audit.ORACLE)
 def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_collocations", collocations.ORACLE)
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
