@@ -27,6 +27,8 @@ from .hat_trie import ID_BITS, MAX_IDS, Trie, WordIds
 LEAST = 10  # occurrences of a candidate
 TOP = 2000
 HELD_KEYS = 1_200_000  # of all tries of a task; beyond it subtrees are spilled
+ID_LIMIT = MAX_IDS // 2  # words of a language in a task; beyond it its trie is spilled and ids begin anew
+BLOCK_WORDS = 500_000  # words that are taken up before the two limits are looked at
 FILTER_BITS = 27  # the table of frequent pairs has 2^27 bits (16 MB)
 
 # What ends a piece, and what parts words.
@@ -35,9 +37,6 @@ _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _ENDS, b"abcdefghijkl
 _LETTERS = np.ones(256, bool)
 _LETTERS[[32, 10]] = False
 
-Keys = Callable[[np.ndarray, np.ndarray, np.ndarray, "np.ndarray"], list[np.ndarray]]
-
-
 def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * U64(0x9E3779B97F4A7C15) + second) >> U64(64 - FILTER_BITS)
 
@@ -64,7 +63,7 @@ class _Counts:
         """Sorted runs of what has to go: half of the keys once they are too many, all of a language that runs out of ids, or everything."""
         crowded = sum(trie.held for _, trie in self.tries.values()) > HELD_KEYS
         for lang, (ids, trie) in list(self.tries.items()):
-            full = everything or len(ids) > MAX_IDS // 2
+            full = everything or len(ids) > ID_LIMIT
             if full or crowded:
                 yield from self._rows(lang, ids, trie.spill(0 if full else trie.held // 2))
             if full:
@@ -103,20 +102,21 @@ class _Counts:
             yield from cut(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
 
 
-def _pairs_and_words(ids: np.ndarray, piece: np.ndarray, hashes: Callable[[], np.ndarray]) -> list[np.ndarray]:
+def _pairs_and_words(ids: np.ndarray, piece: np.ndarray, n: int, hashes: Callable[[], np.ndarray]) -> list[np.ndarray]:
+    """Keys of the words and of the pairs that begin at the first n words."""
     single = ids << 2 * ID_BITS
     joined = piece[1:] == piece[:-1]
-    return [single, (single[:-1] | ids[1:] << ID_BITS)[joined]]
+    return [single[:n], (single[:-1] | ids[1:] << ID_BITS)[:n][joined[:n]]]
 
 
 def _triples(table: np.ndarray) -> Callable:
-    def keys(ids: np.ndarray, piece: np.ndarray, hashes: Callable[[], np.ndarray]) -> list[np.ndarray]:
+    def keys(ids: np.ndarray, piece: np.ndarray, n: int, hashes: Callable[[], np.ndarray]) -> list[np.ndarray]:
         if len(ids) < 3:
             return []
         own = hashes()
         bit = _pair_hash(own[:-1], own[1:])
         frequent = (table[bit >> U64(3)] >> (bit & U64(7)).astype(np.uint8) & 1).astype(bool) & (piece[1:] == piece[:-1])
-        at = np.flatnonzero(frequent[:-1] & frequent[1:])
+        at = np.flatnonzero((frequent[:-1] & frequent[1:])[:n])
         return [ids[at] << 2 * ID_BITS | ids[at + 1] << ID_BITS | ids[at + 2]]
 
     return keys
@@ -138,11 +138,13 @@ def _count(make: Callable[[], Callable]) -> Callable[[Iterator[pa.RecordBatch]],
                 data = np.frombuffer(plain, np.uint8)
                 starts, ends, _ = word_spans(data, np.array([0, len(data)]), _LETTERS)
                 piece = np.cumsum(data == 10)[starts]
-                known, trie = counts.of(lang)
-                ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                for found in keys(ids, piece, lambda: _word_hashes(data, starts, ends, lang)):
-                    trie.add(found)
-            yield from counts.relieve()
+                for lo in range(0, len(words), BLOCK_WORDS):  # a block sees the two words after it
+                    block = slice(lo, lo + BLOCK_WORDS + 2)
+                    known, trie = counts.of(lang)
+                    ids = np.fromiter(map(known.__getitem__, words[block]), np.int64)
+                    for found in keys(ids, piece[block], BLOCK_WORDS, lambda: _word_hashes(data, starts[block], ends[block], lang)):
+                        trie.add(found)
+                    yield from counts.relieve()
         yield from counts.relieve(everything=True)
 
     return run

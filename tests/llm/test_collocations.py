@@ -91,7 +91,8 @@ def test_trie_bursts_and_spills(monkeypatch):
 
 def test_tasks_that_run_full(monkeypatch, rows):
     monkeypatch.setattr(collocations, "HELD_KEYS", 60)
-    monkeypatch.setattr(collocations, "MAX_IDS", 40)
+    monkeypatch.setattr(collocations, "ID_LIMIT", 30)
+    monkeypatch.setattr(collocations, "BLOCK_WORDS", 35)
     batch = pa.RecordBatch.from_arrays([pa.array(["und" if g is None else g for _, g in rows]), pa.array([t or "" for t, _ in rows])], ["lang", "text"])
     monkeypatch.setattr(collocations, "batches_of", lambda batches: (b.slice(k, 9) for b in batches for k in range(0, b.num_rows, 9)))
     got, want = Counter(), Counter()
