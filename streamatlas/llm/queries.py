@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, collocations, decontaminate, filter_audit, minhash_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_files, toxicity
+from . import chat, collocations, decontaminate, filter_audit, language_id, minhash_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,8 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_collocations", collocations.ORACLE)
 def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_language_id")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
