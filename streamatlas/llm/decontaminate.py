@@ -15,13 +15,14 @@ items match nothing; repeated rows are reported once per id; a null id is report
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import batches_of, id_and_text, text_buffers
+from .frames import batches_of, id_and_text, materialise, text_buffers
 from .hashing import Prefix
 
 RATIO = 0.08  # edits per byte of an item
@@ -76,7 +77,8 @@ class _Walk:
         rng = np.random.Generator(np.random.PCG64(1000 * length + seed))
         self.steps = length  # about half the window is walked over, so edits behind that leave the keys as they are
         self.moves = rng.integers(0, 2, (self.steps, 256), dtype=np.int8)
-        self.places = np.sort(rng.choice(self.steps, KEYS * BITS, replace=False))
+        # a walk over a short window has fewer steps than places are sampled: some are then sampled for two keys
+        self.places = np.sort(rng.choice(self.steps, KEYS * BITS, replace=self.steps < KEYS * BITS))
         self.owner = rng.permutation(KEYS * BITS) // BITS
         self.factor = rng.integers(1, 2**62, KEYS * BITS, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -88,7 +90,7 @@ class _Walk:
         sampled = 0
         for t in range(int(self.places[-1]) + 1):
             char = flat[at]
-            if t == self.places[sampled]:
+            while sampled < len(self.places) and t == self.places[sampled]:
                 out[self.owner[sampled]] += (char.astype(U64) + U64(1)) * self.factor[sampled]
                 sampled += 1
             at = np.minimum(at + self.moves[t][char], edge)
@@ -245,13 +247,26 @@ def _search(block: str, items: list[tuple[int, bytes]]):
 def benchmark_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, distance): for each document and item the best place (bytes), if within the distance."""
     rows = id_and_text(docs)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    # each text is searched once, under a number of its own; the ids that share it are joined to what was found
+    texts = materialise(items.select("text").distinct().withColumn("text_id", F.monotonically_increasing_id()), "benchmark-texts")
+    size = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     blocks = size // BLOCK_BYTES + 1
     found = None
     for k in range(blocks):
-        # about BLOCK_BYTES of items, whatever the benchmark's size
-        block = [(r["item_id"], r["text"].encode()) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()]
-        own = rows.mapInArrow(_search(f"{id(items)}-{k}-{size}", block), PAIRS)
+        # about BLOCK_BYTES of distinct texts, whatever the benchmark's size
+        block = sorted((r["text_id"], r["text"].encode()) for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect())
+        own = rows.mapInArrow(_search(_digest(block), block), PAIRS)
         found = own if found is None else found.unionByName(own)
-    return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start", "end")).alias("b")).select("doc_id", "item_id", "b.start", "b.end", "b.distance")
+    best = found.groupBy("doc_id", F.col("item_id").alias("text_id")).agg(F.min(F.struct("distance", "start", "end")).alias("b"))
+    known = items.join(texts, "text").select("text_id", "item_id")
+    return best.join(known, "text_id").select("doc_id", "item_id", "b.start", "b.end", "b.distance")
+
+
+def _digest(block: list[tuple[int, bytes]]) -> str:
+    """Names a block by what it holds, so that workers never answer one with another."""
+    whole = sha256()
+    for text_id, text in block:
+        whole.update(b"%d %d " % (text_id, len(text)))
+        whole.update(text)
+    return whole.hexdigest()

@@ -242,3 +242,37 @@ def test_empty_tables(spark):
         pii.find_personal_data(none), toxicity.score(none, labels), decontaminate.benchmark_passages(none, items),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_decontamination_of_every_length(spark):
+    """Items of 1 to 130 bytes, whole and with the edits they may have, each glued into a text of its own; a text that two items share; a second benchmark of the same size."""
+    rng = random.Random(12)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyzé ")
+    items = {n: "".join(letter() for _ in range(200)).encode()[:n].decode("utf-8", "ignore").ljust(n, "q") for n in range(1, 131)}
+    around = lambda n: "".join(rng.choice("ABCDE") for _ in range(n))
+    docs = spark.createDataFrame([(n, around(30) + t + around(40), "x") for n, t in items.items()], "doc_id long, text string, item_id string").repartition(3)
+    benchmark = spark.createDataFrame([*[(n, t) for n, t in items.items()], (900, items[60]), (901, items[60]), (901, items[60]), (902, None), (903, "")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.distance for r in decontaminate.benchmark_passages(docs, benchmark).collect()}
+    assert all(found.get((n, n)) == 0 for n in items)
+    assert found[60, 900] == found[60, 901] == 0 and not {902, 903} & {i for _, i in found}
+    other = spark.createDataFrame([(n, t[::-1]) for n, t in items.items()], "item_id long, text string")
+    again = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_passages(docs, other).collect()}
+    assert not {(n, n) for n in range(40, 131)} & again
+
+
+@pytest.mark.parametrize("length", [48, 64, 79, 96, 200])
+def test_decontamination_recall_by_length(spark, length):
+    rng = random.Random(length)
+    write = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+    items = {k: write(length) for k in range(60)}
+    docs = []
+    for k, t in items.items():
+        own = list(t)
+        for _ in range(int(decontaminate.RATIO * length)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.choice([0, 1, 1])] = rng.choice(["", "#", "#"])
+        docs.append((k, write(100) + "".join(own) + write(rng.randrange(100))))
+    found = decontaminate.benchmark_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    got = found.where("doc_id = item_id").count() / len(items)
+    print(f"length {length}: recall {got:.3f}")
+    assert got >= 0.9
