@@ -30,6 +30,7 @@ HELD_KEYS = 1_200_000  # of all tries of a task; beyond it subtrees are spilled
 ID_LIMIT = MAX_IDS // 2  # words of a language in a task; beyond it its trie is spilled and ids begin anew
 BLOCK_WORDS = 500_000  # words that are taken up before the two limits are looked at
 FILTER_BITS = 27  # the table of frequent pairs has 2^27 bits (16 MB)
+BLOCK_BITS = 18  # of a block of the table
 
 # What ends a piece, and what parts words.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -159,7 +160,8 @@ def _merged(runs: DataFrame) -> DataFrame:
 
 
 def _frequent_table(pairs: DataFrame) -> np.ndarray:
-    """2^FILTER_BITS bits: those of the frequent pairs are set. Tasks send bytes of the table, at most its size each."""
+    """2^FILTER_BITS bits: those of the frequent pairs are set. A block of the table is put together where its pairs meet, so the driver gets the
+    blocks' bytes alone."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,13 +170,23 @@ def _frequent_table(pairs: DataFrame) -> np.ndarray:
                 data = np.frombuffer("\n".join(own).encode(), np.uint8)
                 starts, ends, _ = word_spans(data, np.array([0, len(data)]), _LETTERS)
                 words = _word_hashes(data, starts, ends, lang)
-                bit = _pair_hash(words[0::2], words[1::2])
-                yield pa.RecordBatch.from_arrays([pa.array((bit >> U64(3)).astype(np.int64)), pa.array((1 << (bit & U64(7)).astype(np.int64)))], ["at", "bits"])
+                bit = _pair_hash(words[0::2], words[1::2]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((bit >> BLOCK_BITS).astype(np.int32)), pa.array((bit & (1 << BLOCK_BITS) - 1).astype(np.int32))], ["block", "bit"])
 
-    found = pairs.mapInArrow(hashed, "at long, bits long").groupBy("at").agg(F.bit_or("bits").cast("short").alias("bits"))
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, bit = batch.column("block").to_numpy(), batch.column("bit").to_numpy()
+            for block in np.unique(at).tolist():
+                own = bit[at == block]
+                np.bitwise_or.at(blocks.setdefault(block, np.zeros(1 << BLOCK_BITS - 3, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())], ["block", "bits"])
+
+    found = pairs.mapInArrow(hashed, "block int, bit int").repartition("block").mapInArrow(assembled, "block int, bits binary")
     table = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    rows = found.toArrow()  # at most 2^24 pairs of small numbers
-    table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    size = 1 << BLOCK_BITS - 3
+    for r in found.collect():  # 2^FILTER_BITS bits
+        table[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return table
 
 

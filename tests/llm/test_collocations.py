@@ -104,3 +104,17 @@ def test_tasks_that_run_full(monkeypatch, rows):
     for t, g in rows:
         want.update(("und" if g is None else g, " ".join(x)) for x in grams_of(t) if len(x) < 3)
     assert got == want and len(pieces) > 20
+
+
+def test_table_of_frequent_pairs(spark):
+    pairs = [("en", "a b"), ("en", "b a"), ("xx", "a b"), ("", "é 漢")]
+    table = collocations._frequent_table(spark.createDataFrame(pairs, "lang string, phrase string").repartition(3))
+    assert np.unpackbits(table).sum() == len(pairs)
+    keys = collocations._triples(table)
+
+    def passing(lang, words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        starts, ends, _ = collocations.word_spans(data, np.array([0, len(data)]), collocations._LETTERS)
+        return len(keys(np.arange(1, len(words) + 1), np.zeros(len(words), int), 99, lambda: collocations._word_hashes(data, starts, ends, lang))[0])
+
+    assert [passing("en", w) for w in ("aba", "bab", "aab", "baba")] == [1, 1, 0, 2] and passing("xx", "aba") == 0
