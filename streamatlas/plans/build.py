@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..fixed import catalogue as fc
 from ..operators import categorise, guard, liveness, merge, reports
 from ..operators.keyed import last_by, materialise
-from ..sources import adapters, sinks
+from ..sources import adapters, isolation, sinks
 
 log = logging.getLogger(__name__)
 
@@ -33,35 +33,47 @@ class Cycle:
     kept: DataFrame
     entries: DataFrame
     crashed: tuple[str, ...]
+    quarantine: DataFrame
 
 
 def discover(
     pages: DataFrame, names: Iterable[str] | None = None, table: Mapping[str, adapters.Adapter] | None = None, parallel: int = 4
-) -> tuple[DataFrame, tuple[str, ...]]:
-    """Candidates of all sources, and the names of those whose job failed.
+) -> tuple[DataFrame, tuple[str, ...], DataFrame]:
+    """Candidates of all sources, the names of those that crashed, and the documents that made them crash (`isolation.ERROR_SCHEMA`).
 
     pages: (source, url, part, body), best partitioned by source. Every source is a job of its own that writes its rows, so a
-    failure costs that source one cycle and not the build.
+    failure costs that source one cycle and not the build. A source with one failing document counts as crashed: a part of a
+    site's streams is not a result. Failures of the cluster are raised.
     """
     table = dict(table or adapters.ADAPTERS)
     names = [n for n in (names or fc.SOURCE_ORDER) if n in table]
+    spark = pages.sparkSession
 
-    def one(name: str) -> DataFrame | None:
+    def one(name: str) -> tuple[DataFrame | None, DataFrame | None]:
+        own = pages.where(F.col("source") == name).drop("source")
         try:
-            return materialise(table[name](pages.where(F.col("source") == name).drop("source")), f"rows-{name}")
-        except Exception:
+            rows = materialise(table[name](own), f"rows-{name}")
+        except Exception as exc:
+            if isolation.blames_cluster(exc):
+                raise
             log.exception("source %s failed", name)
-            return None
+            return None, isolation.isolate(own, table[name], name, exc)
+        return rows, isolation.error_rows(rows, name)
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         found = dict(zip(names, pool.map(one, names)))
-    rows = {n: df for n, df in found.items() if df is not None}
-    crashed = tuple(n for n in names if found[n] is None)
+    quarantine = spark.createDataFrame([], isolation.ERROR_SCHEMA)
+    for _, errors in found.values():
+        if errors is not None:
+            quarantine = quarantine.unionByName(errors)
+    quarantine = materialise(quarantine, "quarantine")
+    failed = {r["source"] for r in quarantine.select("source").distinct().collect()}
+    crashed = tuple(n for n in names if n in failed)
+    rows = {n: df for n, (df, _) in found.items() if df is not None and n not in failed}
     if not rows:
-        spark = pages.sparkSession
         schema = ", ".join(f"{c} {'long' if c == 'ord' else 'string'}" for c in merge.CANDIDATE_COLUMNS)
-        return spark.createDataFrame([], schema), crashed
-    return materialise(adapters.number_candidates(rows), "candidates"), crashed
+        return spark.createDataFrame([], schema), crashed, quarantine
+    return materialise(adapters.number_candidates(rows), "candidates"), crashed, quarantine
 
 
 def renumber(rows: DataFrame) -> DataFrame:
@@ -91,7 +103,7 @@ def run_cycle(
     """
     names = tuple(names or fc.SOURCE_ORDER)
     spark = pages.sparkSession
-    candidates, crashed = discover(pages, names, table)
+    candidates, crashed, quarantine = discover(pages, names, table)
     live = adapters.live_videos(pages.where(F.col("source") == fc.OFFICIAL_TITLE_SOURCE).drop("source"))
     checked = materialise(liveness.check_candidates(candidates, live, bodies, manifests, tool_output, now), "checked")
     expected = spark.createDataFrame([(n, n in crashed) for n in names], "source string, crashed boolean")
@@ -107,7 +119,7 @@ def run_cycle(
     pool = kept if kept_before is None else kept_before.select(*KEPT_COLUMNS).where(F.col("cycle") < cycle).unionByName(kept)
     served = materialise(renumber(guard.served_rows(pool, guarded, cycle).drop("cycle")), "served")
     entries = categorise.exclude_categories(categorise.to_entries(merge.merge_candidates(served)), exclude)
-    return Cycle(candidates, checked, rollup, guarded, kept, entries, crashed)
+    return Cycle(candidates, checked, rollup, guarded, kept, entries, crashed, quarantine)
 
 
 def report(cycle: Cycle, number: int, fetch_log: DataFrame | None = None, names: Iterable[str] | None = None, seconds: float | None = None) -> dict[str, DataFrame]:
