@@ -11,21 +11,29 @@ from .keyed import last_by, materialise
 
 
 def with_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows with their dense position (0, 1, 2, ...) in a total order, without a global window.
+    """Rows with their dense position (0, 1, 2, ...) in a total order, without a global window."""
+    return with_position_and_count(df, order)[0]
+
+
+def with_position_and_count(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
+    """The same, and the number of rows.
 
     The rows are range-partitioned and sorted once and written; the only thing that is put in sequence is the row count of each
-    partition.
+    partition, which the driver adds up.
     """
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
     inside = F.monotonically_increasing_id()
     rows = rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", inside.bitwiseAND(F.lit((1 << 33) - 1)))
     rows = materialise(rows, "positions")
-    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    return (
-        rows.join(F.broadcast(offsets), "_p").withColumn("position", F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
-    )
+    counts = sorted((r["_p"], r["n"]) for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per partition
+    starts, total = [], 0
+    for p, n in counts:
+        starts += [total] * (p + 1 - len(starts))  # partitions without rows come up with the next one that has some
+        total += n
+    if not counts:
+        return rows.select(*df.columns, F.lit(0).cast("long").alias("position")), 0
+    first = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("_p"))
+    return rows.withColumn("position", first + F.col("_i")).drop("_p", "_i"), total
 
 
 def grid(spark: SparkSession) -> DataFrame:
@@ -85,12 +93,12 @@ def live_page(body, has_frame):
     return F.when(body.isNull(), "unknown").when((F.length(body) < fc.MIN_STREAM_PAGE) | ~has_frame, "dead").otherwise("live")
 
 
-def probe_batch(corpus: DataFrame, live: DataFrame, cursor: int, budget: int = fc.PROBE_BUDGET) -> tuple[DataFrame, int]:
-    """The ids to probe (id, kind, seq) and the next cursor: all live ids, then a slice of the others that starts at the cursor
-    and wraps around."""
-    rest = with_position(corpus.select("id").distinct().join(live.select("id"), "id", "left_anti"), ["id"])
-    n_rest, n_live = rest.count(), live.count()
-    size = min(n_rest, max(0, budget - n_live))
+def probe_batch(corpus: DataFrame, live: DataFrame, cursor: int, budget: int | None = None, n_live: int | None = None) -> tuple[DataFrame, int, int]:
+    """The ids to probe (id, kind, seq), the next cursor, and how many they are: all live ids, then a slice of the others that starts at the cursor
+    and wraps around. Without a budget the slice is all of them. Both tables have one row per id. n_live: the size of the live set, where it is known."""
+    rest, n_rest = with_position_and_count(corpus.select("id").join(live.select("id"), "id", "left_anti"), ["id"])
+    n_live = live.count() if n_live is None else n_live
+    size = n_rest if budget is None else min(n_rest, max(0, budget - n_live))
     start = cursor % n_rest if n_rest else 0
     batch = live.select("id", F.lit("live").alias("kind"), F.lit(None).cast("long").alias("seq"))
     if size:
@@ -98,7 +106,7 @@ def probe_batch(corpus: DataFrame, live: DataFrame, cursor: int, budget: int = f
         batch = batch.unionByName(
             rest.withColumn("seq", turn).where(F.col("seq") < size).select("id", F.lit("rotation").alias("kind"), "seq")
         )
-    return batch, ((start + size) % n_rest if n_rest else 0)
+    return batch, ((start + size) % n_rest if n_rest else 0), n_live + size
 
 
 def enumeration_due(corpus_is_empty: bool, builds_left: int) -> bool:

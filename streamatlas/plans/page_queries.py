@@ -523,7 +523,7 @@ def probe_batch(spark, sf):
     o = table(spark, sf, "orders")
     live = o.where((F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("o_orderkey") % 5 == 0)).select(F.col("o_custkey").alias("id")).distinct()
     corpus = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    batch, _ = probe.probe_batch(corpus, keyed.materialise(live, "live"), cursor=1_000_003, budget=corpus.count() * 2 // 3)
+    batch, _, _ = probe.probe_batch(corpus, keyed.materialise(live, "live"), cursor=1_000_003, budget=corpus.count() * 2 // 3)
     return batch
 
 

@@ -402,13 +402,17 @@ def wildlife_trusts(spark, sf):
 
 @query("source_windy_p27", both(rows("Cam {n} — City {n % 4}, Land", "https://webcams.windy.com/webcams/stream/{n}", "https://e.example.net/a?x=1&id={n}", None, where="n % 5 > 0")))
 def windy(spark, sf):
+    return run("windy", windy_pages(spark, sf))
+
+
+def windy_pages(spark, sf) -> DataFrame:
     df = numbered(spark, sf)
     cam = F.to_json(F.struct(F.col("n").alias("id"), T("Cam {n}").alias("title"), F.struct(T("City {n % 4}").alias("city"), F.lit("Land").alias("country")).alias("location")))
     lists = index(df.where(LISTED), fs.WINDY_LIST + "1.0,2.0&radius=250&limit=25&offset=0", cam, '{"total": 5, "cams": [', "]}", ",")
     frame = T('<iframe src="https://e.example.net/a?x=1&amp;id={n}"></iframe>')
     live = pages_of(df.where("n % 5 > 0"), T("https://webcams.windy.com/webcams/stream/{n}"), frame)
     stub = pages_of(df.where("n % 5 = 0"), T("https://webcams.windy.com/webcams/stream/{n}"), frame, False)
-    return run("windy", union(lists, live, stub))
+    return union(lists, live, stub)
 
 
 _WC = "https://worldcams.tv/italy/c{n}/"

@@ -28,7 +28,8 @@ from ..operators.extract import (
 )
 from ..operators.graph import leaves, reachable
 from ..operators.keyed import first_by, last_by
-from ..operators.probe import contiguous_pages, search_windows
+from ..operators.probe import contiguous_pages, live_page, search_windows
+from ..operators.rotation import Rotation, Turn
 from ..operators.resolve import embedded_stream
 
 ROW_COLUMNS = (
@@ -683,6 +684,29 @@ def windy(pages: DataFrame) -> DataFrame:
     return windy_streams(pages, corpus, ids.select("id", F.lit("rotation").alias("kind"), F.col("id").alias("seq")))
 
 
+def windy_verdicts(pages: DataFrame, batch: DataFrame) -> DataFrame:
+    """(id, live) for a probe batch: null where no page was fetched. Verdicts are cut out where the bodies are read."""
+    body = F.col("body")
+    state = live_page(body, has(body, fs.WINDY_IFRAME, ignore_case=True))
+    cam = F.replace("url", F.lit(fs.WINDY_STREAM), F.lit("")).try_cast("long")
+    told = pages.where(F.col("url").startswith(fs.WINDY_STREAM)).select(cam.alias("id"), F.when(state != "unknown", state == "live").alias("live"))
+    return batch.select("id").join(told, "id", "left")
+
+
+def windy_turn(pages: DataFrame, state: Rotation, cycle: int, budget: int = fc.PROBE_BUDGET) -> tuple[DataFrame, Turn]:
+    """The candidates of one cycle over the pages it landed, and what the state became. `pages` that were landed for other ids than those of the
+    batch have no part; a cycle that was taken before gives the candidates of its live set."""
+    taken: list[DataFrame] = []
+
+    def probe(batch: DataFrame) -> DataFrame:
+        taken.append(batch)
+        return windy_verdicts(pages, batch)
+
+    turn = state.run(cycle, lambda: (windy_corpus(pages).withColumn("seq", F.lit(cycle).cast("long")), False), probe, budget)
+    batch = taken[0] if taken else state.live.read().select("id", F.lit("live").alias("kind"), F.lit(None).cast("long").alias("seq"))
+    return windy_streams(pages, state.corpus.read().drop("seq"), batch), turn
+
+
 @source("worldcams")
 def worldcams(pages: DataFrame) -> DataFrame:
     number = F.regexp_extract("url", r"\?page=(\d+)$", 1).try_cast("int")
