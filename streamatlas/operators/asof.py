@@ -1,65 +1,43 @@
-"""As-of lookups and running values over long histories.
+"""As-of lookups and episodes over long histories.
 
-A history is cut into blocks of its order column. A block gets one extra row that carries in what the earlier blocks left
-behind, so windows run per (key, block) and a key that owns most rows is still spread over its blocks. What is carried is one
-row per (key, block): its number is bounded by the length of the time line, not by the number of rows.
+As-of lookups run over even ranges of the history. Episodes are cut into blocks of their time line: windows run per (key, block) and a second step joins
+the runs over block borders, so a key that owns most rows is still spread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from .scan import running
 
 
 def asof_last(
-    requests: DataFrame,
-    log: DataFrame,
-    on: str,
-    request_time: str,
-    log_time: str,
-    log_order: Sequence[str],
-    cols: Sequence[str],
-    block_seconds: int = 3600,
+    requests: DataFrame, log: DataFrame, on: str, request_time: str, log_time: str, log_order: Sequence[str], cols: Sequence[str]
 ) -> DataFrame:
     """Every request with the columns `cols` of the latest log row of its key at or before it (null where there is none).
 
-    `log_order` breaks ties between log rows of one time; it must make the order total.
+    `log_order` breaks ties between log rows of one time; it must make the order total. Requests and log rows lie in one order of key and time that is cut
+    into even ranges, so a key with most of the rows within an hour is spread like all others. A range takes over the last log row before it, which
+    counts for the requests of the same key.
     """
     stamp = lambda c: F.col(c).cast("timestamp")
-    block = lambda c: F.floor(F.unix_timestamp(stamp(c)) / block_seconds)
-    hit = F.struct(stamp(log_time).alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(log_order)],
-                   *[F.col(c).alias(f"_v_{c}") for c in cols])
-    req_cols = [c for c in requests.columns]
+    hit = F.struct(F.col(on).alias("on"), stamp(log_time).alias("t"), *[F.col(c).alias(f"v_{c}") for c in cols])
+    none = F.lit(None)
+    ties = [f"_k{i}" for i in range(len(log_order))]
     left = requests.select(
-        F.col(on).alias("_on"), block(request_time).alias("_block"), stamp(request_time).alias("_time"),
-        F.lit(2).alias("_kind"), F.struct(*req_cols).alias("_req"),
+        F.col(on).alias("_on"), stamp(request_time).alias("_time"), F.lit(2).alias("_kind"),
+        *[none.cast(log.schema[c].dataType).alias(k) for c, k in zip(log_order, ties)], F.struct(*requests.columns).alias("_req"),
     )
     right = log.select(
-        F.col(on).alias("_on"), block(log_time).alias("_block"), stamp(log_time).alias("_time"),
-        F.lit(1).alias("_kind"), hit.alias("_hit"),
-    )
-    per_block = right.groupBy("_on", "_block").agg(F.max("_hit").alias("_hit")).unionByName(
-        left.select("_on", "_block").distinct(), allowMissingColumns=True
-    )
-    per_block = per_block.groupBy("_on", "_block").agg(F.max("_hit").alias("_hit"))
-    earlier = W.partitionBy("_on").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = per_block.select(
-        "_on", "_block", F.lit(None).cast("timestamp").alias("_time"), F.lit(0).alias("_kind"),
-        F.last("_hit", ignorenulls=True).over(earlier).alias("_hit"),
-    ).where(F.col("_hit").isNotNull())
-    rows = left.unionByName(right, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
-    # Log rows of one time come in their own order before a request of that time.
-    w = (
-        W.partitionBy("_on", "_block")
-        .orderBy(F.col("_time").asc_nulls_first(), "_kind", F.col("_hit").asc_nulls_last())
-        .rowsBetween(W.unboundedPreceding, 0)
+        F.col(on).alias("_on"), stamp(log_time).alias("_time"), F.lit(1).alias("_kind"), *[F.col(c).alias(k) for c, k in zip(log_order, ties)], hit.alias("_hit"),
     )
-    found = rows.withColumn("_found", F.last("_hit", ignorenulls=True).over(w)).where(F.col("_kind") == 2)
-    return found.select(
-        *[F.col("_req")[c].alias(c) for c in req_cols],
-        F.col("_found")["_t"].alias("found_at"),
-        *[F.col("_found")[f"_v_{c}"].alias(f"found_{c}") for c in cols],
+    rows = left.unionByName(right, allowMissingColumns=True).withColumn("_no", F.xxhash64("_req"))
+    found = running(rows, ["_on", "_time", "_kind", *ties, "_no"], {"_found": ("last", "_hit")}).where(F.col("_kind") == 2)
+    own = F.when(F.col("_found")["on"].eqNullSafe(F.col("_on")), F.col("_found"))
+    return found.withColumn("_found", own).select(
+        *[F.col("_req")[c].alias(c) for c in requests.columns], F.col("_found")["t"].alias("found_at"), *[F.col("_found")[f"v_{c}"].alias(f"found_{c}") for c in cols]
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..fixed import catalogue as fc
 from .keyed import last_by, materialise
+from .scan import running
 
 
 def with_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -51,19 +52,21 @@ def grid(spark: SparkSession) -> DataFrame:
     )
 
 
-def page_plan(circles: DataFrame, ceiling: int = fc.ENUM_MAX_REQUESTS) -> DataFrame:
-    """(ord, offset, truncated): further list pages of every circle (ord, total), in scan order, under the request ceiling.
+def page_plan(circles: DataFrame, ceiling: int | None = None, circle_cap: int | None = None) -> DataFrame:
+    """(ord, offset, truncated): further list pages of every circle (ord, total), in scan order. A ceiling bounds the requests of all circles, first
+    pages included; a circle cap the rows that are listed of one. Without them every page is planned.
 
-    Requests are counted per circle first, so the running total only sees one row per grid point.
+    Requests are counted per circle first, so the running total only sees one row per grid point, and it runs by ranges of them.
     """
-    most = F.least(F.coalesce("total", F.lit(0)), F.lit(fc.CIRCLE_CAP))
-    sized = circles.select("ord", F.greatest(F.lit(0), F.ceil(most / fc.PAGE_SIZE) - 1).cast("long").alias("pages"))
-    before = W.orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    sized = sized.withColumn("_before", F.coalesce(F.sum("pages").over(before), F.lit(0)))
-    sized = sized.withColumn("_points", F.count(F.lit(1)).over(W.partitionBy()))
-    left = F.lit(ceiling) - F.col("_points") - F.col("_before")
-    allowed = F.greatest(F.lit(0), F.least("pages", left)).cast("int")
-    sized = sized.withColumn("_allowed", allowed).where(F.col("pages") > 0)
+    listed = F.coalesce("total", F.lit(0))
+    listed = listed if circle_cap is None else F.least(listed, F.lit(circle_cap))
+    sized = circles.select("ord", F.greatest(F.lit(0), F.ceil(listed / fc.PAGE_SIZE) - 1).cast("long").alias("pages"))
+    if ceiling is None:
+        sized = sized.withColumn("_allowed", F.col("pages").cast("int"))
+    else:
+        sized = running(sized, ["ord"], {"_before": ("sum", "pages")})
+        left = F.lit(ceiling - circles.count()) - F.col("_before")
+        sized = sized.withColumn("_allowed", F.greatest(F.lit(0), F.least("pages", left)).cast("int"))
     plan = sized.where(F.col("_allowed") > 0).select(
         "ord", F.explode(F.sequence(F.lit(1), F.col("_allowed"))).alias("page"), (F.col("_allowed") < F.col("pages")).alias("truncated")
     )
@@ -113,36 +116,30 @@ def enumeration_due(corpus_is_empty: bool, builds_left: int) -> bool:
     return corpus_is_empty or builds_left <= 0
 
 
-def builds_after_enumeration(truncated: bool) -> int:
-    return 0 if truncated else fc.ENUM_EVERY
+def builds_after_enumeration(truncated: bool, every: int = fc.ENUM_EVERY) -> int:
+    return 0 if truncated else every
 
 
-def search_windows(hits: DataFrame, max_ids: int = fc.SEARCH_MAX_IDS) -> DataFrame:
+def search_windows(hits: DataFrame, max_ids: int | None = None) -> DataFrame:
     """Distinct ids of a backwards search: hits (window_no, pos, video_id, ...) in the order the windows were read.
 
-    A window counts while fewer than `max_ids` ids were seen before it and no earlier window brought nothing new. Each id is
-    given to its first window first, so the running totals only see one row per window; there can be no more windows in play
-    than ids.
+    A window counts while no earlier window brought nothing new and, with a limit, fewer than `max_ids` ids were seen before it. Each id is given to its
+    first window first, so the running totals see one row per window; they run by ranges of windows, of which there may be any number.
     """
-    # Every window in play adds at least one id, so only the first max_ids + 1 windows can take part.
-    numbers = hits.select("window_no").distinct().orderBy("window_no").limit(max_ids + 1)
-    taking = hits.join(F.broadcast(numbers), "window_no")
     rest = [c for c in hits.columns if c not in ("video_id", "window_no", "pos")]
     row = F.struct("window_no", "pos", *rest)
-    firsts = taking.groupBy("video_id").agg(F.min(row).alias("_r")).select("video_id", "_r.*")
+    firsts = hits.groupBy("video_id").agg(F.min(row).alias("_r")).select("video_id", "_r.*")
     fresh = firsts.groupBy("window_no").agg(F.count(F.lit(1)).alias("_new"))
-    numbers = numbers.join(fresh, "window_no", "left").fillna(0, ["_new"])
-    before = W.orderBy("window_no").rowsBetween(W.unboundedPreceding, -1)
-    numbers = numbers.select(
-        "window_no",
-        F.coalesce(F.sum("_new").over(before), F.lit(0)).alias("seen_before"),
-        F.coalesce(F.min("_new").over(before), F.lit(1)).alias("_least"),
-    )
-    ok = numbers.where((F.col("seen_before") < max_ids) & (F.col("_least") > 0))
-    return firsts.join(F.broadcast(ok.select("window_no", "seen_before")), "window_no")
-
-
-def contiguous_pages(pages_with_links: DataFrame, col: str = "page_no", last: int = fc.LIST_PAGES_MAX) -> DataFrame:
-    """Page numbers 1, 2, ... up to the first one that is missing; at most `last` rows take part."""
-    numbers = pages_with_links.where(F.col(col).between(1, last)).select(col).distinct()
-    return numbers.withColumn("_n", F.row_number().over(W.orderBy(col))).where(F.col("_n") == F.col(col)).select(col)
+    windows = hits.select("window_no").distinct().join(fresh, "window_no", "left").fillna(0, ["_new"])
+    seen = running(windows, ["window_no"], {"seen_before": ("sum", "_new"), "_least": ("min", "_new")})
+    ok = F.coalesce(F.col("_least"), F.lit(1)) > 0
+    if max_ids is not None:
+        ok = ok & (F.col("seen_before") < max_ids)
+    return firsts.join(seen.where(ok).select("window_no", "seen_before"), "window_no")
+
+
+def contiguous_pages(pages_with_links: DataFrame, col: str = "page_no", last: int | None = None) -> DataFrame:
+    """Page numbers 1, 2, ... up to the first one that is missing, or up to `last`: a number counts if as many numbers lie below it as it says."""
+    numbers = pages_with_links.where(F.col(col) >= 1).select(col).distinct()
+    found = with_position(numbers, [col]).where(F.col("position") + 1 == F.col(col)).select(col)
+    return found if last is None else found.where(F.col(col) <= last)

@@ -71,8 +71,8 @@ def fetch_outcomes(fetch_log: DataFrame, keys: tuple[str, ...] = ("source",)) ->
     )
 
 
-def cap_hosts(outcomes: DataFrame, max_pairs: int = fc.MAX_HOSTS) -> DataFrame:
-    """Per source the biggest (host, outcome) pairs; all others are summed into the host `other` of their outcome.
+def cap_hosts(outcomes: DataFrame, max_pairs: int) -> DataFrame:
+    """A shorter report: per source the biggest (host, outcome) pairs; all others are summed into the host `other` of their outcome.
 
     The kept pairs are found with a rank filter (applied before the shuffle), so a source with very many hosts never gathers
     in one task; the rest is told apart by a join with that bounded set and summed with partial aggregation.

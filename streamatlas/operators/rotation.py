@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..fixed import catalogue as fc
 from .probe import builds_after_enumeration, enumeration_due, probe_batch, update_live
 from .versioned import VersionedTable
 
@@ -32,7 +33,8 @@ class Turn:
 
 
 class Rotation:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, every: int = fc.ENUM_EVERY) -> None:
+        self.every = every  # cycles from one whole enumeration to the next
         self.corpus = VersionedTable(spark, f"{root}/corpus", CORPUS, "id", buckets)
         self.live = VersionedTable(spark, f"{root}/live", "id long", "id", buckets)
 
@@ -53,7 +55,7 @@ class Rotation:
             if self.corpus.current().step < cycle:
                 found, truncated = enumerate_()
                 self.corpus.upsert(cycle, found, ["seq"], {"truncated": int(truncated)})
-            left = builds_after_enumeration(bool(self.corpus.current().values["truncated"]))
+            left = builds_after_enumeration(bool(self.corpus.current().values["truncated"]), self.every)
         values = {"builds_left": left - 1, "enumerated": int(due), "probed": 0, "cursor": state.values.get("cursor", 0)}
         if self.corpus.current().rows == 0:
             self.live.commit(cycle, None, (), values)

@@ -130,7 +130,7 @@ def report(cycle: Cycle, number: int, fetch_log: DataFrame | None = None, names:
     latest = last_by(cycle.guarded, ["source"], ["cycle"], ["kept", "discovered", "crashed", "status"])
     if fetch_log is None:
         fetch_log = spark.createDataFrame([], "source string, host string, outcome string")
-    outcomes = reports.cap_hosts(reports.fetch_outcomes(fetch_log))
+    outcomes = reports.fetch_outcomes(fetch_log)
     sources = reports.health_sources(expected, latest)
     return {
         "health": reports.health(sources, sinks.snapshot_rows(cycle.entries).count(), True, seconds),

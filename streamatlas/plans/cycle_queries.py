@@ -94,7 +94,7 @@ def build_cycles(spark, sf):
     return entries.union(guard).union(broken)
 
 
-_CYCLES = 45
+_CYCLES, _EVERY = 16, 12
 
 _ROTATION = f"""WITH RECURSIVE c AS (SELECT list(c_custkey ORDER BY c_custkey) AS ids, count(*) // 4 AS budget FROM customer),
 s AS (
@@ -105,7 +105,7 @@ s AS (
   FROM (SELECT *, list_slice(list_concat(rest, rest), st + 1, st + sz) AS turn FROM (
     SELECT *, cursor % len(rest) AS st, least(len(rest), greatest(0, budget - len(live))) AS sz FROM (
       SELECT *, list_filter(ids, lambda x: (scans >= 3 OR x % 3 <> 0 OR (scans = 2 AND x % 7 <> 0)) AND NOT list_contains(live, x)) AS rest FROM (
-        SELECT t, live, cursor, due, scans + due::INT AS scans, (CASE WHEN NOT due THEN builds_left WHEN scans = 0 THEN 0 ELSE 40 END) - 1 AS builds_left, ids, budget
+        SELECT t, live, cursor, due, scans + due::INT AS scans, (CASE WHEN NOT due THEN builds_left WHEN scans = 0 THEN 0 ELSE {_EVERY} END) - 1 AS builds_left, ids, budget
         FROM (SELECT s.*, (scans = 0 OR builds_left <= 0) AS due, ids, budget FROM s, c WHERE t < {_CYCLES})))))
 )
 SELECT 'cycle' AS kind, CAST(t AS BIGINT) AS n, probed, cursor, builds_left, CAST(len(live) AS BIGINT) AS live, enumerated FROM s WHERE t > 0
@@ -116,7 +116,7 @@ UNION ALL SELECT 'live', unnest(live), NULL, NULL, NULL, NULL, NULL FROM s WHERE
 def rotation(spark, sf):
     """Cycles of a corpus with its state: the first enumeration is cut short, the second starts the countdown, the third comes when it ends. One cycle is run twice."""
     customers = table(spark, sf, "customer")
-    state = Rotation(spark, f"{ensure_checkpoint_dir(spark)}/rotation-{uuid.uuid4().hex}", buckets=4)
+    state = Rotation(spark, f"{ensure_checkpoint_dir(spark)}/rotation-{uuid.uuid4().hex}", buckets=2, every=_EVERY)
     corpus = customers.select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.lit("").alias("city"), F.lit("").alias("country"), F.lit(0).cast("long").alias("seq")
     )
@@ -126,7 +126,7 @@ def rotation(spark, sf):
     for cycle in range(1, _CYCLES + 1):
         answer = F.expr(f"(id * 31 + {cycle} * 17) % 10")
         verdicts = lambda batch: batch.select("id", F.when(answer < 3, True).when(answer < 7, False).alias("live"))
-        for _ in range(2 if cycle == 20 else 1):
+        for _ in range(2 if cycle == 9 else 1):
             turn = state.run(cycle, lambda: (scans[done].withColumn("seq", F.lit(cycle).cast("long")), done == 0), verdicts, budget)
         done += turn.enumerated
         turns.append(("cycle", turn.cycle, turn.probed, turn.cursor, turn.builds_left, turn.live, turn.enumerated))

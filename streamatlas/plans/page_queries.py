@@ -44,11 +44,13 @@ def section_links(spark, sf):
 
 
 @query("paged_listing_s4", """
-WITH p AS (SELECT DISTINCT page_id % 90 AS page_no FROM pages WHERE page_id % 90 <> 41 AND page_id % 90 > 0)
-SELECT page_no FROM p WHERE page_no <= 80 AND page_no < 41""")
+WITH p AS (SELECT page_id + 1 AS page_no, (SELECT count(*) FROM pages) * 3 // 4 AS gap FROM pages)
+SELECT page_no FROM p WHERE page_no < gap""")
 def paged_listing(spark, sf):
-    n = F.col("page_id") % 90
-    return probe.contiguous_pages(documents(spark, sf).where(n != 41).select(n.alias("page_no")))
+    """Every document is a list page of its own; the one at three quarters of the listing is missing."""
+    gap = table(spark, sf, "pages").count() * 3 // 4
+    n = F.col("page_id") + 1
+    return probe.contiguous_pages(documents(spark, sf).where(n != gap).select(n.alias("page_no")))
 
 
 @query("page_meta_e5", r"""
@@ -509,7 +511,7 @@ pl AS (SELECT ord, unnest(range(25, least(total, 4500), 25)) AS off FROM circ WH
 rk AS (SELECT *, row_number() OVER (ORDER BY ord, off) AS r FROM pl)
 SELECT CAST(ord AS BIGINT) AS ord, off AS "offset" FROM rk WHERE r <= 7000 - (SELECT n FROM gn)""")
 def page_plan(spark, sf):
-    return probe.page_plan(_circles(spark, sf)).select("ord", "offset")
+    return probe.page_plan(_circles(spark, sf), ceiling=7000, circle_cap=4500).select("ord", "offset")
 
 
 @query("probe_batch_t3", """
@@ -566,7 +568,20 @@ def search_windows(spark, sf):
     hits = table(spark, sf, "events").select(
         F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("window_no"), F.col("event_id").alias("pos"), F.col("user_id").alias("video_id")
     )
-    return probe.search_windows(hits).select("video_id", "window_no")
+    return probe.search_windows(hits, max_ids=1000).select("video_id", "window_no")
+
+
+@query("all_search_windows_w7", """
+WITH h AS (SELECT event_id // 10 AS window_no, event_id % 10 AS pos, event_id * 7 // 8 AS video_id FROM events),
+f AS (SELECT video_id, min(window_no * 10 + pos) AS place FROM h GROUP BY ALL),
+n AS (SELECT w.window_no, count(f.video_id) AS new FROM (SELECT DISTINCT window_no FROM h) w LEFT JOIN f ON place // 10 = window_no GROUP BY ALL)
+SELECT video_id, place // 10 AS window_no, CAST(seen AS BIGINT) AS seen_before FROM f JOIN (
+  SELECT window_no, coalesce(sum(new) OVER (ORDER BY window_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM n) r ON place // 10 = window_no""")
+def all_search_windows(spark, sf):
+    """A search without a limit: one window for every ten events, each with the ids that were seen before it."""
+    n = F.col("event_id")
+    hits = table(spark, sf, "events").select(F.floor(n / 10).alias("window_no"), (n % 10).alias("pos"), F.floor(n * 7 / 8).alias("video_id"))
+    return probe.search_windows(hits).select("video_id", "window_no", "seen_before")
 
 
 @query("id_order_l3", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer")

@@ -416,15 +416,20 @@ def windy_pages(spark, sf) -> DataFrame:
 
 
 _WC = "https://worldcams.tv/italy/c{n}/"
+_WC_PAGE = 20  # streams of a list page
+# The list page at three quarters of the listing is missing, so later ones do not count.
+_BEFORE_GAP = f"n // {_WC_PAGE} < (SELECT max(page_id) FROM pages) // {_WC_PAGE} * 3 // 4"
 
 
 @query("source_worldcams_s4_j4", both(
-    rows("Beach {n} C{n} — Italy", "https://worldcams.tv/italy/c{n}/", "https://a.example.net/{n}", None, "Beaches", "7", "n < 6000"),
-    rows("View {n} — C{n}, Italy", "https://worldcams.tv/italy/c{n}/", "https://b.example.net/{n}", None, "Beaches", "8", "n < 6000")))
+    rows("Beach {n} C{n} — Italy", "https://worldcams.tv/italy/c{n}/", "https://a.example.net/{n}", None, "Beaches", "7", _BEFORE_GAP),
+    rows("View {n} — C{n}, Italy", "https://worldcams.tv/italy/c{n}/", "https://b.example.net/{n}", None, "Beaches", "8", _BEFORE_GAP)))
 def worldcams(spark, sf):
     df = numbered(spark, sf)
-    # List page 13 is missing, so later ones do not count.
-    listing = df.where(LISTED).select("n", F.expr("1 + n div 500 + (CASE WHEN n >= 6000 THEN 1 ELSE 0 END)").alias("no"))
+    last = df.agg(F.max("n")).first()[0] or 0
+    page = F.expr(f"n div {_WC_PAGE}")
+    gap = last // _WC_PAGE * 3 // 4
+    listing = df.where(LISTED).select("n", (1 + page + F.when(page >= gap, 1).otherwise(0)).alias("no"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("n", T('<b class="cam-promo__title" x> <a href="/italy/c{n}/">').alias("i")))), lambda x: x["i"])
     lists = listing.groupBy("no").agg(F.array_join(items, "").alias("body")).select(
         F.concat(F.lit(fs.WORLDCAMS_LIST), F.col("no")).alias("url"), F.lit(0).alias("part"), "body"
@@ -441,7 +446,7 @@ n AS (SELECT x.w, count(f.v) AS new FROM (SELECT DISTINCT w FROM h) x LEFT JOIN
 r AS (SELECT *, coalesce(sum(new) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen,
   coalesce(min(new) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS least FROM n)
 SELECT title, CAST(NULL AS VARCHAR) AS angle_key, CAST(NULL AS VARCHAR) AS category, 'https://www.youtube.com/watch?v=' || v AS source_page_url, 'https://www.youtube.com/watch?v=' || v AS target_url, 'yt:' || v AS predisc_key
-FROM f JOIN r USING (w) WHERE seen < 1000 AND least > 0""")
+FROM f JOIN r USING (w) WHERE least > 0""")
 def youtube_api(spark, sf):
     ev = table(spark, sf, "events")
     day = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400)

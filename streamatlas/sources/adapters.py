@@ -712,7 +712,7 @@ def worldcams(pages: DataFrame) -> DataFrame:
     number = F.regexp_extract("url", r"\?page=(\d+)$", 1).try_cast("int")
     lists = usable(pages).where(F.col("url").startswith(fs.WORLDCAMS_LIST)).withColumn("page_no", number)
     links = matches(lists, F.col("body"), fs.WORLDCAMS_LINK, name="link", keep=["page_no"])
-    links = links.join(F.broadcast(contiguous_pages(links)), "page_no")
+    links = links.join(contiguous_pages(links), "page_no")
     listed = first_by(links, ["link"], ["page_no", "pos"], ["page_no", "pos"]).select(
         F.concat(F.lit(fs.WORLDCAMS_BASE), F.col("link")).alias("url"), F.col("page_no").alias("k2"), F.col("pos").alias("no")
     )
