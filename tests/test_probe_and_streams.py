@@ -23,7 +23,7 @@ def test_page_plan_stops_at_the_ceiling(spark):
     df = spark.createDataFrame([(0, 100), (1, 25), (2, 51), (3, 10_000)], "ord long, total long")
     got = [(r.ord, r.offset) for r in probe.page_plan(df, ceiling=10).orderBy("ord", "offset").collect()]
     assert got == [(0, 25), (0, 50), (0, 75), (2, 25), (2, 50), (3, 25)]
-    assert len(probe.page_plan(df, ceiling=7000).where("ord = 3").collect()) == 179
+    assert len(probe.page_plan(df, ceiling=7000, circle_cap=4500).where("ord = 3").collect()) == 179
 
 
 def test_probe_batch_rotates(spark):
@@ -31,12 +31,12 @@ def test_probe_batch_rotates(spark):
     live = spark.createDataFrame([(2,), (5,)], "id long")
     rest, cursor, seen = [i for i in range(10) if i not in (2, 5)], 0, []
     for _ in range(3):
-        batch, cursor = probe.probe_batch(corpus, live, cursor, budget=5)
+        batch, cursor, _ = probe.probe_batch(corpus, live, cursor, budget=5)
         rows = batch.collect()
         assert {r.id for r in rows if r.kind == "live"} == {2, 5}
         seen += [r.id for r in sorted((r for r in rows if r.kind == "rotation"), key=lambda r: r.seq)]
     assert seen == (rest + rest)[:9] and cursor == 1
-    full, nxt = probe.probe_batch(corpus, live, 3, budget=100)
+    full, nxt, _ = probe.probe_batch(corpus, live, 3, budget=100)
     assert full.count() == 10 and nxt == 3
 
 
