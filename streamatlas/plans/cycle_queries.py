@@ -14,8 +14,8 @@ from ..operators.rotation import Rotation
 from ..session import ensure_checkpoint_dir
 from ..sources import adapters, isolation
 from . import build
-from .registry import query, table
-from .site_queries import LISTED, OUT, T, index, numbered, pages_of, rows, union, windy_pages
+from .registry import ORACLES, query, table
+from .site_queries import LISTED, OUT, SITE_PAGES, T, index, numbered, pages_of, rows, run, union, windy_pages
 
 _NUMBER = re.compile(r"cam=(\w+)")
 _SOURCES = ("cxtvlive", "explore", "resortcams", "ozolio")
@@ -167,3 +167,20 @@ def crawl_log(spark, sf):
     log.land(1, first)
     log.land(2, again.unionByName(late))
     return log.last_fetches().select("url", "outcome", F.col("seq").cast("int").alias("seq"), F.sha2("body", 256).alias("body"))
+
+
+_FETCHED_TWICE = {"beachcam": "source_beachcam_e9", "feratel": "source_feratel_e7", "livefromiceland": "source_livefromiceland", "ozolio": "source_ozolio", "viewsurf": "source_viewsurf"}
+
+
+@query("fetched_twice_s1", " UNION ALL ".join(f"SELECT '{name}' AS site, * FROM ({ORACLES[own]})" for name, own in _FETCHED_TWICE.items()))
+def fetched_twice(spark, sf):
+    """Five sources over pages that were all fetched twice, the second time as they are now. Through the crawl log each gives the rows of one fetch."""
+    log = CrawlLog(spark, f"{ensure_checkpoint_dir(spark)}/twice-{uuid.uuid4().hex}", buckets=8)
+    now = union(*[SITE_PAGES[name](spark, sf).withColumn("source", F.lit(name)) for name in _FETCHED_TWICE])
+    fetch = lambda n, body: now.withColumn("body", body).withColumns(
+        {"fetched_at": F.timestamp_seconds(F.lit(1_000_000 * n)), "seq": F.lit(n), "outcome": F.lit("ok")}
+    )
+    log.land(1, fetch(1, F.concat(F.col("body"), F.lit("\n<p>of yesterday</p>"))).unionByName(fetch(2, F.col("body"))))
+    documents = log.documents_of()
+    found = [run(name, documents.where(F.col("source") == name).drop("source")).withColumn("site", F.lit(name)) for name in _FETCHED_TWICE]
+    return union(*found)

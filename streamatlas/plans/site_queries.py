@@ -68,6 +68,20 @@ def run(name: str, pages: DataFrame) -> DataFrame:
     return adapters.ADAPTERS[name](pages).select(*OUT)
 
 
+SITE_PAGES = {}
+
+
+def site(name: str, query_name: str, sql: str):
+    """Registers a source over the pages that a function makes; other queries may send the same pages another way."""
+
+    def register(fn):
+        SITE_PAGES[name] = fn
+        query(query_name, sql)(lambda spark, sf: run(name, fn(spark, sf)))
+        return fn
+
+    return register
+
+
 LISTED = "n % 9 <> 8"
 _P = "WITH p AS (SELECT page_id AS n FROM pages), l AS (SELECT n FROM p WHERE n % 9 <> 8) "
 
@@ -105,7 +119,7 @@ def airportwebcams(spark, sf):
     return run("airportwebcams", union(links, pages_of(df, T("https://airportwebcams.net/a-{n}/"), F.concat(T('<a rel="bookmark" x>Field {n} Airport Webcams </a>'), mark))))
 
 
-@query("source_beachcam_e9", both(
+@site("beachcam", "source_beachcam_e9", both(
     *[rows("Praia {n} — Zona {n % 3}, Portugal", "https://beachcam.meo.pt/livecams/p{n}/", f"https://v.example.net/{{n}}/{x}.m3u8?wmsAuthSign=abcdefghij0123456789%2B%2F==",
            f"hls:https://v.example.net/{{n}}/{x}.m3u8", "Beaches", a, w) for x, a, w in (("a", None, "n % 4 > 0"), ("a", "0", "n % 4 = 0"), ("b", "1", "n % 4 = 0"))]))
 def beachcam(spark, sf):
@@ -113,7 +127,7 @@ def beachcam(spark, sf):
     links = index(df.where(LISTED), fs.BEACH_INDEX, T('<a href="https://beachcam.meo.pt/livecams/p{n}/">'))
     more = F.when(F.expr("n % 4 = 0"), T('<div data-video-url="https://v.example.net/{n}/b.m3u8">')).otherwise("")
     mark = F.concat(T('<b class="liveCamsHeader__label">LIVECAMS / Zona {n % 3}</b><b class="liveCamsHeader__title">Praia {n}</b><div data-video-url="https://v.example.net/{n}/a.m3u8">'), more)
-    return run("beachcam", union(links, one(spark, fs.BEACH_TOKEN_API, "abcdefghij0123456789+/==\n"), pages_of(df, T("https://beachcam.meo.pt/livecams/p{n}/"), mark)))
+    return union(links, one(spark, fs.BEACH_TOKEN_API, "abcdefghij0123456789+/==\n"), pages_of(df, T("https://beachcam.meo.pt/livecams/p{n}/"), mark))
 
 
 _CS = "https://www.camscape.com/webcam/c{n}/"
@@ -211,12 +225,12 @@ def explore(spark, sf):
 _FE = "https://www.feratel.com/en/webcams/land-{n % 5}/area-{n % 7}/cam-{n}"
 
 
-@query("source_feratel_e7", both(rows("Lift & Lake {n} — Area {n % 7}, Land {n % 5}", _FE, "https://webtv.feratel.com/webtv/?cam={n}", "feratel:{n}", "Travel & Events", where="n % 3 > 0")))
+@site("feratel", "source_feratel_e7", both(rows("Lift & Lake {n} — Area {n % 7}, Land {n % 5}", _FE, "https://webtv.feratel.com/webtv/?cam={n}", "feratel:{n}", "Travel & Events", where="n % 3 > 0")))
 def feratel(spark, sf):
     df = numbered(spark, sf)
     sm = index(df.where(LISTED), fs.FERATEL_SITEMAP, T(f"<loc>{_FE}</loc>"), "<loc>https://www.feratel.com/en/webcams/land-1</loc>")
     frame = F.when(F.expr("n % 3 > 0"), T('<iframe src="https://w/?cam=1"><iframe x data-src="https://w/?pg=1&cam={n}&d=2">')).otherwise('<iframe src="https://w/?cam=1">')
-    return run("feratel", union(sm, pages_of(df, T(_FE), F.concat(T("<title>Webcams in Lift &amp; Lake {n} - Livecams from x</title>"), frame))))
+    return union(sm, pages_of(df, T(_FE), F.concat(T("<title>Webcams in Lift &amp; Lake {n} - Livecams from x</title>"), frame)))
 
 
 _HD = "https://hdontap.com/stream/{n}/a-{n}/"
@@ -235,7 +249,7 @@ def hdontap(spark, sf):
 _IP = "https://g0.ipcamlive.com/player/player.php?alias="
 
 
-@query("source_livefromiceland", both(
+@site("livefromiceland", "source_livefromiceland", both(
     rows("Foss {n} — Iceland", "https://livefromiceland.is/webcam/f{n}/", _IP + "a{n}", None, where="n % 4 > 0"),
     rows("Foss {n} — Iceland", "https://livefromiceland.is/webcam/f{n}/", _IP + "a{n}", None, None, "0", "n % 4 = 0"),
     rows("Foss {n} — Iceland", "https://livefromiceland.is/webcam/f{n}/", _IP + "b{n}", None, None, "1", "n % 4 = 0")))
@@ -245,7 +259,7 @@ def livefromiceland(spark, sf):
     ix = index(df.where(LISTED), fs.ICELAND_INDEX, item, "[", ', {"link": "https://livefromiceland.is/about/"}]', ",")
     second = F.when(F.expr("n % 4 = 0"), T('data-litespeed-src="' + _IP + 'b{n}"')).otherwise("")
     mark = F.concat(T("<title>Foss {n} – Live From Iceland</title>" + f'<iframe src="about:blank" data-litespeed-src="{_IP}a{{n}}"> again {_IP}a{{n}} '), second)
-    return run("livefromiceland", union(ix, pages_of(df, T("https://livefromiceland.is/webcam/f{n}/"), mark)))
+    return union(ix, pages_of(df, T("https://livefromiceland.is/webcam/f{n}/"), mark))
 
 
 _L8 = "{lpad('' || n, 8, 'a')}"
@@ -263,12 +277,12 @@ def livespotting(spark, sf):
     return run("livespotting", union(de, ch, pages_of(df, T("https://player.livespotting.com/v2/livesource/" + _L8 + "?type=hub"), doc, False)))
 
 
-@query("source_ozolio", both(rows("Keauhou Bay {n}, Hawaii", "https://www.ozolio.com/explore/ABC{n}", "https://www.ozolio.com/explore/ABC{n}", None, where="n % 5 > 0")))
+@site("ozolio", "source_ozolio", both(rows("Keauhou Bay {n}, Hawaii", "https://www.ozolio.com/explore/ABC{n}", "https://www.ozolio.com/explore/ABC{n}", None, where="n % 5 > 0")))
 def ozolio(spark, sf):
     df = numbered(spark, sf)
     sm = index(df.where(LISTED), fs.OZOLIO_SITEMAP, T("<loc> https://www.ozolio.com/explore/ABC{n} </loc>"), "<loc>https://www.ozolio.com/about</loc>")
     title = F.when(F.expr("n % 5 = 0"), "<title>Ozolio</title>").otherwise(T("<title>Keauhou Bay {n}, Hawaii - Webcam - Ozolio</title>"))
-    return run("ozolio", union(sm, pages_of(df, T("https://www.ozolio.com/explore/ABC{n}"), title)))
+    return union(sm, pages_of(df, T("https://www.ozolio.com/explore/ABC{n}"), title))
 
 
 @query("source_resortcams", both(rows("Slope {n}", "https://www.resortcams.com/webcams/s{n}/", "https://stream.example.net/live/{n}.stream/playlist.m3u8",
@@ -342,7 +356,7 @@ def tomarigi(spark, sf):
 _VS = "https://www.viewsurf.com/univers/{CASE WHEN n % 3 = 0 THEN 'plage' ELSE 'autre' END}/vue/{n}-france-paca-v"
 
 
-@query("source_viewsurf", both(
+@site("viewsurf", "source_viewsurf", both(
     rows("Nice Cam {n} — France", _VS, "https://platforms5.joada.net/embeded/embeded.html?uuid=ab-{n}&type=live", None, "{CASE WHEN n % 3 = 0 THEN 'Beaches' ELSE 'autre' END}", where="n % 4 > 0")))
 def viewsurf(spark, sf):
     df = numbered(spark, sf)
@@ -351,7 +365,7 @@ def viewsurf(spark, sf):
     frame = F.when(F.expr("n % 4 > 0"), T('<iframe src="https://platforms8.joada.net/embeded/embeded.html?uuid=ab-{n}&amp;type=live&t=1">')).otherwise("")
     mark = F.concat(T("<h1>Nice <small>Cam {n}</small></h1>"), frame)
     other = pages_of(df.where("n % 3 = 0"), T("https://www.viewsurf.com/univers/autre/vue/{n}-france-paca-v"), mark)
-    return run("viewsurf", union(sm, pages_of(df, T(_VS), mark), other))
+    return union(sm, pages_of(df, T(_VS), mark), other)
 
 
 @query("source_webcamerapl_c9_p26_u2", both(
