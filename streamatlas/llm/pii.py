@@ -8,6 +8,9 @@ information that the term gives about the value, divided by what the value itsel
 with numbers of documents: to those that hold the term one more is added, in which the value is as likely as anywhere, so that one document proves less than many. Terms
 from the threshold on are generalised like the value, wherever they stand in its documents. Documents without personal data are never touched.
 
+Values and terms of a row are only paired where two rows are needed to decide: a value of one document is decided by the number of documents of the term, and
+values that stand in the same rows are paired as one, so a list of many addresses stays linear, copied or not.
+
 Defined results: a null text is empty and has no spans; each row is a document of its own, repeated or not; a null id stays null; other columns are ignored; an empty
 table gives no rows. Of overlapping spans of different kinds all are reported; in sanitised texts they are replaced as one.
 """
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.keyed import attach_by_key
 from .frames import batches_of, id_and_text, materialise, text_buffers
@@ -168,22 +171,37 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataF
     found = materialise(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.xxhash64("text")).mapInArrow(_find, _FOUND), "base-spans")
     total = F.lit(float(max(2, found.count())))
     held = found.select("row", F.explode("values").alias("value"))
-    of_value = attach_by_key(held, held.groupBy("value").agg(F.count(F.lit(1)).alias("n_value")), ["value"], "n_value", F.col("row"))
-    values = materialise(of_value.groupBy("row").agg(F.collect_list(F.struct("value", "n_value")).alias("held"), F.max("n_value").alias("top")), "values")
+    # values of the same rows are one class: every term gives the same information about each of them
+    seeds = {"class_a": 1, "class_b": 2}
+    rows_of = [F.bit_xor(F.xxhash64(F.lit(seed), F.col("row"))).alias(name) for name, seed in seeds.items()]
+    of_value = attach_by_key(held, held.groupBy("value").agg(F.count(F.lit(1)).alias("n_value"), *rows_of), ["value"], "n_value", F.col("row"))
+    of_row = of_value.groupBy("row").agg(
+        F.collect_set(F.struct("n_value", *seeds)).alias("held"), F.min("n_value").alias("rarest"), F.max("n_value").alias("top")
+    )
+    values = materialise(of_row, "values")
     # a term can tell a value of n documents only up to so many documents of its own: all of the value's would have to hold it
     share = lambda n: F.col(n) / total
     most = lambda n: (F.col(n) + share(n)) * F.pow(share(n), F.lit(disclosure - 1)) - 1 + 1e-6
+
+    def measure(n_both: Column, n: str) -> Column:
+        return F.log2((n_both + share(n)) / (F.col("n_term") + 1) / share(n)) / F.greatest(-F.log2(share(n)), F.lit(1e-9))
+
     # the counts of all terms of the corpus are summed by task before they are shuffled
     counts = rows.select("text").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    own = found.where(F.size("values") > 0).select("row", F.explode("terms").alias("term")).join(values.select("row", "top"), "row")
-    rare = attach_by_key(own, counts, ["term"], "n_term", F.col("row")).where(F.col("n_term") <= most("top")).select("row", "term", "n_term")
-    beside = rare.join(values.select("row", "held"), "row").select("row", "term", "n_term", F.explode("held").alias("v")).select("row", "term", "n_term", "v.*")
+    own = found.where(F.size("values") > 0).select("row", F.explode("terms").alias("term")).join(values.select("row", "rarest", "top"), "row")
+    rare = attach_by_key(own, counts, ["term"], "n_term", F.col("row")).where(F.col("n_term") <= most("top"))
+    rare = materialise(rare.select("row", "term", "n_term", "rarest", "top"), "rare-terms")
+    # this row alone may prove enough for its rarest value; more rows that hold both would only add to it
+    alone = measure(F.lit(1), "rarest") >= disclosure
+    # what is left takes two rows that hold term and value, so values of one document are settled
+    open_ = rare.where(~alone & (F.col("top") > 1)).select("row", "term", "n_term").join(values.select("row", "held"), "row")
+    beside = open_.select("row", "term", "n_term", F.explode(F.filter("held", lambda v: v["n_value"] > 1)).alias("v")).select("row", "term", "n_term", "v.*")
     beside = materialise(beside.where(F.col("n_term") <= most("n_value")), "candidates")
-    both = beside.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_value").alias("n_value"), F.first("n_term").alias("n_term"))
-    measure = F.log2((F.col("n_both") + share("n_value")) / (F.col("n_term") + 1) / share("n_value")) / F.greatest(-F.log2(share("n_value")), F.lit(1e-9))
-    telling = both.where(measure >= disclosure).select("value", "term", "n_both")
-    told = attach_by_key(beside.select("row", "value", "term"), telling, ["value", "term"], "n_both", F.col("row"))
-    told = told.groupBy("row").agg(F.collect_set("term").alias("telling"))
+    pair = ["n_value", *seeds, "term"]
+    both = beside.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_both"), F.first("n_term").alias("n_term"))
+    telling = both.where(measure(F.col("n_both"), "n_value") >= disclosure).select(*pair, "n_both")
+    told = attach_by_key(beside.select("row", *pair), telling, pair, "n_both", F.col("row")).select("row", "term")
+    told = rare.where(alone).select("row", "term").unionByName(told).groupBy("row").agg(F.collect_set("term").alias("telling"))
     columns = ["doc_id", "row", "digest", "base_sha256", "spans", F.coalesce("text", F.lit("")).alias("text"), "telling"]
     return found.join(told, "row", "left").select(*columns).mapInArrow(_all_spans, f"doc_id long, row long, digest long, base_sha256 string, found {_SPANS}")
 

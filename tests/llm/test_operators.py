@@ -136,6 +136,22 @@ def test_terms_that_disclose(spark):
     assert all(texts[k] == t for k, t in rows if k < 100)
 
 
+def _assert_telling(texts, got, others=lambda t: set()):
+    """The terms found are those of counts in plain Python."""
+    holds = [{w.lower() for w in re.findall(r"[^\W_]+", t)} for t in texts]
+    values = [others(t) | {("email", e) for e in re.findall(r"\w+@example\.org", t)} for t in texts]
+    n_term, n_value = Counter(w for h in holds for w in h), Counter(v for x in values for v in x)
+    n_both = Counter((v, w) for x, h in zip(values, holds) for v in x for w in h)
+    for k, text in enumerate(texts):
+        want = set()
+        for v in values[k]:
+            p = n_value[v] / len(texts)
+            want |= {w for w in holds[k] if np.log2((n_both[v, w] + p) / (n_term[w] + 1) / p) >= 0.9 * -np.log2(p)}
+        base = [(s.start, s.end) for s in got[k] if s.kind < 4]
+        places = {m.span() for m in re.finditer(r"[^\W_]+", text) if m[0].lower() in want and not any(a < m.end() and m.start() < b for a, b in base)}
+        assert {(s.start, s.end) for s in got[k] if s.kind == 4} == places, k
+
+
 def test_terms_that_disclose_a_value_of_few_documents(spark):
     """Against counts in plain Python: values of one or two documents, terms far from them and short ones."""
     rng = random.Random(11)
@@ -148,22 +164,35 @@ def test_terms_that_disclose_a_value_of_few_documents(spark):
     texts[10] = f"Lee {write(9)} lee"
     texts[11] = texts[12] = f"zorblat {write(9)}"
     got = {r.doc_id: r.found for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    holds = [{w.lower() for w in re.findall(r"[^\W_]+", t)} for t in texts]
-    values = [{("phone", "442079460958")} & ({("phone", "442079460958")} if "+44" in t else set()) | {("email", e) for e in re.findall(r"\w+@example\.org", t)} for t in texts]
-    n_term, n_value = Counter(w for h in holds for w in h), Counter(v for x in values for v in x)
-    n_both = Counter((v, w) for x, h in zip(values, holds) for v in x for w in h)
-    for k, text in enumerate(texts):
-        want = set()
-        for v in values[k]:
-            p = n_value[v] / len(texts)
-            want |= {w for w in holds[k] if np.log2((n_both[v, w] + p) / (n_term[w] + 1) / p) >= 0.9 * -np.log2(p)}
-        base = [(s.start, s.end) for s in got[k] if s.kind < 4]
-        places = {m.span() for m in re.finditer(r"[^\W_]+", text) if m[0].lower() in want and not any(a < m.end() and m.start() < b for a, b in base)}
-        assert {(s.start, s.end) for s in got[k] if s.kind == 4} == places, k
+    _assert_telling(texts, got, lambda t: {("phone", "442079460958")} if "+44" in t else set())
     said = lambda k: {texts[k][s.start : s.end] for s in got[k] if s.kind == 4}
     assert {"Kim", "\u674e"} <= said(8) and said(9) == {"Kim"} and "Lee" not in said(7) | said(10)
 
 
+def test_address_lists_stay_linear(spark, monkeypatch):
+    """Values of one to six documents, lists of addresses, one of them copied: the terms are right, and pairs are only made where two rows must agree."""
+    rng = random.Random(5)
+    common, rare = [f"w{a}{b}" for a in "abcdefghij" for b in "klmno"], [f"z{k}" for k in range(60)]
+    write = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    texts = [write(12) for _ in range(2500)]
+    for k in range(20, 80):
+        texts[k] = f"{write(8)} {' '.join(rng.sample(rare, 3))} u{rng.randint(0, 15)}@example.org {write(4)} v{rng.randint(0, 40)}@example.org"
+    texts[0] = " ".join(f"name{k} one{k}@example.org" for k in range(400))
+    texts[1] = texts[2] = " ".join(f"other{k} two{k}@example.org" for k in range(250))
+    sizes, plain = {}, pii.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(pii, "materialise", counted)
+    found = pii.find_personal_data(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4))
+    got = {r.doc_id: r.found for r in found.collect()}
+    assert sizes["candidates"] <= sizes["rare-terms"] + 2000 < 8000
+    _assert_telling(texts, got)
+
+
 def test_passages(spark):
     rng = random.Random(2)
     write = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
