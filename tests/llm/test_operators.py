@@ -257,9 +257,33 @@ def test_toxicity(spark):
 
 def test_conversations(spark):
     log = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "bot", None), (3, 0, "user", "hi"), (3, 1, "bot", ""), (4, 0, "user", "hi"), (4, 1, "bot", None), (4, 1, "bot", None)]
-    log += [(None, 0, None, "alone"), (7, None, "user", "x")]
-    got = {r.conv_id: r.n_turns for r in chat.maximal_conversations(spark.createDataFrame(log, "conv_id long, turn int, role string, text string")).collect()}
-    assert got == {2: 2, 3: 2, None: 1, 7: 1}
+    log += [(None, 0, None, "alone"), (None, 5, None, "alone"), (None, 3, "user", "hi"), (None, 0, "user", "alone"), (7, None, "user", "x"), (None, 1, "user", "x")]
+    log = [(c, t, r, x, 1, "y", 2) for c, t, r, x in log]
+    columns = "conv_id long, turn int, role string, text string, pos int, h1 string, n_turns int"
+    found = [(r.conv_id, r.n_turns, r.rendered) for r in chat.maximal_conversations(spark.createDataFrame(log, columns)).collect()]
+    say = lambda *turns: "\n".join(f"<|{r}|>\n{x}\n<|end|>" for r, x in turns)
+    want = [
+        (2, 2, say(("user", "hi"), ("bot", ""))), (3, 2, say(("user", "hi"), ("bot", ""))), (7, 1, say(("user", "x"))),
+        (None, 1, say(("unknown", "alone"))), (None, 1, say(("user", "alone"))),
+    ]
+    assert Counter(found) == Counter(want)
+
+
+def test_conversations_against_brute_force(spark):
+    """Logs that grow turn by turn, among them one of 700 turns, and a table of rows without an id; then no rows at all."""
+    rng = random.Random(8)
+    logs = {}
+    for k in range(60):
+        whole = [(rng.choice("ab"), rng.choice(["x", "y", None])) for _ in range(700 if k == 0 else rng.randint(1, 6))]
+        for n in rng.sample(range(1, len(whole) + 1), min(3, len(whole))):
+            logs[len(logs)] = whole[:n]
+    rows = [(c, t, r, x) for c, turns in logs.items() for t, (r, x) in enumerate(turns)] + [(None, k, "ab"[k % 2], f"q{k % 3}") for k in range(400)]
+    columns = "conv_id long, turn int, role string, text string"
+    found = sorted((r.conv_id, r.n_turns) for r in chat.maximal_conversations(spark.createDataFrame(rows, columns)).collect() if r.conv_id is not None)
+    longest = [c for c, own in logs.items() if not any(o[: len(own)] == own and (len(o) > len(own) or d < c) for d, o in logs.items() if d != c)]
+    assert found == [(c, len(logs[c])) for c in longest]
+    assert chat.maximal_conversations(spark.createDataFrame(rows, columns)).where("conv_id is null").count() == 6
+    assert chat.maximal_conversations(spark.createDataFrame([], columns)).count() == 0
 
 
 def test_empty_tables(spark):
