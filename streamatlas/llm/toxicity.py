@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .frames import batches_of, id_and_text, text_buffers
@@ -140,7 +141,7 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _prepared(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     restorer = Restorer(model)
     for batch in batches_of(batches):
-        texts = [restorer.text(t).lower() for t in batch.column("text").to_pylist()]
+        texts = [restorer.text(t or "").lower() for t in batch.column("text").to_pylist()]
         yield (batch, *_features(texts))
 
 
@@ -213,12 +214,16 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> Scorer:
     return Scorer(weights, levels)
 
 
-def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row. `corpus`: documents to learn from, if not those that are scored."""
+def _fitted(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None) -> Broadcast:
+    """Character model and scorer, learnt from `corpus` (or the documents themselves); their size is bounded by the alphabet and the number of features."""
     corpus = docs if corpus is None else corpus
     model = character_model(corpus)
-    scorer = learn(corpus, labels, model)
-    held = docs.sparkSession.sparkContext.broadcast((model, scorer))  # bounded by the alphabet and the number of features
+    return docs.sparkSession.sparkContext.broadcast((model, learn(corpus, labels, model)))
+
+
+def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row. `corpus`: documents to learn from, if not those that are scored."""
+    held = _fitted(docs, labels, corpus)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scorer = held.value
@@ -228,3 +233,15 @@ def score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -
 
     scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that `score` doesn't predict to be toxic; each row is judged by itself in the pass that scores it, so no text is shuffled."""
+    held = _fitted(docs, labels, corpus)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, scorer = held.value
+        for batch, features, owner in _prepared(batches, model):
+            yield batch.filter(pa.array(scorer.levels[scorer.level(features, owner, batch.num_rows)] < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

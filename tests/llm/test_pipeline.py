@@ -33,7 +33,7 @@ def test_pipeline(spark, tmp_path):
     item = " ".join(write(40))
     texts |= {500: " ".join(write(30)) + " " + item + " " + " ".join(write(30)), 600: "write to ann.lee@example.org " + " ".join(write(30)), 601: None, 602: "", 603: " ".join(write(5000))}
     gone[2] = {500}
-    docs = spark.createDataFrame([(k, t, "en", "web", 0, 1) for k, t in texts.items()] + [(None, "a row without an id", None, None, None, None)], SCHEMA)
+    docs = spark.createDataFrame([(k, t, "en", "web", 0, 1) for k, t in texts.items()] + [(None, "a row without an id", None, None, None, None), (None, texts[5], None, None, None, None)], SCHEMA)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, int(k in toxic)) for k in range(300)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
