@@ -1,6 +1,7 @@
 """The corpus pipeline: STAGES are applied to the documents one after the other, each over what the one before it kept.
 
-A row with a null doc_id is never dropped, since it can't be told from others; rows that share an id are dropped together.
+Toxicity judges each row by itself. The two stages after it name what goes by id: there a row with a null doc_id is never dropped, since it can't be told
+from others, and rows that share an id are dropped together.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted to be toxic go."""
-    return _without(docs, toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
