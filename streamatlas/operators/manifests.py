@@ -10,6 +10,7 @@ from ..functions.regex import has, let, sub
 from .liveness import is_playable
 
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+_OTHER_ENDS = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 DISCONTINUITY = "#EXT-X-DISCONTINUITY"
 _INK = r"[^\s\x1c-\x1f]"
 MEDIA_SEQUENCE = "#EXT-X-MEDIA-SEQUENCE"
@@ -49,6 +50,23 @@ def segments(lines: DataFrame) -> DataFrame:
     )
 
 
+def parse_segments(manifests: DataFrame) -> DataFrame:
+    """What `segments` makes of `manifest_lines`, parsed inside each row: one regular expression cuts the playlist into segments (tags and the URL
+    behind them) and each is read by itself. A manifest is one document of limited size, so nothing is shuffled or sorted."""
+    body = F.regexp_replace(_clean_lines(F.col("text")), _HEADER, "")
+    found = manifests.select("manifest_id", F.posexplode(F.regexp_extract_all(body, F.lit(_SEGMENT), F.lit(0))).alias("seg_no", "_seg"))
+    # plain searches for what stands at the start of a line: a segment is short, and a regular expression per segment costs more than its parse
+    inf = F.locate("\n#EXTINF:", F.col("_lines"))
+    said = F.substr("_lines", inf + len("\n#EXTINF:"), F.length("_lines"))
+    seconds = F.when(inf > 0, F.substring_index(F.substring_index(said, "\n", 1), ",", 1).try_cast("double"))
+    breaks = F.regexp_count("_lines", F.lit(rf"(?dm)^{DISCONTINUITY}$"))
+    return found.withColumn("_lines", F.concat(F.lit("\n"), F.col("_seg"))).select(
+        "manifest_id", F.col("seg_no").cast("long").alias("seg_no"), F.substring_index("_seg", "\n", -1).alias("url"),
+        F.coalesce(seconds, F.lit(0.0)).alias("duration"),
+        F.when(F.contains("_lines", F.lit(f"\n{DISCONTINUITY}\n")), breaks).otherwise(0).cast("long").alias("discontinuities"),
+    )
+
+
 def mark_live_edge(
     segs: DataFrame, key: str, order: list[str], block: Column, window: float = fc.LIVE_WINDOW_SECONDS,
     min_keep: int = fc.MIN_KEEP, above: int = fc.TRIM_ABOVE,
@@ -79,7 +97,7 @@ def mark_live_edge(
 
 def _clean_lines(text: Column) -> Column:
     """The text with plain line ends and without blank lines."""
-    one_end = F.regexp_replace(text, _LINE_ENDS, "\n")
+    one_end = let(text, lambda t: F.when(t.rlike(_OTHER_ENDS), F.regexp_replace(t, _LINE_ENDS, "\n")).otherwise(t))
     return F.regexp_replace(one_end, r"(?dUm)^[\s\x1c-\x1f&&[^\n]]*(?:\n|\z)", "")
 
 

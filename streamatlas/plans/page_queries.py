@@ -401,7 +401,7 @@ s AS (SELECT doc_id, i, length(w) + 0.5 AS d, length(w) % 5 = 4 AS disc, 's' ||
 
 @query("manifest_lines_w1_c24", f"WITH {_WORDS} SELECT doc_id AS manifest_id, i AS seg_no, ref AS url, CAST(d AS DOUBLE) AS duration, CAST(disc AS BIGINT) AS discontinuities FROM s")
 def manifest_segments(spark, sf):
-    return manifests.segments(manifests.manifest_lines(text_manifests(spark, sf)))
+    return manifests.parse_segments(text_manifests(spark, sf))
 
 
 def _served(spark, sf):

@@ -137,3 +137,21 @@ def test_serving_view(spark):
     }
     proxied = manifests.serving_view(cat.where("id = 'g'"), res, texts, "http://b", proxy_video=True).first()
     assert proxied.status == 200 and proxied.body.endswith("https://r1.googlevideo.com/s.ts")
+
+
+def test_segments_parsed_in_the_row(spark):
+    """Against the parse over rows of lines: line ends of all kinds, blank lines, missing or broken durations, tags behind the last URL, lone headers, nothing."""
+    rng = random.Random(21)
+    pieces = [
+        "#EXTM3U", "#EXT-X-VERSION:3", "#EXT-X-MEDIA-SEQUENCE:9", "#EXTINF:4.5,", "#EXTINF:x,title", "#EXTINF:7", "#EXTINF: 2 ,a", manifests.DISCONTINUITY,
+        manifests.DISCONTINUITY + " ", "#EXT-X-DISCONTINUITY-SEQUENCE:1", "a.ts", " b.ts?x=#EXTINF:9", "", "  \t", "#", "\u00e9.m3u8",
+    ]
+    ends = ["\n", "\n", "\r\n", "\r", "\x0b", "\x85", "\u2028"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(ends) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    texts += [None, "", "\n", "#EXTM3U", "a.ts", "#EXTINF:3,\n" * 20_000 + "a.ts", "#EXTINF:1,\nb.ts\n" * 20_000]
+    df = spark.createDataFrame([*enumerate(texts)], "manifest_id long, text string")
+    names = ["manifest_id", "seg_no", "url", "duration", "discontinuities"]
+    one, other = manifests.parse_segments(df).select(names), manifests.segments(manifests.manifest_lines(df)).select(names)
+    assert one.dtypes == other.dtypes
+    assert sorted(one.collect()) == sorted(other.collect())
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
