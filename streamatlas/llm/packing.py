@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .frames import batches_of, id_and_text, materialise
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 CAPACITY = 2048
 END_ID = 0
@@ -28,8 +28,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 
 def _cut(path: str, end_id: int, capacity: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -37,13 +35,11 @@ def _cut(path: str, end_id: int, capacity: int):
         for batch in batches_of(batches):
             ids = batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
-            for doc, coded in zip(ids, encoder(path).encode(batch.column("text").to_pylist())):
-                coded += end
-                view = memoryview(coded)
-                for k, lo in enumerate(range(0, len(coded), 4 * capacity)):
-                    own = view[lo : lo + 4 * capacity]
-                    n = len(own) // 4
-                    rows.append((doc, k, k * capacity, n, zlib.crc32(own), part, int(seen[n])))
+            coded, offsets = with_end(*encoder(path).encode(batch.column("text")), end_id)
+            for doc, first, last in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist()):
+                for k, lo in enumerate(range(first, last, capacity)):
+                    n = min(capacity, last - lo)
+                    rows.append((doc, k, k * capacity, n, zlib.crc32(coded[lo : lo + n]), part, int(seen[n])))
                     seen[n] += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [c.split()[0] for c in PIECES.split(", ")])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .frames import batches_of, ensure_checkpoint_dir, id_and_text
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 END_ID = 2
 FILE_SCHEMA = "doc_id long, block int, pos long, ids array<int>"
@@ -28,16 +28,13 @@ BLOOM_FPP = 0.01
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block, pos = TaskContext.get().partitionId(), 0
         for batch in batches_of(batches):
-            coded = [b + end for b in encoder(path).encode(batch.column("text").to_pylist())]
-            offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in coded]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            coded, offsets = with_end(*encoder(path).encode(batch.column("text")), end_id)
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(coded.view("<i4")))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.full(n, block, np.int32)), pa.array(np.arange(pos, pos + n)), ids], ["doc_id", "block", "pos", "ids"]

@@ -38,7 +38,6 @@ def test_token_files(spark, docs, rows):
 
     path = tokenizer_file("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     folder, index = token_files.encode_to_files(docs, path)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in index.collect()}
     start = 0

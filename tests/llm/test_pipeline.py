@@ -50,7 +50,6 @@ def test_pipeline(spark, tmp_path):
     assert "ann.lee" not in now.where("doc_id = 600").first().text
 
     plain = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     found = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(found.doc_id.dropna()) == left and found.doc_id.isna().sum() == 1
     for d in left - {600}:
