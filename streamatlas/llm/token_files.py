@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .frames import batches_of, ensure_checkpoint_dir, id_and_text
+from .frames import batches_of, ensure_checkpoint_dir, id_and_text, materialise
 from .tokens import encoder, with_end
 
 END_ID = 2
@@ -85,7 +85,8 @@ def token_index(files: DataFrame) -> DataFrame:
 
     Starts are summed inside each file; only one total per file goes through the window over all of them.
     """
-    sizes = files.mapInArrow(_digest, "doc_id long, block int, pos long, n_tokens long, ids_crc32 long")
+    # the files are read once: the totals and the starts both use the few numbers of each row
+    sizes = materialise(files.mapInArrow(_digest, "doc_id long, block int, pos long, n_tokens long, ids_crc32 long"), "token-sizes")
     inside = W.partitionBy("block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     totals = sizes.groupBy("block").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("block", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
