@@ -30,6 +30,7 @@ Q = 8
 SHORTEST = 48
 WALKS, KEYS, BITS = 8, 10, 7  # walks, keys of each, places sampled for a key
 TABLE_BITS = 21
+WINDOWS = 4_000  # walked over at once
 STEP = 16  # windows of items are cut to a multiple of this length
 BLOCK_BYTES = 4 << 20  # of item texts at once on the driver and in tasks
 PAIRS = "doc_id long, item_id long, start long, end long, distance int"
@@ -39,6 +40,7 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[9:14] = 32
 _RNG = np.random.Generator(np.random.PCG64(8))
+_VALUES = np.arange(1, 257, dtype=np.uint64)
 _GRAM = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -71,7 +73,7 @@ def _slots(data: np.ndarray) -> np.ndarray:
 
 
 class _Walk:
-    """One random walk for windows of one length, and the keys sampled from its output."""
+    """One random walk for windows of one length, and the places of its output that keys are sampled from."""
 
     def __init__(self, seed: int, length: int) -> None:
         rng = np.random.Generator(np.random.PCG64(1000 * length + seed))
@@ -82,18 +84,28 @@ class _Walk:
         self.owner = rng.permutation(KEYS * BITS) // BITS
         self.factor = rng.integers(1, 2**62, KEYS * BITS, dtype=np.uint64) * U64(2) + U64(1)
 
-    def keys(self, windows: np.ndarray) -> np.ndarray:
-        """(KEYS, windows) for a matrix of windows by places, in which a last column of blanks stands for the end."""
-        m, width = windows.shape
-        flat, at, edge = windows.ravel(), np.arange(m, dtype=np.int64) * width, np.arange(1, m + 1, dtype=np.int64) * width - 1
-        out = np.zeros((KEYS, m), U64)
-        sampled = 0
-        for t in range(int(self.places[-1]) + 1):
-            char = flat[at]
-            while sampled < len(self.places) and t == self.places[sampled]:
-                out[self.owner[sampled]] += (char.astype(U64) + U64(1)) * self.factor[sampled]
-                sampled += 1
-            at = np.minimum(at + self.moves[t][char], edge)
+
+class _Walks:
+    """All walks for windows of one length, taken step by step side by side."""
+
+    def __init__(self, length: int) -> None:
+        walks = [_Walk(w, length) for w in range(WALKS)]
+        self.moves = np.concatenate([w.moves for w in walks], axis=1)
+        self.sampled: list[list[tuple[int, int, np.uint64]]] = [[] for _ in range(max(int(w.places[-1]) for w in walks) + 1)]
+        for k, walk in enumerate(walks):
+            for place, owner, factor in zip(walk.places, walk.owner, walk.factor):
+                self.sampled[place].append((k, int(owner), factor))
+
+    def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(WALKS, KEYS, windows) for the windows of `data` from each start on. A step moves on by one place at most, so no walk leaves its window."""
+        m = len(starts)
+        out = np.zeros((WALKS, KEYS, m), U64)
+        at, row = np.tile(starts.astype(np.int64), WALKS), np.repeat(np.arange(WALKS) * 256, m)
+        for t, sampled in enumerate(self.sampled):
+            char = data.take(at)
+            for k, owner, factor in sampled:
+                out[k, owner] += (_VALUES * factor).take(char[k * m : (k + 1) * m])
+            at += self.moves[t].astype(np.int64).take(row + char)
         return out
 
 
@@ -143,15 +155,12 @@ class _Items:
             for k in own:
                 self.own_grams[n][_slots(np.frombuffer(self.items[k][1], np.uint8))] = True
             self.grams |= self.own_grams[n]
-        self.walks = {n: [_Walk(w, n) for w in range(WALKS)] for n in self.by_length}
+        self.walks = {n: _Walks(n) for n in self.by_length}
         self.keys: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
         for n, own in self.by_length.items():
-            windows = np.full((len(own), n + 1), 32, np.uint8)
-            for row, k in enumerate(own):
-                windows[row, :n] = np.frombuffer(self.items[k][1], np.uint8, n)
+            windows = np.concatenate([np.frombuffer(self.items[k][1], np.uint8, n) for k in own])
             held = []
-            for walk in self.walks[n]:
-                keys = walk.keys(windows)
+            for keys in self.walks[n].keys(windows, np.arange(len(own)) * n):
                 orders = [np.argsort(k, kind="stable") for k in keys]
                 held.append([(k[o], np.array(own)[o]) for k, o in zip(keys, orders)])
             self.keys[n] = held
@@ -174,34 +183,49 @@ class _Items:
                 found.update((place, place - offset, k) for k, offset in owners[which])
         return sorted(found)
 
+    def _matches(self, n: int, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(window, items) where a key of a window equals one of the items'."""
+        for found, tables in zip(self.walks[n].keys(data, starts), self.keys[n]):
+            for keys, (table, items) in zip(found, tables):
+                a = np.searchsorted(table, keys)
+                for w in np.flatnonzero(table[np.minimum(a, len(table) - 1)] == keys):
+                    yield int(w), items[a[w] : np.searchsorted(table, keys[w], "right")]
+
     def candidates(self, data: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         """(start, item) for windows of which a key equals an item's; `ends`: for each byte the end of the text that it lies in."""
         found: set[tuple[int, int]] = set()
         slots = _slots(data)
         if not len(slots) or not self.walks:
             return found
-        is_hit = self.grams[slots]
-        places = np.flatnonzero(is_hit)
-        # Q-grams of items before each place; as many places more as the longest window may stand out
-        hits = np.concatenate(([0], np.cumsum(is_hit), np.full(max(self.walks), len(places)))).astype(np.int32)
-        for n, walks in self.walks.items():
+        places = np.flatnonzero(self.grams[slots])
+        held, hashes = slots[places], _hashes(data)
+        for n in self.walks:
             least, width = _least(n), n - Q + 1
+            # starts of windows with enough Q-grams of items of this length: from behind the one Q-gram up to the next, if the last that is needed is still inside
+            own = places[self.own_grams[n][held]]
+            if len(own) < least:
+                continue
+            first = own[: len(own) - least + 1]
+            low = np.maximum(np.concatenate(([0], first[:-1] + 1)), own[least - 1 :] - width + 1)
+            count = np.maximum(first - low + 1, 0)
+            inside = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
             # a passage at the end of its text lacks what was deleted; each deletion also takes Q Q-grams of the bound, so that stays as it is
-            inside = np.flatnonzero(hits[width : width + len(slots)] - hits[: len(slots)] >= least)
             inside = inside[inside + n - _most(n + STEP - 1) <= ends[inside]]
-            # the same with the Q-grams of items of this length alone, counted by their places
-            own = places[self.own_grams[n][slots[places]]]
-            inside = inside[np.searchsorted(own, inside + width) - np.searchsorted(own, inside) >= least]
-            for lo in range(0, len(inside), 20_000):
-                own = inside[lo : lo + 20_000]
-                windows = np.full((len(own), n + 1), 32, np.uint8)
-                at = own[:, None] + np.arange(n)
-                windows[:, :n] = np.where(at < ends[own][:, None], data[np.minimum(at, len(data) - 1)], 32)
-                for walk, tables in zip(walks, self.keys[n]):
-                    for keys, (table, items) in zip(walk.keys(windows), tables):
-                        a, b = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
-                        for w in np.flatnonzero(b > a):
-                            found.update((int(own[w]), int(k)) for k in items[a[w] : b[w]])
+            cut = inside + n > ends[inside]
+            whole = inside[~cut]
+            # equal windows are walked over once
+            _, first, same = np.unique(hashes.ranges(whole, whole + n), return_index=True, return_inverse=True)
+            order, bounds = np.argsort(same, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(same, minlength=len(first)))))
+            for lo in range(0, len(first), WINDOWS):
+                for w, own in self._matches(n, data, whole[first[lo : lo + WINDOWS]]):
+                    found.update((int(s), int(k)) for s in whole[order[bounds[lo + w] : bounds[lo + w + 1]]] for k in own)
+            # windows that the end of their text cuts are filled up with blanks
+            for lo in range(0, int(cut.sum()), WINDOWS):
+                starts = inside[cut][lo : lo + WINDOWS]
+                at = starts[:, None] + np.arange(n)
+                filled = np.where(at < ends[starts][:, None], data[np.minimum(at, len(data) - 1)], np.uint8(32)).ravel()
+                for w, own in self._matches(n, filled, np.arange(len(starts)) * n):
+                    found.update((int(starts[w]), int(k)) for k in own)
         return found
 
 
@@ -219,6 +243,7 @@ def _search(block: str, items: list[tuple[int, bytes]]):
             data = _PLAIN[raw]
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             texts = data.tobytes()
+            known: dict[tuple[int, bytes], tuple[int, int]] = {}  # distances of this slice: copies of a passage share theirs
 
             def note(doc: int, k: int, start: int, end: int, distance: int) -> None:
                 lo = int(offsets[doc])
@@ -232,7 +257,13 @@ def _search(block: str, items: list[tuple[int, bytes]]):
                 lo = max(int(offsets[doc]), start - most)
                 hi = min(int(offsets[doc + 1]), start + len(item) + most)
                 at = texts.find(item, lo, hi)
-                distance, end = (0, at + len(item) - lo) if at >= 0 else _distance(item, texts[lo:hi], most)
+                if at >= 0:
+                    distance, end = 0, at + len(item) - lo
+                else:
+                    stretch = texts[lo:hi]
+                    if (k, stretch) not in known:
+                        known[k, stretch] = _distance(item, stretch, most)
+                    distance, end = known[k, stretch]
                 if distance <= most:
                     note(doc, k, max(lo, lo + end - len(item)), lo + end, distance)
             ids = batch.column("doc_id").to_pylist()
