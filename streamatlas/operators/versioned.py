@@ -89,10 +89,10 @@ class VersionedTable:
         if rows is not None:
             folder = uuid.uuid4().hex
             placed = rows.select(*self.columns).withColumn("bucket", self.bucket_of())
-            # the writing tasks count the rows of their buckets as they write them
+            # A bucket grows with the table: rebalanced, a large one is written by several tasks and small ones share one. The tasks count the rows as they write them.
             counted = Observation()
             each = [F.count_if(F.col("bucket") == b).alias(f"b{b}") for b in range(self.buckets)]
-            placed.repartition(self.buckets, "bucket").observe(counted, *each).write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
+            placed.hint("rebalance", "bucket").observe(counted, *each).write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
             held |= {b: (folder, n) for b in range(self.buckets) if (n := counted.get[f"b{b}"])}
         made = Version(base.number + 1, step, held, {**base.values, **(values or {})})
         self._write_log(made)

@@ -103,3 +103,19 @@ def test_crawl_log(spark, tmp_path):
     assert told["s", "empty", 0] == ("ok", None) and len(told) == 44
     assert log.documents_of().count() == 41 and log.documents_of(version=1).where("url = 'u2'").count() == 1
     assert land(2, [("s", "u1", 0, 9, 9, "ok", "again")]) == two  # a landing that comes twice
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "65536")
+    try:
+        table = VersionedTable(spark, str(tmp_path / "wide"), "url string, n long, body string", "url", 2)
+        body = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)), 512) for k in range(16)])
+        rows = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("u"), "id").alias("url"), F.col("id").alias("n"), body.alias("body"))
+        made = table.upsert(1, rows, ["n"])
+    finally:
+        spark.conf.set(size, before)
+    assert made.rows == 4000 and table.read().select("url").distinct().count() == 4000
+    for bucket, (folder, _) in made.buckets.items():
+        assert len(list((tmp_path / "wide" / "data" / folder / f"bucket={bucket}").glob("part-*"))) > 1
