@@ -10,7 +10,8 @@ from ..functions.regex import has, let, sub
 from .liveness import is_playable
 
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-_OTHER_ENDS = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+_SHORT_ENDS = r"[\r\x0b\x0c\x1c\x1d\x1e\x85]"
+_LONG_ENDS = r"[\u2028\u2029]"
 DISCONTINUITY = "#EXT-X-DISCONTINUITY"
 _INK = r"[^\s\x1c-\x1f]"
 MEDIA_SEQUENCE = "#EXT-X-MEDIA-SEQUENCE"
@@ -95,10 +96,19 @@ def mark_live_edge(
     return df.withColumn("keep", keep).drop("_block", "_later_d", "_later_c")
 
 
+def _one_end(text: Column) -> Column:
+    """The text with plain line ends. A class with signs beyond one byte is slow to search, and only a text that holds longer signs can match it."""
+    other = lambda t: t.rlike(_SHORT_ENDS) | ((F.octet_length(t) > F.length(t)) & t.rlike(_LONG_ENDS))
+    return let(text, lambda t: F.when(other(t), F.regexp_replace(t, _LINE_ENDS, "\n")).otherwise(t))
+
+
+def _without_blank(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?dUm)^[\s\x1c-\x1f&&[^\n]]*(?:\n|\z)", "")
+
+
 def _clean_lines(text: Column) -> Column:
     """The text with plain line ends and without blank lines."""
-    one_end = let(text, lambda t: F.when(t.rlike(_OTHER_ENDS), F.regexp_replace(t, _LINE_ENDS, "\n")).otherwise(t))
-    return F.regexp_replace(one_end, r"(?dUm)^[\s\x1c-\x1f&&[^\n]]*(?:\n|\z)", "")
+    return _without_blank(_one_end(text))
 
 
 _HEADER = "^(?:(?:" + "|".join(fc.PLAYLIST_TAGS) + r")(?::[^\n]*)?(?:\n|\z))*+"
