@@ -200,7 +200,7 @@ def _is_reference(line: Column) -> Column:
 
 def _tidy(text: Column) -> Column:
     # A reference line loses the white space and the blank lines behind it.
-    return sub(text, r"^(?!#)(\S+)\s*$", "$1", multiline=True)
+    return sub(text, r"^(?!#)(\S++)\s+$", "$1", multiline=True)
 
 
 def reference_kind(absolute: Column, site: Column, up_site: Column, relay: Column) -> Column:
@@ -215,7 +215,8 @@ def reference_kind(absolute: Column, site: Column, up_site: Column, relay: Colum
 
 def _site_of(ref: Column, absolute: Column, up_site: Column) -> Column:
     # A reference without a host of its own stays on the upstream's site.
-    own_host = ref.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:|//)")
+    may_own = F.contains(ref, F.lit(":")) | ref.startswith("//")
+    own_host = may_own & ref.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:|//)")
     return F.when(own_host, urls.registrable_domain(urls.host(absolute))).otherwise(up_site)
 
 
@@ -231,9 +232,10 @@ def _with_upstream(manifests: DataFrame) -> DataFrame:
 
 def classify_references(manifests: DataFrame) -> DataFrame:
     """(entry_id, pos, ref, absolute_url, kind) of every reference line. manifests: (entry_id, upstream_url, text)."""
-    refs = _with_upstream(manifests).select(
-        "entry_id", "_base", "_site", "_relay", F.posexplode("_lines").alias("pos", "ref")
-    ).where(_is_reference(F.col("ref")))
+    # Tags are left out before the rest becomes rows: each row repeats what its manifest shares.
+    lines = F.transform("_lines", lambda line, i: F.struct(i.alias("pos"), line.alias("ref")))
+    lines = F.filter(lines, lambda x: ~x["ref"].startswith("#"))
+    refs = _with_upstream(manifests).select("entry_id", "_base", "_site", "_relay", F.inline(lines)).where(_is_reference(F.col("ref")))
     refs = refs.withColumn("absolute_url", urls.join_with(F.col("_base"), F.col("ref")))
     refs = refs.withColumn("_of", _site_of(F.col("ref"), F.col("absolute_url"), F.col("_site")))
     kind = reference_kind(F.col("absolute_url"), F.col("_of"), F.col("_site"), F.col("_relay"))
