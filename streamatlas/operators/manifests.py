@@ -121,31 +121,25 @@ def _trim(clean: Column) -> Column:
     body = F.substr(clean, F.length(head) + 1)
     parts = let(
         F.struct(head.alias("head"), body.alias("body")),
-        lambda p: F.struct(
-            p["head"].alias("head"),
-            F.regexp_extract_all(p["body"], F.lit(_SEGMENT), F.lit(1)).alias("tags"),
-            F.regexp_extract_all(p["body"], F.lit(_SEGMENT), F.lit(2)).alias("urls"),
-        ),
+        lambda p: F.struct(p["head"].alias("head"), F.regexp_extract_all(p["body"], F.lit(_SEGMENT), F.lit(0)).alias("segs")),
     )
 
-    def seconds(tags: Column) -> Column:
-        return F.coalesce(F.regexp_extract(tags, r"(?dm)^#EXTINF:([^,\n]*)", 1).try_cast("double"), F.lit(0.0))
+    def seconds(seg: Column) -> Column:
+        return F.coalesce(F.regexp_extract(seg, r"(?dm)^#EXTINF:([^,\n]*)", 1).try_cast("double"), F.lit(0.0))
 
     def kept(p: Column) -> Column:
         start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c"))
         more = lambda a: (a["s"] < fc.LIVE_WINDOW_SECONDS) | (a["c"] < fc.MIN_KEEP)
-        step = lambda a, d: F.when(more(a), F.struct((a["s"] + d).alias("s"), (a["c"] + 1).alias("c"))).otherwise(a)
-        end = F.aggregate(F.reverse(F.transform(p["tags"], seconds)), start, step)
-        return F.when(F.size(p["urls"]) <= fc.TRIM_ABOVE, F.size(p["urls"])).otherwise(end["c"])
+        # durations are read only as far as the window goes back
+        step = lambda a, seg: F.when(more(a), F.struct((a["s"] + seconds(seg)).alias("s"), (a["c"] + 1).alias("c"))).otherwise(a)
+        end = F.aggregate(F.reverse(p["segs"]), start, step)
+        return F.when(F.size(p["segs"]) <= fc.TRIM_ABOVE, F.size(p["segs"])).otherwise(end["c"])
 
     def rebuild(p: Column) -> Column:
         return F.when(p["dropped"] > 0, F.concat(_fixed_header(p), _tail(p))).otherwise(F.lit(None).cast("string"))
 
     counted = let(
-        parts,
-        lambda p: F.struct(
-            p["head"].alias("head"), p["tags"].alias("tags"), p["urls"].alias("urls"), (F.size(p["urls"]) - kept(p)).alias("dropped")
-        ),
+        parts, lambda p: F.struct(p["head"].alias("head"), p["segs"].alias("segs"), (F.size(p["segs"]) - kept(p)).alias("dropped"))
     )
     return let(counted, lambda p: F.struct(p["dropped"].cast("long").alias("dropped"), rebuild(p).alias("text")))
 
@@ -157,8 +151,8 @@ def _header_number(head: Column, tag: str) -> Column:
 def _fixed_header(p: Column) -> Column:
     """Header with the sequence numbers moved on by what was dropped; a missing number is added."""
     gone = F.aggregate(
-        F.slice(p["tags"], F.lit(1), p["dropped"]), F.lit(0).cast("long"),
-        lambda n, t: n + F.regexp_count(t, F.lit(rf"(?dm)^{DISCONTINUITY}$")),
+        F.slice(p["segs"], F.lit(1), p["dropped"]), F.lit(0).cast("long"),
+        lambda n, seg: n + F.when(F.contains(seg, F.lit(DISCONTINUITY)), F.regexp_count(seg, F.lit(rf"(?dm)^{DISCONTINUITY}$"))).otherwise(0),
     )
 
     def fix(head: Column, tag: str, value: Column, needed: Column) -> Column:
@@ -174,9 +168,8 @@ def _fixed_header(p: Column) -> Column:
 
 
 def _tail(p: Column) -> Column:
-    rest = F.size(p["urls"]) - p["dropped"]
-    zipped = F.arrays_zip(F.slice(p["tags"], p["dropped"] + 1, rest).alias("t"), F.slice(p["urls"], p["dropped"] + 1, rest).alias("u"))
-    return F.concat(F.array_join(F.transform(zipped, lambda z: F.concat(z["t"], z["u"])), "\n"), F.lit("\n"))
+    rest = F.size(p["segs"]) - p["dropped"]
+    return F.concat(F.array_join(F.slice(p["segs"], p["dropped"] + 1, rest), "\n"), F.lit("\n"))
 
 
 def trim_to_live_edge(manifests: DataFrame) -> DataFrame:
@@ -186,10 +179,13 @@ def trim_to_live_edge(manifests: DataFrame) -> DataFrame:
     playlists are recognised by a count of line starts and are not parsed.
     """
     text = F.col("text")
-    # Line starts that are no tag; an upper bound of the number of segments.
-    lines = F.regexp_count(text, F.lit(r"(?:^|\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])(?!#)"))
-    parse = F.coalesce((lines > fc.TRIM_ABOVE) & ~F.contains(text, F.lit("#EXT-X-STREAM-INF")), F.lit(False))
-    cut = F.when(parse, let(_clean_lines(text), _trim))
+
+    def parse(t: Column) -> Column:
+        # Line starts that are no tag, and one more for the first line; an upper bound of the number of segments.
+        lines = F.regexp_count(t, F.lit(r"\n(?!#)")) + 1
+        return F.coalesce((lines > fc.TRIM_ABOVE) & ~t.rlike("#EXT-X-STREAM-INF"), F.lit(False))
+
+    cut = let(_one_end(text), lambda t: F.when(parse(t), let(_without_blank(t), _trim)))
     df = manifests.select("manifest_id", "text", cut.alias("_cut"))
     return df.select("manifest_id", F.coalesce(F.col("_cut.text"), text).alias("text"), F.coalesce(F.col("_cut.dropped"), F.lit(0)).cast("long").alias("dropped"))
 

@@ -155,3 +155,41 @@ def test_segments_parsed_in_the_row(spark):
     assert one.dtypes == other.dtypes
     assert sorted(one.collect()) == sorted(other.collect())
     assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_work_that_grew_with_every_line_is_gone(spark):
+    """Durations are read where the window needs them, and tags are no rows of the reference table."""
+    text = "#EXTM3U\r\n#EXT-X-MEDIA-SEQUENCE:7\n" + "".join(f"#EXTINF:{k % 7}.5, {'' if k % 9 else manifests.DISCONTINUITY + chr(10)}s{k}.ts\x0b\n" for k in range(260))
+    df = spark.createDataFrame([(1, text), (2, None), (3, text.replace(" ", "\n")), (4, text.replace(" ", "\x85"))], "manifest_id long, text string")
+    cut = {r["manifest_id"]: (r["text"], r["dropped"]) for r in manifests.trim_to_live_edge(df).collect()}
+    assert cut[2] == (None, 0) and cut[1] == cut[3] == cut[4] and cut[1][1] > 200
+    tail = [k for k in range(260) if f"\ns{k}.ts\n" in cut[1][0]]
+    assert tail == list(range(cut[1][1], 260)) and sum(k % 7 + 0.5 for k in tail[1:]) < 120 <= sum(k % 7 + 0.5 for k in tail)
+    assert f"#EXT-X-MEDIA-SEQUENCE:{7 + cut[1][1]}\n#EXT-X-DISCONTINUITY-SEQUENCE:{sum(k % 9 == 0 for k in range(cut[1][1]))}\n" in cut[1][0]
+    assert "reverse(transform(" not in _plan(manifests.trim_to_live_edge(df))
+    served = df.selectExpr("manifest_id as entry_id", "'https://a.example.net/live/i.m3u8' as upstream_url", "text")
+    plan = _plan(manifests.classify_references(served))
+    assert "posexplode" not in plan and "inline(filter(" in plan
+
+
+def test_references_lose_white_space_behind_them(spark):
+    rows = [(1, "https://a.example.net/live/i.m3u8", "#EXTM3U\na.ts  \n\n\n#X\nb.ts\n \t\nc d\n//o.example.org/x.ts\nhttps://p.example.net/y.m3u8\nk:z\n e.ts\nf.ts")]
+    found = manifests.classify_references(spark.createDataFrame(rows, "entry_id long, upstream_url string, text string")).orderBy("pos").collect()
+    assert [(r["pos"], r["ref"], r["kind"]) for r in found] == [
+        (1, "a.ts", "direct"), (3, "b.ts", "direct"), (5, "//o.example.org/x.ts", "offsite"), (6, "https://p.example.net/y.m3u8", "child"), (7, "k:z", "offsite"),
+        (8, "\xa0e.ts", "direct"), (9, "f.ts", "direct"),
+    ]
+
+
+def test_words_of_documents_are_cut_over_the_whole_text(spark, tmp_path):
+    from streamatlas.plans.page_queries import text_manifests
+
+    spark.createDataFrame([(1, " one -- two,three\r\n\tf\u00fcnf\u2028x !"), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = text_manifests(spark, str(tmp_path))
+    got = {r["manifest_id"]: r["url"] for r in manifests.parse_segments(df).groupBy("manifest_id").agg(F.concat_ws(" ", F.collect_list("url")).alias("url")).collect()}
+    assert got == {1: "s.m3u8?k=1 sone.ts s.m3u8?k=1 stwothree.ts sfnfx.ts s.m3u8?k=1", 3: "s.m3u8?k=1"}
+    assert "lambdafunction(regexp_replace" not in _plan(df)
