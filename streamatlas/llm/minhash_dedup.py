@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .frames import batches_of, id_and_text, materialise, text_buffers
+from .frames import SMALL_SLICE_BYTES, batches_of, id_and_text, materialise, text_buffers
 from .hashing import BYTE_VALUE, Prefix, mix, word_spans
 
 SHINGLE, HASHES, ROWS = 5, 128, 4
@@ -82,7 +82,7 @@ def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches_of(batches):
+    for batch in batches_of(batches, limit=SMALL_SLICE_BYTES):
         values, start, has, _ = _sets(batch.column("text"))
         low = _low(_minima(values, start, has, batch.num_rows, range(HASHES, HASHES + FINE)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), low], ["doc_id", "fine"])
@@ -90,7 +90,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bands = HASHES // ROWS
-    for batch in batches_of(batches):
+    for batch in batches_of(batches, limit=SMALL_SLICE_BYTES):
         n = batch.num_rows
         values, start, has, count = _sets(batch.column("text"))
         minima = _minima(values, start, has, n, range(HASHES))
@@ -158,7 +158,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts those whose whole sets are similar enough."""
-    for batch in batches_of(batches, "text_a"):
+    for batch in batches_of(batches, "text_a", SMALL_SLICE_BYTES):
         a, b = shingle_keys(batch.column("text_a")), shingle_keys(batch.column("text_b"))
         sizes = [np.bincount((k >> U64(64 - DOC_BITS)).astype(np.int64), minlength=batch.num_rows) for k in (a, b)]
         common = np.intersect1d(a, b, assume_unique=True)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import batches_of, id_and_text, text_buffers
+from .frames import SMALL_SLICE_BYTES, batches_of, id_and_text, text_buffers
 from .hashing import byte_prefix, word_spans
 
 FEATURE_BITS = 20
@@ -48,7 +48,7 @@ _CODE[192:256] = 46 + np.arange(64) % 18
 
 def _trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS**3, np.int64)
-    for batch in batches_of(batches):
+    for batch in batches_of(batches, limit=SMALL_SLICE_BYTES):
         data, _ = text_buffers(batch.column("text"))
         code = _CODE[data]
         if len(code) >= 3:
@@ -140,7 +140,7 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _prepared(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     restorer = Restorer(model)
-    for batch in batches_of(batches):
+    for batch in batches_of(batches, limit=SMALL_SLICE_BYTES):
         texts = [restorer.text(t or "").lower() for t in batch.column("text").to_pylist()]
         yield (batch, *_features(texts))
 
