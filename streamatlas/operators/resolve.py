@@ -125,11 +125,17 @@ def tool_result(output: Column, now: Column) -> tuple[Column, Column, Column]:
     return url, ttl, error
 
 
+def read_documents(bodies: DataFrame) -> DataFrame:
+    """`document_facts`, written once. Whoever resolves over the same documents several times reads them here and gives the result in place of the bodies."""
+    return materialise(document_facts(bodies), "facts")
+
+
 def resolve(targets: DataFrame, bodies: DataFrame, tool_output: DataFrame | None = None, now: int | Column = 0) -> DataFrame:
-    """(target_url, resolver, url, stream_type, ttl_seconds, error) for distinct targets (column target_url)."""
+    """(target_url, resolver, url, stream_type, ttl_seconds, error) for distinct targets (column target_url). bodies: documents, or what
+    `read_documents` made of them."""
     now_col = now if isinstance(now, Column) else F.lit(now).cast("long")
     # Bodies are read once; both hops join the short facts cut out of them.
-    facts = materialise(document_facts(bodies), "facts")
+    facts = bodies if "got" in bodies.columns else read_documents(bodies)
     t = F.col("target_url")
     df = targets.select("target_url").withColumn("resolver", route(t))
     name = F.col("resolver")

@@ -328,10 +328,11 @@ def error_detail(spark, sf):
 
 
 def landed_manifests(spark, sf):
-    """A manifest for two of three resolved URLs; some of them play, others are empty."""
-    from ..operators.resolve import resolve as run
+    """A manifest for two of three resolved URLs; some of them play, others are empty. The documents are read once, for these and for what follows."""
+    from ..operators.resolve import read_documents, resolve as run
 
     t, bodies, tool = resolution_inputs(spark, sf)
+    bodies = read_documents(bodies)
     resolved = keyed.materialise(run(t.select("target_url"), bodies, tool, _NOW).where(F.col("url").isNotNull()), "resolved")
     h = F.length("url") % 3
     text = F.when(h == 1, "#EXTM3U\n#EXT-X-ENDLIST\n").otherwise(

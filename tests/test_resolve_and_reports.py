@@ -99,3 +99,12 @@ def test_host_cap_keeps_the_totals(spark):
     outcomes = reports.fetch_outcomes(spark.createDataFrame(log, "source string, host string, outcome string"))
     capped = {r.host: r.n for r in reports.cap_hosts(outcomes, 4).collect()}
     assert capped == {"h29": 30, "h28": 29, "h27": 28, "h26": 27, "other": sum(range(1, 27))}
+
+
+def test_liveness_reads_the_documents_once(spark, monkeypatch):
+    from streamatlas.operators import resolve as module
+    from streamatlas.plans.all_queries import QUERIES
+
+    read, seen = module.document_facts, []
+    monkeypatch.setattr(module, "document_facts", lambda bodies: seen.append(1) or read(bodies))
+    assert QUERIES["liveness_p12_p9"](spark, "/root/testdata/sf0.001").count() > 0 and len(seen) == 1
