@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import batches_of, id_and_text, materialise, text_buffers
+from .frames import batches_of, id_and_text, kept_by_worker, materialise, text_buffers
 from .hashing import Prefix
 
 RATIO = 0.08  # edits per byte of an item
@@ -31,6 +31,8 @@ SHORTEST = 48
 WALKS, KEYS, BITS = 8, 10, 7  # walks, keys of each, places sampled for a key
 TABLE_BITS = 21
 WINDOWS = 4_000  # walked over at once
+KNOWN = 10_000  # distances that a task keeps
+SLICE_BYTES = 1_000_000  # half of what other operators take: some twelve 8-byte arrays per byte are held at once
 STEP = 16  # windows of items are cut to a multiple of this length
 BLOCK_BYTES = 4 << 20  # of item texts at once on the driver and in tasks
 PAIRS = "doc_id long, item_id long, start long, end long, distance int"
@@ -62,14 +64,9 @@ def _hashes(data: np.ndarray) -> Prefix:
     return Prefix(_GRAM[data], 2)
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """Hash of the Q bytes from each place on."""
-    return _hashes(data).windows(Q)
-
-
-def _slots(data: np.ndarray) -> np.ndarray:
+def _slots(hashes: Prefix) -> np.ndarray:
     """Place of each Q-gram in a table of Q-grams."""
-    return (_grams(data) >> U64(64 - TABLE_BITS)).astype(np.int32) if len(data) >= Q else np.zeros(0, np.int32)
+    return (hashes.windows(Q) >> U64(64 - TABLE_BITS)).astype(np.int32)
 
 
 class _Walk:
@@ -153,7 +150,7 @@ class _Items:
         self.own_grams = {n: np.zeros(1 << TABLE_BITS, bool) for n in self.by_length}
         for n, own in self.by_length.items():
             for k in own:
-                self.own_grams[n][_slots(np.frombuffer(self.items[k][1], np.uint8))] = True
+                self.own_grams[n][_slots(_hashes(np.frombuffer(self.items[k][1], np.uint8)))] = True
             self.grams |= self.own_grams[n]
         self.walks = {n: _Walks(n) for n in self.by_length}
         self.keys: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
@@ -168,10 +165,9 @@ class _Items:
     def most(self, k: int) -> int:
         return _most(len(self.items[k][1]))
 
-    def short(self, data: np.ndarray) -> list[tuple[int, int, int]]:
+    def short(self, hashes: Prefix) -> list[tuple[int, int, int]]:
         """(place, start, item) where a piece of a short item stands; the item's start, counted back from the piece, may lie before the text."""
         found: set[tuple[int, int, int]] = set()
-        hashes = _hashes(data) if self.pieces else None
         for n, (keys, owners) in self.pieces.items():
             own = hashes.windows(n)
             slot = np.zeros(1 << 16, bool)
@@ -191,14 +187,14 @@ class _Items:
                 for w in np.flatnonzero(table[np.minimum(a, len(table) - 1)] == keys):
                     yield int(w), items[a[w] : np.searchsorted(table, keys[w], "right")]
 
-    def candidates(self, data: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
+    def candidates(self, data: np.ndarray, hashes: Prefix, ends: np.ndarray) -> set[tuple[int, int]]:
         """(start, item) for windows of which a key equals an item's; `ends`: for each byte the end of the text that it lies in."""
         found: set[tuple[int, int]] = set()
-        slots = _slots(data)
+        slots = _slots(hashes)
         if not len(slots) or not self.walks:
             return found
         places = np.flatnonzero(self.grams[slots])
-        held, hashes = slots[places], _hashes(data)
+        held = slots[places]
         for n in self.walks:
             least, width = _least(n), n - Q + 1
             # starts of windows with enough Q-grams of items of this length: from behind the one Q-gram up to the next, if the last that is needed is still inside
@@ -229,7 +225,7 @@ class _Items:
         return found
 
 
-_HELD: dict[str, _Items] = {}
+_HELD: dict[str, _Items] = kept_by_worker({})
 
 
 def _search(block: str, items: list[tuple[int, bytes]]):
@@ -238,19 +234,22 @@ def _search(block: str, items: list[tuple[int, bytes]]):
             _HELD.clear()
             _HELD[block] = _Items(items)
         held = _HELD[block]
-        for batch in batches_of(batches):
+        known: dict[tuple[int, bytes], tuple[int, int]] = {}  # distances of this task: copies of a passage share theirs
+        for batch in batches_of(batches, limit=SLICE_BYTES, keep=_HELD):
             raw, offsets = text_buffers(batch.column("text"))
             data = _PLAIN[raw]
+            hashes = _hashes(data)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             texts = data.tobytes()
-            known: dict[tuple[int, bytes], tuple[int, int]] = {}  # distances of this slice: copies of a passage share theirs
+            if len(known) > KNOWN:
+                known = {}
 
             def note(doc: int, k: int, start: int, end: int, distance: int) -> None:
                 lo = int(offsets[doc])
                 best[doc, k] = min(best.get((doc, k), (1 << 30, 0, 0)), (distance, start - lo, end - lo))
 
-            windows = ((start, start, k) for start, k in sorted(held.candidates(data, np.repeat(offsets[1:], np.diff(offsets)))))
-            for place, start, k in chain(windows, held.short(data)):
+            windows = ((start, start, k) for start, k in sorted(held.candidates(data, hashes, np.repeat(offsets[1:], np.diff(offsets)))))
+            for place, start, k in chain(windows, held.short(hashes)):
                 doc, item, most = int(np.searchsorted(offsets, place, "right") - 1), held.items[k][1], held.most(k)
                 if best.get((doc, k), (1,))[0] == 0:
                     continue

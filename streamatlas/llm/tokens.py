@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .frames import text_buffers
+from .frames import kept_by_worker, text_buffers
 
 MEMO_PIECES, MEMO_LENGTH = 300_000, 48
 
@@ -123,11 +123,11 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndar
     return np.insert(ids, offsets[1:], np.uint32(end_id)), offsets + np.arange(len(offsets))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+ENCODERS: dict[str, Encoder] = kept_by_worker({})
 
 
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
