@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .frames import batches_of, id_and_text, materialise
-from .tokens import ENCODERS, encoder, with_end
+from .tokens import KEPT, encoder, with_end
 
 CAPACITY = 2048
 END_ID = 0
@@ -32,7 +32,7 @@ def _cut(path: str, end_id: int, capacity: int):
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches_of(batches, keep=ENCODERS):
+        for batch in batches_of(batches, keep=KEPT):
             ids = batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
             coded, offsets = with_end(*encoder(path).encode(batch.column("text")), end_id)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .frames import batches_of, ensure_checkpoint_dir, id_and_text, materialise
-from .tokens import ENCODERS, encoder, with_end
+from .tokens import KEPT, encoder, with_end
 
 END_ID = 2
 FILE_SCHEMA = "doc_id long, block int, pos long, ids array<int>"
@@ -32,7 +32,7 @@ def _encode(path: str, end_id: int):
         from pyspark import TaskContext
 
         block, pos = TaskContext.get().partitionId(), 0
-        for batch in batches_of(batches, keep=ENCODERS):
+        for batch in batches_of(batches, keep=KEPT):
             coded, offsets = with_end(*encoder(path).encode(batch.column("text")), end_id)
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(coded.view("<i4")))
             n = batch.num_rows

@@ -123,11 +123,21 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndar
     return np.insert(ids, offsets[1:], np.uint32(end_id)), offsets + np.arange(len(offsets))
 
 
-ENCODERS: dict[str, Encoder] = kept_by_worker({})
+_ENCODERS: dict[str, Encoder] = {}
+KEPT = "ids of pieces"
+
+
+def _forget() -> None:
+    """Lets go of the dictionaries; the tokenizers stay, since loading them again and again takes more memory."""
+    for held in _ENCODERS.values():
+        held.now, held.old = {}, {}
+
+
+kept_by_worker(KEPT, _forget)
 
 
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and file."""
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]

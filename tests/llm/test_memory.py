@@ -15,15 +15,29 @@ def _batch(texts: list[str]) -> pa.RecordBatch:
 
 
 def test_a_worker_lets_go_of_what_other_operators_kept():
-    tokens.encoder(tokenizer_file("word_bpe_49k.json"))
-    list(batches_of(iter([_batch(["a b"])]), keep=tokens.ENCODERS))
-    assert tokens.ENCODERS
-    item = "what is the capital of the country in which the longest river ends"
-    found = next(iter(decontaminate._search("block", [(7, item.encode())])(iter([_batch(["x " + item, "none"])]))))
-    assert found.to_pylist() == [{"doc_id": 0, "item_id": 7, "start": 2, "end": 2 + len(item), "distance": 0}]
-    assert not tokens.ENCODERS and decontaminate._HELD
-    list(batches_of(iter([])))
-    assert not decontaminate._HELD
+    own = tokens.encoder(tokenizer_file("word_bpe_49k.json"))
+    search = decontaminate._search("block", [(7, b"what is the capital of the country in which the longest river ends")])
+    own.encode(pa.array(["a few words"]))
+    list(search(iter([_batch(["none"])])))
+    assert not own.now and not own.old
+
+
+def test_packing_keeps_its_ids_from_task_to_task(spark):
+    """Functions are sent to workers with copies of the values they use, so a task names what it keeps."""
+    path = tokenizer_file("word_bpe_49k.json")
+
+    def run(batches):
+        own = tokens.encoder(path)
+        for batch in batches_of(batches, keep=tokens.KEPT):
+            own.encode(batch.column("text"))
+        list(batches_of(iter([]), keep=tokens.KEPT))
+        kept = len(own.now)
+        list(batches_of(iter([])))
+        yield pa.RecordBatch.from_arrays([pa.array([kept]), pa.array([len(own.now)])], ["kept", "left"])
+
+    docs = spark.createDataFrame([("some words and others",)], "text string").coalesce(1)
+    rows = docs.mapInArrow(run, "kept long, left long").collect()
+    assert [tuple(r) for r in rows] == [(4, 0)]
 
 
 def test_passages_are_searched_in_little_memory():
