@@ -31,6 +31,7 @@ SHORTEST = 48
 WALKS, KEYS, BITS = 8, 10, 7  # walks, keys of each, places sampled for a key
 TABLE_BITS = 21
 WINDOWS = 4_000  # walked over at once
+MEET = 16  # steps after which walks that have met are taken as one
 KNOWN = 10_000  # distances that a task keeps
 STEP = 16  # windows of items are cut to a multiple of this length
 BLOCK_BYTES = 4 << 20  # of item texts at once on the driver and in tasks
@@ -41,8 +42,8 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[9:14] = 32
 _RNG = np.random.Generator(np.random.PCG64(8))
-_VALUES = np.arange(1, 257, dtype=np.uint64)
 _GRAM = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_KEY_OFFSET = _RNG.integers(0, 2**63, WALKS * KEYS, dtype=np.uint64)
 
 
 def _most(length: int) -> int:
@@ -68,6 +69,11 @@ def _slots(hashes: Prefix) -> np.ndarray:
     return (hashes.windows(Q) >> U64(64 - TABLE_BITS)).astype(np.int32)
 
 
+def _ranges(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each low on, count of them, one after the other."""
+    return np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 class _Walk:
     """One random walk for windows of one length, and the places of its output that keys are sampled from."""
 
@@ -87,21 +93,40 @@ class _Walks:
     def __init__(self, length: int) -> None:
         walks = [_Walk(w, length) for w in range(WALKS)]
         self.moves = np.concatenate([w.moves for w in walks], axis=1)
-        self.sampled: list[list[tuple[int, int, np.uint64]]] = [[] for _ in range(max(int(w.places[-1]) for w in walks) + 1)]
+        self.factor = np.zeros((BITS, WALKS * KEYS), U64)
+        self.steps = max(int(w.places[-1]) for w in walks) + 1
+        rows: list[list[tuple[int, int, int]]] = [[] for _ in range(0, self.steps, MEET)]
         for k, walk in enumerate(walks):
-            for place, owner, factor in zip(walk.places, walk.owner, walk.factor):
-                self.sampled[place].append((k, int(owner), factor))
+            had = [0] * KEYS
+            for place, owner, factor in zip(walk.places.tolist(), walk.owner.tolist(), walk.factor):
+                row = had[owner] * WALKS * KEYS + k * KEYS + owner
+                had[owner] += 1
+                self.factor.flat[row] = factor
+                rows[place // MEET].append((row, place % MEET, k))
+        # of every MEET steps: which factor a sampled character has, the step, and the walk
+        self.sampled = [np.array(own, np.int64).reshape(-1, 3).T for own in rows]
+        # characters count from 1; each key has an offset of its own, so that all of them can stand in one table
+        self.offset = self.factor.sum(axis=0) + _KEY_OFFSET
 
     def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(WALKS, KEYS, windows) for the windows of `data` from each start on. A step moves on by one place at most, so no walk leaves its window."""
+        """(WALKS * KEYS, windows) for the windows of `data` from each of the ascending starts on. A step moves on by one place at most, so no walk leaves its
+        window and none overtakes another: those that meet go on together, and are taken as one from then on."""
         m = len(starts)
-        out = np.zeros((WALKS, KEYS, m), U64)
+        chars = np.empty((BITS * WALKS * KEYS, m), np.uint8)
         at, row = np.tile(starts.astype(np.int64), WALKS), np.repeat(np.arange(WALKS) * 256, m)
-        for t, sampled in enumerate(self.sampled):
-            char = data.take(at)
-            for k, owner, factor in sampled:
-                out[k, owner] += (_VALUES * factor).take(char[k * m : (k + 1) * m])
-            at += self.moves[t].astype(np.int64).take(row + char)
+        state = np.arange(WALKS * m).reshape(WALKS, m)  # where the walks of each window are among those still apart
+        for t, (rows, step, walk) in zip(range(0, self.steps, MEET), self.sampled):
+            seen = np.empty((MEET, len(at)), np.uint8)
+            for char, moves in zip(seen, self.moves[t : min(t + MEET, self.steps)]):
+                data.take(at, out=char, mode="clip")
+                at += moves.take(row + char)
+            chars[rows] = seen.ravel().take(state[walk] + step[:, None] * len(at))
+            apart = np.concatenate(([True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])))
+            at, row, state = at[apart], row[apart], (np.cumsum(apart) - 1).take(state)
+        chars = chars.reshape(BITS, WALKS * KEYS, m)
+        out = np.repeat(self.offset[:, None], m, axis=1)
+        for own, factor in zip(chars, self.factor):
+            out += own * factor[:, None]
         return out
 
 
@@ -152,14 +177,19 @@ class _Items:
                 self.own_grams[n][_slots(_hashes(np.frombuffer(self.items[k][1], np.uint8)))] = True
             self.grams |= self.own_grams[n]
         self.walks = {n: _Walks(n) for n in self.by_length}
-        self.keys: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
+        # by length the sorted keys, the items behind them, and a table over the leading bits of the keys
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n, own in self.by_length.items():
             windows = np.concatenate([np.frombuffer(self.items[k][1], np.uint8, n) for k in own])
-            held = []
-            for keys in self.walks[n].keys(windows, np.arange(len(own)) * n):
-                orders = [np.argsort(k, kind="stable") for k in keys]
-                held.append([(k[o], np.array(own)[o]) for k, o in zip(keys, orders)])
-            self.keys[n] = held
+            keys = self.walks[n].keys(windows, np.arange(len(own)) * n).ravel()
+            order = np.argsort(keys, kind="stable")
+            slot = np.zeros(1 << min(22, max(16, len(keys).bit_length() + 3)), bool)
+            slot[self._slot(keys, slot)] = True
+            self.keys[n] = keys[order], np.tile(own, WALKS * KEYS)[order], slot
+
+    @staticmethod
+    def _slot(keys: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        return (keys >> U64(65 - len(slot).bit_length())).view(np.int64)
 
     def most(self, k: int) -> int:
         return _most(len(self.items[k][1]))
@@ -178,20 +208,22 @@ class _Items:
                 found.update((place, place - offset, k) for k, offset in owners[which])
         return sorted(found)
 
-    def _matches(self, n: int, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(window, items) where a key of a window equals one of the items'."""
-        for found, tables in zip(self.walks[n].keys(data, starts), self.keys[n]):
-            for keys, (table, items) in zip(found, tables):
-                a = np.searchsorted(table, keys)
-                for w in np.flatnonzero(table[np.minimum(a, len(table) - 1)] == keys):
-                    yield int(w), items[a[w] : np.searchsorted(table, keys[w], "right")]
-
-    def candidates(self, data: np.ndarray, hashes: Prefix, ends: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) for windows of which a key equals an item's; `ends`: for each byte the end of the text that it lies in."""
-        found: set[tuple[int, int]] = set()
+    def _matches(self, n: int, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items of which a key is equal, each pair once."""
+        table, items, slot = self.keys[n]
+        keys = self.walks[n].keys(data, starts).ravel()
+        maybe = np.flatnonzero(slot[self._slot(keys, slot)])
+        low = np.searchsorted(table, keys[maybe])
+        count = np.searchsorted(table, keys[maybe], "right") - low
+        pairs = np.unique(np.repeat(maybe % len(starts), count) * len(self.items) + items[_ranges(low, count)])
+        return pairs // len(self.items), pairs % len(self.items)
+
+    def candidates(self, data: np.ndarray, hashes: Prefix, ends: np.ndarray) -> list[tuple[int, int]]:
+        """(start, item), ascending, for windows of which a key equals an item's; `ends`: for each byte the end of the text that it lies in."""
         slots = _slots(hashes)
         if not len(slots) or not self.walks:
-            return found
+            return []
+        found = [np.zeros(0, np.int64)]
         places = np.flatnonzero(self.grams[slots])
         held = slots[places]
         for n in self.walks:
@@ -203,7 +235,7 @@ class _Items:
             first = own[: len(own) - least + 1]
             low = np.maximum(np.concatenate(([0], first[:-1] + 1)), own[least - 1 :] - width + 1)
             count = np.maximum(first - low + 1, 0)
-            inside = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            inside = _ranges(low, count)
             # a passage at the end of its text lacks what was deleted; each deletion also takes Q Q-grams of the bound, so that stays as it is
             inside = inside[inside + n - _most(n + STEP - 1) <= ends[inside]]
             cut = inside + n > ends[inside]
@@ -211,17 +243,21 @@ class _Items:
             # equal windows are walked over once
             _, first, same = np.unique(hashes.ranges(whole, whole + n), return_index=True, return_inverse=True)
             order, bounds = np.argsort(same, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(same, minlength=len(first)))))
+            ascending = np.argsort(first)
             for lo in range(0, len(first), WINDOWS):
-                for w, own in self._matches(n, data, whole[first[lo : lo + WINDOWS]]):
-                    found.update((int(s), int(k)) for s in whole[order[bounds[lo + w] : bounds[lo + w + 1]]] for k in own)
+                few = ascending[lo : lo + WINDOWS]
+                w, k = self._matches(n, data, whole[first[few]])
+                low, count = bounds[few[w]], bounds[few[w] + 1] - bounds[few[w]]
+                found.append(whole[order[_ranges(low, count)]] * len(self.items) + np.repeat(k, count))
             # windows that the end of their text cuts are filled up with blanks
             for lo in range(0, int(cut.sum()), WINDOWS):
                 starts = inside[cut][lo : lo + WINDOWS]
                 at = starts[:, None] + np.arange(n)
                 filled = np.where(at < ends[starts][:, None], data[np.minimum(at, len(data) - 1)], np.uint8(32)).ravel()
-                for w, own in self._matches(n, filled, np.arange(len(starts)) * n):
-                    found.update((int(starts[w]), int(k)) for k in own)
-        return found
+                w, k = self._matches(n, filled, np.arange(len(starts)) * n)
+                found.append(starts[w] * len(self.items) + k)
+        pairs = np.unique(np.concatenate(found))
+        return list(zip((pairs // len(self.items)).tolist(), (pairs % len(self.items)).tolist()))
 
 
 _HELD: dict[str, _Items] = {}
@@ -247,7 +283,7 @@ def _search(block: str, items: list[tuple[int, bytes]]):
                 lo = int(offsets[doc])
                 best[doc, k] = min(best.get((doc, k), (1 << 30, 0, 0)), (distance, start - lo, end - lo))
 
-            windows = ((start, start, k) for start, k in sorted(held.candidates(data, hashes, np.repeat(offsets[1:], np.diff(offsets)))))
+            windows = ((start, start, k) for start, k in held.candidates(data, hashes, np.repeat(offsets[1:], np.diff(offsets))))
             for place, start, k in chain(windows, held.short(hashes)):
                 doc, item, most = int(np.searchsorted(offsets, place, "right") - 1), held.items[k][1], held.most(k)
                 if best.get((doc, k), (1,))[0] == 0:
